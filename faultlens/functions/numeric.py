@@ -20,9 +20,8 @@ def finite(x: Column, nan: float = 0.0, pos: float = CLIP, neg: float = -CLIP) -
 
 def scale_clip(x: Column, mean: Column, scale: Column, clip: float = CLIP) -> Column:
     """z-score cut to ±clip. least/greatest skip NULL, so a missing z is set to 0 first."""
-    z = (x - mean) / scale
-    return F.when(z.isNull() | F.isnan(z), F.lit(0.0)).otherwise(
-        F.greatest(F.least(z, F.lit(clip)), F.lit(-clip)))
+    z = F.coalesce(F.nanvl((x - mean) / scale, F.lit(0.0)), F.lit(0.0))
+    return F.greatest(F.least(z, F.lit(clip)), F.lit(-clip))
 
 
 def fill_from_mean(x: Column, mean: Column) -> Column:
