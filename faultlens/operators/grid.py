@@ -54,14 +54,14 @@ def log_counts(logs: DataFrame, step: int = STEP_SECONDS, keys: list[str] = SERI
     Expects columns node, ts, is_error, msg_len.
     """
     by = [*keys, "node"]
-    counts = (logs.withColumn("ts", floor_ts(F.col("ts"), step)).where("ts IS NOT NULL")
-              .groupBy(*by, "ts").agg(F.count(F.lit(1)).alias("log_total"),
-                                      F.sum(F.col("is_error").cast("bigint")).alias("log_error"),
-                                      F.avg("msg_len").alias("log_avg_len")))
+    lines = logs.withColumn("ts", floor_ts(F.col("ts"), step)).where("ts IS NOT NULL")
+    counts = lines.groupBy(*by, "ts").agg(F.count(F.lit(1)).alias("log_total"),
+                                          F.sum(F.col("is_error").cast("bigint")).alias("log_error"),
+                                          F.avg("msg_len").alias("log_avg_len"))
     zero = F.lit(0).cast("bigint")
-    return (master_grid(counts, by, step).join(counts, [*by, "ts"], "left")
-            .withColumn("log_total", F.coalesce("log_total", zero))
-            .withColumn("log_error", F.coalesce("log_error", zero)))
+    return (master_grid(lines, by, step).join(counts, [*by, "ts"], "left")
+            .select(*by, "ts", F.coalesce("log_total", zero).alias("log_total"),
+                    F.coalesce("log_error", zero).alias("log_error"), "log_avg_len"))
 
 
 def fuse_logs(metrics: DataFrame, counts: DataFrame, keys: list[str] = SERIES, nodes: list[str] = NODES,
@@ -71,22 +71,23 @@ def fuse_logs(metrics: DataFrame, counts: DataFrame, keys: list[str] = SERIES, n
     Bins outside a node's log range count 0. An empty bin inside the range has no mean length: it stays NULL
     (``avg_len_null='keep'``) or becomes 0 (``'zero'``).
     """
-    wide = counts.groupBy(*keys, "ts").pivot("node", nodes).agg(
-        F.first("log_total").alias("log_total"), F.first("log_error").alias("log_error"),
-        F.first("log_avg_len").alias("log_avg_len"), F.count(F.lit(1)).alias("bins"))
-    slots = [f"{n}_{c}" for n in nodes for c in ("log_total", "log_error", "log_avg_len")]
-    out = metrics.drop(*slots).join(wide, [*keys, "ts"], "left")
+    here = {n: F.col("node") == n for n in nodes}
+    wide = counts.groupBy(*keys, "ts").agg(
+        *[F.max(F.when(here[n], F.col(c))).alias(f"{n}_{c}") for n in nodes for c in ("log_total", "log_error", "log_avg_len")],
+        *[F.count_if(here[n]).alias(f"{n}_bins") for n in nodes])
     zero = F.lit(0.0)
-    for n in nodes:
-        length = F.col(f"{n}_log_avg_len")
+
+    def length(n: str) -> Column:
+        known = F.col(f"{n}_log_avg_len")
         if avg_len_null == "keep":
-            length = F.when(F.coalesce(F.col(f"{n}_bins"), F.lit(0)) > 0, length).otherwise(zero)
-        else:
-            length = F.coalesce(length, zero)
-        out = out.withColumns({f"{n}_log_total": F.coalesce(F.col(f"{n}_log_total").cast("double"), zero),
-                               f"{n}_log_error": F.coalesce(F.col(f"{n}_log_error").cast("double"), zero),
-                               f"{n}_log_avg_len": length})
-    return out.drop(*[f"{n}_bins" for n in nodes])
+            return F.when(F.coalesce(F.col(f"{n}_bins"), F.lit(0)) > 0, known).otherwise(zero)
+        return F.coalesce(known, zero)
+
+    slots = [f"{n}_{c}" for n in nodes for c in ("log_total", "log_error", "log_avg_len")]
+    base = [c for c in metrics.columns if c not in slots]
+    return metrics.select(*base).join(wide, [*keys, "ts"], "left").select(
+        *base, *[F.coalesce(F.col(f"{n}_{c}").cast("double"), zero).alias(f"{n}_{c}") for n in nodes for c in ("log_total", "log_error")],
+        *[length(n).alias(f"{n}_log_avg_len") for n in nodes])
 
 
 def log_counts_pivot(impulses: DataFrame, keys: list[str] = SERIES, nodes: list[str] = NODES) -> DataFrame:

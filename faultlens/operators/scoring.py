@@ -140,7 +140,11 @@ def graph_attention(nodes: DataFrame, weight: list[list[float]], attn: list[floa
     out = out.withColumn("_e", e).withColumn("_top", F.array_max("_e"))
     out = out.withColumn("_p", F.transform("_e", lambda v: F.exp(v - F.col("_top"))))
     out = out.withColumn("_z", F.aggregate("_p", F.lit(0.0), lambda acc, v: acc + v))
-    mixed = F.array(*[F.aggregate(F.zip_with("_n", "_p", lambda j, p, u=u: j["h"][u] * p), F.lit(0.0),
-                                  lambda acc, v: acc + v) / F.col("_z") for u in range(units)])
+
+    def pooled(u: int) -> Column:
+        parts = F.zip_with("_n", "_p", lambda j, p: j["h"][u] * p)
+        return F.aggregate(parts, F.lit(0.0), lambda acc, v: acc + v) / F.col("_z")
+
+    mixed = F.array(*[pooled(u) for u in range(units)])
     final = F.transform(mixed, lambda v: elu(v)) if activate else mixed
     return out.select(*keys, F.col("_i.n").alias(node), final.alias("h"))

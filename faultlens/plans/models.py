@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from faultlens.functions.numeric import finite
 from faultlens.operators.ordered import with_position
-from faultlens.operators.scaling import fit_scaler
+from faultlens.operators.scaling import fit_scaler, scaler_values
 from faultlens.operators.scoring import feature_error, hybrid_score, node_error, windowed_error
 from faultlens.operators.sequence import delta
 from faultlens.session import SMALL_ROWS
@@ -148,10 +148,8 @@ def baseline_errors(features: DataFrame, cols: list[str], kind: str, keys: list[
     """
     names = [f"_e_{c}" for c in cols]
     if kind == "mean":
-        means = fit_scaler(features, cols, healthy)
-        one = means.agg(*[F.max(F.when(F.col("feature") == c, F.col("mean"))).alias(c) for c in cols])
-        rows = features.withColumn("_mu", one.select(F.struct("*")).scalar())
-        return rows.withColumns({n: F.pow(F.col(c) - F.col(f"_mu.{c}"), F.lit(2.0)) for n, c in zip(names, cols)}).drop("_mu"), names
+        means = scaler_values(fit_scaler(features, cols, healthy))
+        return features.withColumns({n: F.pow(F.col(c) - means[c][0], F.lit(2.0)) for n, c in zip(names, cols)}), names
     if kind == "persistence":
         rows = delta(features, cols, keys, order, chunk, suffix="_step")
         return (rows.withColumns({n: F.pow(F.col(f"{c}_step"), F.lit(2.0)) for n, c in zip(names, cols)})
@@ -190,8 +188,12 @@ def neighbour_errors(features: DataFrame, node_cols: dict[str, list[str]], weigh
     rows = rows.withColumn("_p", F.transform("_o", lambda j: F.exp(leaky_relu(F.col("_i.a") + j["b"]))))
     z = F.aggregate("_p", F.lit(0.0), lambda acc, v: acc + v)
     width = len(next(iter(node_cols.values())))
-    mix = F.array(*[F.aggregate(F.zip_with("_o", "_p", lambda j, p, u=u: j["x"][u] * p), F.lit(0.0),
-                                lambda acc, v: acc + v) / z for u in range(width)])
+
+    def pooled(u: int) -> Column:
+        parts = F.zip_with("_o", "_p", lambda j, p: j["x"][u] * p)
+        return F.aggregate(parts, F.lit(0.0), lambda acc, v: acc + v) / z
+
+    mix = F.array(*[pooled(u) for u in range(width)])
     err = F.zip_with(F.col("_i.x"), mix, lambda a, b: (a - b) * (a - b))
     return rows.select(*keys, F.col("_i.n").alias("node"), err.alias("err"))
 
@@ -212,7 +214,8 @@ def probe_windows(scaler: DataFrame, cols: list[str], size: int = 10, probes=PRO
             .when(F.col("target") == F.col("feature"), (F.col("raw") - F.col("mean")) / (F.col("scale") + 1e-9))
             .otherwise(0.0))
     listed = scenarios.withColumn("f", F.explode(scaler.agg(F.collect_list(F.struct("feature", "mean", "scale"))).scalar()))
-    cells = listed.select("scenario", "target", "raw", "f.*").select("scenario", "feature", cell.alias("z"))
-    wide = cells.groupBy("scenario").agg(F.map_from_entries(F.collect_list(F.struct("feature", "z"))).alias("m"))
-    row = F.array(*[F.coalesce(F.try_element_at("m", F.lit(c)), F.lit(0.0)) for c in cols])
+    cells = listed.select("scenario", "target", "raw", "f.*").select("scenario", "target", "raw", "feature", cell.alias("z"))
+    wide = cells.groupBy("scenario").agg(F.map_from_entries(F.collect_list(F.struct("feature", "z"))).alias("m"),
+                                         F.max(F.when(F.col("target").isNull(), F.col("raw"))).alias("rest"))
+    row = F.array(*[F.coalesce(F.try_element_at("m", F.lit(c)), "rest", F.lit(0.0)) for c in cols])
     return wide.select("scenario", F.array_repeat(row, size).alias("win"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.operators.clean import align_schema, fill_partial
+from faultlens.operators.clean import align_schema, feature_names, fill_partial
 from faultlens.operators.evaluate import calibrate, model_comparison, score_stats
 from faultlens.operators.grid import fuse_logs, log_counts
 from faultlens.operators.intervals import label, pair_intervals
-from faultlens.operators.scaling import double_scale, inputs_of
+from faultlens.operators.scaling import double_scale
 from faultlens.operators.sequence import sliding_windows
 from faultlens.plans.models import PcaReconstructor, healthy_only, score_windows, stratified_split
 from faultlens.schemas import FEATURES, STEP_SECONDS
@@ -27,15 +27,15 @@ def fuse(metrics: DataFrame, logs: DataFrame, events: DataFrame, step: int = STE
 
 
 def train_and_score(fused: DataFrame, k: int = 16, share: float = 0.3, keys: list[str] = ["series_id"],
-                    chunk: Column | None = None, layout: str = "contiguous", path: str | None = None) -> dict[str, DataFrame]:
+                    chunk: Column | None = None, layout: str = "contiguous", path: str | None = None) -> dict:
     """Features, windows, split, fit on healthy training windows, scores, thresholds, comparison.
 
     Features and scores are written to the shared folder once, because the fit, the calibration and the
     reports each read them again.
     """
     features, level, combined = double_scale(stage(fused), FEATURES, keys, chunk=chunk)
-    inputs = inputs_of(FEATURES)
-    windows = sliding_windows(stage(features), inputs, keys=keys, chunk=chunk)
+    inputs = feature_names(FEATURES)
+    windows = sliding_windows(features, inputs, keys=keys, chunk=chunk)
     windows = stage(stratified_split(windows, share, [*keys, "win_id"]))
     model = PcaReconstructor.fit(healthy_only(windows.where("part = 'train'")), k, path=path)
     scored = score_windows(model.reconstruct(windows), width=len(inputs), layout=layout)
