@@ -2,32 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultlens.functions.naming import NODE_DISPLAY, guidance, parse_feature_name, velocity_tag
 from faultlens.functions.numeric import confidence, severity
-from faultlens.operators.scoring import hybrid_score, node_contribution, node_error
+from faultlens.operators.scoring import hybrid_score, node_contribution, node_error, total_of
 from faultlens.schemas import NODES
 
 KEYS = ["series_id", "win_id"]
 
 
-def feature_rows(df: DataFrame, names: list[str], err: str = "err", keys: list[str] = KEYS) -> DataFrame:
-    """Array of errors to one row per feature: idx, name, err and the window's total (pads included)."""
-    total = F.aggregate(F.col(err), F.lit(0.0), lambda acc, v: acc + v)
-    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("idx") + 1)
-    return (df.select(*keys, total.alias("total"), F.posexplode(err).alias("idx", "err"))
-            .withColumn("name", name))
-
-
 def ranked_contributors(err: Column, names: list[str], k: int = 3, n_levels: int | None = None) -> Column:
     """ARRAY of the k largest errors of a window: struct(node, feature, impact), largest first.
 
     Ties go to the higher index; pads never appear but count in the total; impact is the whole percent.
     """
     n_levels = n_levels if n_levels is not None else sum(not n.endswith("_delta") and "pad_live" not in n for n in names)
-    total = F.aggregate(err, F.lit(0.0), lambda acc, v: acc + v)
+    total = total_of(err, len(names))
     keep = [i for i, n in enumerate(names) if "pad" not in n]
     table = F.array(*[F.struct(F.lit(i).alias("idx"), shown(n, i >= n_levels).alias("shown")) for i, n in enumerate(names)])
     cells = F.array(*[F.struct(err[i].alias("err"), F.lit(i).alias("idx")) for i in keep])
@@ -56,6 +48,8 @@ def primary_cause(df: DataFrame, names: list[str], err: str = "err", keys: list[
 
 def primary_of(err: Column, names: list[str]) -> Column:
     none = F.struct(F.lit("Unknown").alias("node"), F.lit("Unknown").alias("feature"), F.lit(100).alias("impact"))
+    if all("pad" in n for n in names):
+        return none
     return F.coalesce(F.get(ranked_contributors(err, names, 1), F.lit(0)), none)
 
 
@@ -91,9 +85,3 @@ def report_json(df: DataFrame, names: list[str], threshold: Column, **kw) -> Dat
 def score_errors(df: DataFrame, width: int, err: str = "err", layout: str = "by_node") -> DataFrame:
     """Add node errors and the hybrid score to rows with an array of errors per feature."""
     return df.withColumn("node_err", node_error(F.col(err), width, layout)).withColumn("score", hybrid_score(F.col("node_err")))
-
-
-def contributors_long(features: DataFrame, k: int, keys: list[str]) -> DataFrame:
-    """Ranking over long rows (idx, err) for inputs that are too wide for one array."""
-    w = Window.partitionBy(*keys).orderBy(F.col("err").desc(), F.col("idx").desc())
-    return features.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

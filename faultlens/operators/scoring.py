@@ -29,6 +29,17 @@ def mean_of(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v) / F.size(arr)
 
 
+def total_of(arr: Column, width: int) -> Column:
+    """Sum of an array of known width, with eight partial sums as numpy adds: a share that is a whole percent
+    there must not fall below it here by rounding."""
+    even = width - width % 8
+    if not even:
+        return sum((arr[i] for i in range(1, width)), arr[0])
+    r = [sum((arr[i] for i in range(k + 8, even, 8)), arr[k]) for k in range(8)]
+    pairs = ((r[0] + r[1]) + (r[2] + r[3])) + ((r[4] + r[5]) + (r[6] + r[7]))
+    return sum((arr[i] for i in range(even, width)), pairs)
+
+
 def node_slices(width: int, layout: str = "by_node", n_nodes: int = len(NODES)) -> list[list[int]]:
     """Feature positions of each node: its levels and changes, or equal contiguous parts."""
     if layout == "contiguous":
@@ -58,7 +69,7 @@ def hybrid_score(nodes: Column) -> Column:
 
 def node_contribution(err: Column, width: int = 2 * len(FEATURES), nodes: list[str] = NODES) -> Column:
     """struct with each node's share of the total error in percent; NULL if there is no error."""
-    total = F.aggregate(err, F.lit(0.0), lambda acc, v: acc + v)
+    total = total_of(err, width)
     parts = [F.round(sum((err[i] for i in idx[1:]), err[idx[0]]) / total * 100, 2).alias(n)
              for n, idx in zip(nodes, node_slices(width, "by_node", len(nodes)))]
     return F.when(total > 0, F.struct(*parts))
