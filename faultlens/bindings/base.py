@@ -17,7 +17,7 @@ from faultlens.operators.intervals import label, pair_intervals
 from faultlens.operators.ordered import number_chunk
 from faultlens.plans.pipeline import fuse
 from faultlens.schemas import FEATURES, NODES
-from faultlens.session import prepare
+from faultlens.session import prepare, spread
 from faultlens.sources.files import log_measures, parse_node_lines
 
 HOUR = 3600
@@ -157,7 +157,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(kind == 1, F.concat(iso, F.lit("Z stdout F "), kp))
             .when(kind == 2, F.concat(F.lit("at "), plain, F.lit(" stderr P "), F.col("event_type"), F.lit(" timeout "), F.col("props")))
             .otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit(" no seconds "), F.col("event_type"))))
-    return events(spark, sf_dir).select("event_id", "series_id", F.col("node").alias("hint"), line.alias("line"))
+    return spread(events(spark, sf_dir)).select("event_id", "series_id", F.col("node").alias("hint"), line.alias("line"))
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Exact percentiles and threshold curves over scores, without a global sort in one task.
 
-Scores are first reduced to distinct values with counts. The value axis is cut at approximate quantiles that
+Scores are first reduced to distinct values with counts, written once. The value axis is cut at approximate quantiles that
 the driver fetches once (a list of at most one number per shuffle partition); counts before each cut are
 handed on between the parts. The cuts only balance the work: results do not depend on where they lie.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultlens.operators.ordered import carry_in
-from faultlens.session import shuffle_partitions
+from faultlens.session import shuffle_partitions, stage
 
 MODEL = ["model"]
 
@@ -39,8 +39,8 @@ def value_counts(df: DataFrame, keys: list[str], col: str, **sums: Column) -> Da
 def exact_percentiles(df: DataFrame, keys: list[str], col: str, percents: list[float],
                       name: str = "values", cuts: list[float] | None = None) -> DataFrame:
     """ARRAY of linearly interpolated percentiles per key."""
-    cuts = cut_points(df, col) if cuts is None else cuts
-    counts = bucketed(value_counts(df, keys, col), col, cuts)
+    counts = stage(value_counts(df, keys, col), "counts")
+    counts = bucketed(counts, col, cut_points(counts, col) if cuts is None else cuts)
     everything = Window.partitionBy(*keys)
     placed = carry_in(counts, keys, "_bucket", {"_part": F.sum("n")},
                       {"_before": lambda w: F.coalesce(F.sum("_part").over(w), F.lit(0)),
@@ -84,8 +84,8 @@ def curve_points(scores: DataFrame, keys: list[str] = MODEL, cuts: list[float] |
     NULL scores count as 0.
     """
     rows = scores.withColumn(col, F.coalesce(F.nanvl(F.col(col), F.lit(0.0)), F.lit(0.0)))
-    cuts = cut_points(rows, col) if cuts is None else cuts
-    counts = bucketed(value_counts(rows, keys, col, d_tp=F.col(y).cast("bigint")), col, cuts)
+    counts = stage(value_counts(rows, keys, col, d_tp=F.col(y).cast("bigint")), "counts")
+    counts = bucketed(counts, col, cut_points(counts, col) if cuts is None else cuts)
     counts = counts.withColumn("d_fp", F.col("n") - F.col("d_tp"))
     everything = Window.partitionBy(*keys)
     zero = F.lit(0).cast("bigint")

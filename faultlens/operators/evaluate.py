@@ -9,7 +9,7 @@ from faultlens.functions.numeric import ratio
 from faultlens.operators.clean import known_anomalies
 from faultlens.operators.curves import curve_areas, exact_percentiles
 from faultlens.operators.ordered import carry_in, inside, time_chunk
-from faultlens.session import attach
+from faultlens.session import attach, stage
 
 MODEL = ["model"]
 # Percentile lists of the sweep and of the calibration.
@@ -158,6 +158,7 @@ def time_to_detect(scores: DataFrame, thresholds: DataFrame | float, keys: list[
 
 def summarize_blocks(blocks: DataFrame, keys: list[str] = MODEL) -> DataFrame:
     """Events, detected events and their share, mean and median seconds to detect."""
+    blocks = stage(blocks.select(*keys, "latency_s"), "blocks")
     sums = blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_events"), F.count("latency_s").alias("n_detected"),
                                      F.avg("latency_s").alias("mean_ttd_s"))
     medians = exact_percentiles(blocks, keys, "latency_s", [50])

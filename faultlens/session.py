@@ -16,6 +16,8 @@ _REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Wide feature rows compress well but cost much to compute: do not merge them into few tasks.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
 }
 
 
@@ -77,5 +79,11 @@ def attach(df: DataFrame, dim: DataFrame, on: list[str], how: str = "left", limi
     return df.join(F.broadcast(df.sparkSession.createDataFrame(head, schema=dim.schema)), on, how)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share out rows of few large unsplittable inputs before costly parsing; many inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -82,8 +82,9 @@ def read_log_lines(spark: SparkSession, path: str, pattern: str = "*_raw.log") -
 
 def parse_node_lines(lines: DataFrame, hint: Column) -> DataFrame:
     """Structured log lines of per-node files: a node tag in the line wins over the hint; other lines go."""
-    text = lines.withColumn("line", F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))).where("line <> ''")
-    text = text.withColumn("_a", parse_sim_line(F.col("line"))).withColumn("_b", parse_ts_line(F.col("line")))
+    text = lines.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).where("line <> ''")
+    text = text.withColumn("_a", parse_sim_line(F.col("line")))
+    text = text.withColumn("_b", F.when(F.col("_a").isNull(), parse_ts_line(F.col("line"))))
     return (text.withColumns({"stamp": F.coalesce("_a.stamp", "_b.stamp"), "node": F.coalesce(F.col("_a.node"), hint),
                               "message": F.when(F.col("_a").isNotNull(), F.col("_a.message")).otherwise(F.col("_b.message"))})
             .where("_a IS NOT NULL OR _b IS NOT NULL").drop("_a", "_b"))
