@@ -36,6 +36,16 @@ def parse_ts_line(line: Column) -> Column:
         strip_stream_prefix(F.regexp_extract(line, STAMPED_LINE, 2)).alias("message")))
 
 
+def parse_line(line: Column, node: Column) -> Column:
+    """ARRAY with the one parsed form of a log line - struct(stamp, node, message) - or without any.
+
+    Made for explode: conditions on its result are then not copied down past the parsing.
+    """
+    tagged, plain = parse_sim_line(line), parse_ts_line(line)
+    untagged = F.struct(plain["stamp"].alias("stamp"), node.alias("node"), plain["message"].alias("message"))
+    return F.when(line.rlike(TAGGED_LINE), F.array(tagged)).when(line.rlike(STAMPED_LINE), F.array(untagged))
+
+
 def strip_stream_prefix(message: Column) -> Column:
     return F.regexp_replace(message, STREAM_PREFIX, "")
 

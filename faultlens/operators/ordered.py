@@ -40,7 +40,9 @@ def carry_in(df: DataFrame, keys: list[str], chunk: str, summary: dict[str, Colu
     before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     per_chunk = df.groupBy(*keys, chunk).agg(*[c.alias(n) for n, c in summary.items()])
     handed = per_chunk.select(*keys, chunk, *[f(before).alias(n) for n, f in carried.items()])
-    return df.join(handed, [*keys, chunk])
+    # The rows have to move to their chunk anyway for the window that follows: hash join on that partitioning.
+    # Without the hint a well compressed file can look small enough to broadcast the rows themselves.
+    return df.join(handed.hint("shuffle_hash"), [*keys, chunk])
 
 
 def inside(keys: list[str], chunk: str, order: list[str]) -> WindowSpec:

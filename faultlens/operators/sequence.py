@@ -154,7 +154,7 @@ def sentinel_batch(scores: DataFrame, threshold: float, smooth: int = 3, warmup:
     per_chunk = per_chunk.withColumn("_f0", F.coalesce(F.sum("_end_flips").over(before), F.lit(0)))
     per_chunk = per_chunk.withColumn("_anchor", F.last((F.col("_end_fixed") + F.col("_f0")) % 2, ignorenulls=True).over(before))
     entry = per_chunk.select(*keys, "_chunk", ((F.coalesce("_anchor", F.lit(0)) + F.col("_f0")) % 2).alias("_entry"))
-    rows = rows.join(entry, [*keys, "_chunk"])
+    rows = rows.join(entry.hint("shuffle_hash"), [*keys, "_chunk"])
     anchor = F.coalesce(F.last("_fixed", ignorenulls=True).over(here), F.col("_entry"))
     rows = rows.withColumn("_active", (anchor + F.col("_flips")) % 2)
     first_in_chunk = F.lag("_active").over(Window.partitionBy(*keys, "_chunk").orderBy("_pos"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens.functions.text import (HARVEST_WORDS, PLAIN_STAMP, clean_ts, error_flag, infer_node, msg_len,
-                                      parse_sim_line, parse_ts_line, section_node)
+                                      parse_line, parse_sim_line, parse_ts_line, section_node)
 from faultlens.operators.clean import normalize_ts
 from faultlens.operators.ordered import carry_in, inside, with_position
 from faultlens.schemas import EVENT_FIELDS, RANGE_RESPONSE, SCORES, STEP_SECONDS, THRESHOLDS
@@ -82,12 +82,9 @@ def read_log_lines(spark: SparkSession, path: str, pattern: str = "*_raw.log") -
 
 def parse_node_lines(lines: DataFrame, hint: Column) -> DataFrame:
     """Structured log lines of per-node files: a node tag in the line wins over the hint; other lines go."""
-    text = lines.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).where("line <> ''")
-    text = text.withColumn("_a", parse_sim_line(F.col("line")))
-    text = text.withColumn("_b", F.when(F.col("_a").isNull(), parse_ts_line(F.col("line"))))
-    return (text.withColumns({"stamp": F.coalesce("_a.stamp", "_b.stamp"), "node": F.coalesce(F.col("_a.node"), hint),
-                              "message": F.when(F.col("_a").isNotNull(), F.col("_a.message")).otherwise(F.col("_b.message"))})
-            .where("_a IS NOT NULL OR _b IS NOT NULL").drop("_a", "_b"))
+    keep = [c for c in lines.columns if c not in ("stamp", "node", "message")]
+    text = lines.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
+    return text.select(*keep, F.explode(parse_line(F.col("line"), hint)).alias("p")).select(*keep, "p.*")
 
 
 def read_node_logs(spark: SparkSession, path: str) -> DataFrame:
