@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultlens.functions.numeric import floor_ts
-from faultlens.operators.grid import fuse_logs, log_counts, master_grid, reindex_grid
+from faultlens.operators.grid import master_grid, reindex_grid
 from faultlens.operators.intervals import label, pair_intervals
 from faultlens.operators.ordered import number_chunk
 from faultlens.plans.pipeline import fuse

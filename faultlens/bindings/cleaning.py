@@ -2,12 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from faultlens.bindings.base import (EV, FUSE, HOUR, LOGGED, LABELLED, METRICS, NODES, SC, WM, events, fault_events, fused,
-                                     log_lines, logs, metrics, query, scores, table, with_)
+from faultlens.bindings.base import (EV, FUSE, HOUR, LOGGED, METRICS, SC, WM, events, fused, log_lines, metrics,
+                                     query, scores, table, with_)
 from faultlens.functions import naming, numeric, text
 from faultlens.operators import clean
 from faultlens.schemas import FEATURES
-from faultlens.sources import files
 
 
 @query("b1_normalize_ts", """SELECT event_id, date_trunc('hour', ts - INTERVAL '5 hours 30 minutes') AS ts FROM events

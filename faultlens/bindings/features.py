@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from faultlens.bindings.base import (DEFAULT, EV, FEATURES, FUSE, GRID, HOUR, KEYS, LABELLED, METRICS, NODES, WM, clip_sql, events, fused,
-                                     grid, labelled, metrics, query, with_)
+from faultlens.bindings.base import (EV, FEATURES, FUSE, GRID, LABELLED, METRICS, WM, clip_sql, events, fused, grid,
+                                     labelled, metrics, query, with_)
 from faultlens.operators import grid as g
 from faultlens.operators import scaling, sequence as seq
 from faultlens.operators.clean import fill_partial

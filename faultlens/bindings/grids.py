@@ -2,11 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from faultlens.bindings.base import (EV, FUSE, GRID, HOUR, KEYS, LC, LINES, LOGGED, LOGS, METRICS, NODES, PARSED, WM, events, fused, grid,
-                                     log_lines, logs, metrics, query, table, with_)
+from faultlens.bindings.base import (EV, FUSE, GRID, HOUR, LC, LINES, LOGGED, METRICS, NODES, WM, events, fused,
+                                     grid, log_lines, logs, metrics, query, with_)
 from faultlens.operators import grid as g
 from faultlens.operators import rollup
-from faultlens.operators.clean import fill_partial
 from faultlens.operators.ordered import number_chunk
 from faultlens.operators.sequence import fill_section
 from faultlens.schemas import FEATURES

@@ -1,8 +1,7 @@
 """Intervals, labels, runs."""
 
-from pyspark.sql import functions as F
 
-from faultlens.bindings.base import (DEFAULT, EV, FE, GRID, HOUR, IV, LABELLED, PAD, fault_events, grid, intervals,
+from faultlens.bindings.base import (DEFAULT, EV, FE, HOUR, IV, LABELLED, PAD, fault_events, grid, intervals,
                                      labelled, query, with_)
 from faultlens.operators import intervals as iv
 from faultlens.operators import sequence as seq

@@ -3,14 +3,14 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from faultlens.bindings.base import EV, FEATURES, HOUR, KEYS, NODES, SC, events, query, table, with_
+from faultlens.bindings.base import FEATURES, NODES, SC, query, table, with_
 from faultlens.bindings.features import INPUTS, SCALED, features
 from faultlens.operators import rootcause as rc
 from faultlens.operators import scoring as s
 from faultlens.operators.clean import finite_guard
 from faultlens.operators.scaling import fit_scaler
 from faultlens.plans import models
-from faultlens.session import new_folder, stage
+from faultlens.session import new_folder
 
 WIDTH = len(INPUTS)
 

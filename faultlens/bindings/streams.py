@@ -3,13 +3,10 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultlens.bindings.base import (EV, FEATURES, GRID, HOUR, LOGGED, METRICS, NODES, SC, TH, WM, events, fused, log_lines, query, scores,
-                                     shaped, table, thresholds, with_)
+from faultlens.bindings.base import (EV, GRID, HOUR, LOGGED, SC, TH, events, log_lines, query, scores, thresholds,
+                                     with_)
 from faultlens.bindings.features import HS, SENTINEL, hourly_scores
 from faultlens.operators import evaluate as ev
-from faultlens.operators.clean import fill_partial
-from faultlens.operators.grid import pivot_metrics
-from faultlens.operators.scoring import node_slices
 from faultlens.sources import files
 from faultlens.session import new_folder
 from faultlens.streaming import live
