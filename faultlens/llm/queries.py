@@ -77,7 +77,7 @@ ORACLES = {
         marked as (select c.*, w.line is not null as gone from cut c left join wide w
                    on regexp_replace(c.raw, '^{_SPACES}+|{_SPACES}+$', '', 'g') = w.line and c.doc_id <> w.first_doc)
         select doc_id, count(*) as n_lines, sum(gone::int)::bigint as n_dropped,
-               md5(coalesce(string_agg(raw, chr(10) order by at) filter (not gone), '')) as text_md5
+               md5(coalesce(string_agg(raw, chr(10) order by at) filter (where not gone), '')) as text_md5
         from marked group by doc_id""",
     "op5_warc": None,
 }

@@ -84,6 +84,10 @@ def scan(docs: DataFrame, shared_owners: int = SHARED_OWNERS) -> DataFrame:
     return found.join(judged, "row", "left").select("doc_id", "found", F.coalesce("judged", F.array().cast(kind)).alias("judged"))
 
 
+def _of_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
 def digest(scanned: DataFrame) -> DataFrame:
     """The registered result: counts, the hash of the base spans, and all spans including the verdicts on the values.
 
@@ -96,6 +100,6 @@ def digest(scanned: DataFrame) -> DataFrame:
     both = F.array_sort(F.concat(
         F.transform("judged", lambda s: F.struct(s["start"].alias("start"), s["nth"].alias("nth"), s["end"].alias("end"), s["kind"].alias("kind"))),
         F.transform("judged", lambda s: F.struct((s["end"] - s["size"]).alias("start"), F.lit(3).alias("nth"), s["end"].alias("end"), s["verdict"].alias("kind")))))
-    count = {f"n_{k}": F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long") for k in KINDS}
+    count = {f"n_{k}": F.size(F.filter("found", _of_kind(k))).cast("long") for k in KINDS}
     return scanned.select("doc_id", *[c.alias(n) for n, c in count.items()], F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
                           F.array_join(F.transform(both, lambda s: text(s["kind"], s["start"], s["end"])), ",").alias("spans"))
