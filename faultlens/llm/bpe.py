@@ -22,7 +22,7 @@ from faultlens.llm.common import map_pandas
 # Fixed value: the pattern that splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Split pieces whose ids a task remembers, and the longest such piece.
-CACHE, CACHE_CHARS = 200_000, 64
+CACHE, CACHE_CHARS = 100_000, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -68,7 +68,7 @@ class Encoder:
         """
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 200_000:
                 self.pairs.clear()
             known = self.pairs[left, right] = self._border_holds(left, right)
         return known

@@ -13,18 +13,24 @@ from faultlens.session import stage
 #: Words are runs of anything but the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows whose results a task holds at once.
+SLICE = 256
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def map_pandas(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
-    """``mapInPandas`` with a function that is made once per task, so that it can hold tables and caches."""
+    """``mapInPandas`` with a function that is made once per task, so that it can hold tables and caches.
+
+    A batch is worked off in slices, whose results leave the task one by one.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         step = make()
         for batch in batches:
-            if len(batch):
-                yield step(batch)
+            for at in range(0, len(batch), SLICE):
+                yield step(batch.iloc[at:at + SLICE])
     return df.mapInPandas(run, schema)
 
 
