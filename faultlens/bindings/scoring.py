@@ -88,9 +88,12 @@ def _(spark, sf):
 
 
 _WEIGHTS = s.loss_weights()
+# The same weights written out for the SQL: levels by node, then changes by node.
+_SQL_WEIGHTS = """2.0, 1, 1.5, 1, 1.5, 1, 1, 2.0, 1, 1.5, 1, 1.5, 1, 1, 2.0, 1, 1.5, 1, 1.5, 1, 1,
+    2.0, 1, 1, 1, 1.5, 1, 1, 2.0, 1, 1, 1, 1.5, 1, 1, 2.0, 1, 1, 1, 1.5, 1, 1"""
 
 
-@query("h5_weighted_error", with_(*MEAN_MODEL) + f"SELECT series_id, win_id, round(avg(err * ([{', '.join(str(w) for w in _WEIGHTS)}])[idx + 1]), 6) AS loss FROM we GROUP BY ALL")
+@query("h5_weighted_error", with_(*MEAN_MODEL) + f"SELECT series_id, win_id, round(avg(err * ([{_SQL_WEIGHTS}])[idx + 1]), 6) AS loss FROM we GROUP BY ALL")
 def _(spark, sf):
     return baseline(spark, sf).select("series_id", "win_id", s.weighted_error(F.col("err"), _WEIGHTS).alias("loss"))
 

@@ -76,12 +76,14 @@ def node_contribution(err: Column, width: int = 2 * len(FEATURES), nodes: list[s
 
 
 def loss_weights(width: int = 2 * len(FEATURES)) -> list[float]:
-    """Weight per input: levels and changes of the same slot weigh the same."""
+    """Weight per input: levels of three groups of slots, changes of the first two."""
     half = width // 2
     out = [1.0] * width
-    for slots, weight in ((CPU_SLOTS, CPU_WEIGHT), (ERROR_SLOTS, ERROR_WEIGHT), (THIRD_SLOTS, THIRD_WEIGHT)):
+    for slots, weight in ((CPU_SLOTS, CPU_WEIGHT), (ERROR_SLOTS, ERROR_WEIGHT)):
         for s in slots:
             out[s] = out[half + s] = weight
+    for s in THIRD_SLOTS:
+        out[s] = THIRD_WEIGHT
     return out
 
 
