@@ -15,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows whose results a task holds at once.
 SLICE = 256
+#: Bytes of rows that are handed to a task's Python process at once.
+BATCH = "32m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def map_pandas(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
     """``mapInPandas`` with a function that is made once per task, so that it can hold tables and caches.
 
-    A batch is worked off in slices, whose results leave the task one by one.
+    A batch is bounded in bytes and worked off in slices, whose results leave the task one by one.
     """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         step = make()
         for batch in batches:
