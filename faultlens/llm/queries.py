@@ -73,11 +73,11 @@ ORACLES = {
         trimmed as (select doc_id, source, regexp_replace(raw, '^{_SPACES}+|{_SPACES}+$', '', 'g') as line from lines),
         wide as (select line, min(doc_id) as first_doc from trimmed where length(line) >= {lines.MIN_CHARS} and source is not null
                  group by line having count(distinct source) >= {lines.MIN_SITES}),
-        cut as (select doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) as at, unnest(string_split(text, chr(10))) as raw from documents),
+        cut as (select doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) as nth, unnest(string_split(text, chr(10))) as raw from documents),
         marked as (select c.*, w.line is not null as gone from cut c left join wide w
                    on regexp_replace(c.raw, '^{_SPACES}+|{_SPACES}+$', '', 'g') = w.line and c.doc_id <> w.first_doc)
         select doc_id, count(*) as n_lines, sum(gone::int)::bigint as n_dropped,
-               md5(coalesce(string_agg(raw, chr(10) order by at) filter (where not gone), '')) as text_md5
+               md5(coalesce(string_agg(raw, chr(10) order by nth) filter (where not gone), '')) as text_md5
         from marked group by doc_id""",
     "op5_warc": None,
 }
