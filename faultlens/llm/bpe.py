@@ -21,8 +21,8 @@ from faultlens.llm.common import map_pandas
 
 # Fixed value: the pattern that splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Split pieces whose ids a task remembers, and the longest such piece.
-CACHE, CACHE_CHARS = 100_000, 64
+#: Split pieces whose ids a task remembers, the longest such piece, and the token pairs whose borders it remembers.
+CACHE, CACHE_CHARS, PAIRS = 250_000, 32, 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -57,6 +57,8 @@ class Encoder:
             if i not in special:
                 self.matches.add_word(bytes(letters[c] for c in token).decode("latin-1"), (len(token), i))
         self.matches.make_automaton()
+        if len(set(letters) & set(vocab)) < 256 or max(vocab.values()) >= 1 << 20:
+            raise ValueError("not a byte-level vocabulary of up to 2^20 tokens")
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces, self.known, self.pairs = regex.compile(PATTERN), {}, {}
 
@@ -66,12 +68,10 @@ class Encoder:
         The last merges of both are undone, newest first. A merge across the border would have come first if it ranks
         before the merge undone last; on equal rank the leftmost place merges first.
         """
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) > 200_000:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self._border_holds(left, right)
-        return known
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        holds = self.pairs[left << 20 | right] = self._border_holds(left, right)
+        return holds
 
     def _border_holds(self, left: int, right: int) -> bool:
         made, halves, rank = self.made, self.halves, self.rank
@@ -92,21 +92,18 @@ class Encoder:
 
     def piece(self, data: bytes) -> list[int]:
         """Ids of one piece: the last token of every prefix, then back from the end."""
-        last: list[int] = [-1] * len(data)
-        at, ending = -1, []
-
-        def settle():
-            for size, token in sorted(ending, reverse=True):
-                before = at - size
-                if before < 0 or last[before] >= 0 and self.compatible(last[before], token):
-                    last[at] = token
-                    return
-        for end, found in self.matches.iter(data.decode("latin-1")):
-            if end != at:
-                settle()
-                at, ending = end, []
-            ending.append(found)
-        settle()
+        last, pairs = [-1] * len(data), self.pairs
+        # At each end the automaton reports the longest token first.
+        for end, (size, token) in self.matches.iter(data.decode("latin-1")):
+            if last[end] >= 0:
+                continue
+            if size > end:
+                last[end] = token
+                continue
+            left = last[end - size]
+            holds = pairs.get(left << 20 | token)
+            if self.compatible(left, token) if holds is None else holds:
+                last[end] = token
         out, at = [], len(data) - 1
         while at >= 0:
             out.append(last[at])
