@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -22,7 +24,7 @@ from faultlens.llm.common import map_pandas
 # Fixed value: the pattern that splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Split pieces whose ids a task remembers, the longest such piece, and the token pairs whose borders it remembers.
-CACHE, CACHE_CHARS, PAIRS = 250_000, 32, 400_000
+CACHE, CACHE_CHARS, PAIRS = 400_000, 32, 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -121,7 +123,7 @@ class Encoder:
             for piece in self.pieces.findall(part):
                 ids = known.get(piece)
                 if ids is None:
-                    ids = np.array(self.piece(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+                    ids = array("I", self.piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
                     if len(piece) <= CACHE_CHARS:
                         if len(known) >= CACHE:
                             known.clear()
@@ -133,6 +135,12 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def _encoder(content: str) -> Encoder:
+    """The encoder of a Python process, which the tasks that it runs one after another share."""
+    return Encoder(content)
+
+
 def encode(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` per row, with ``with_ids`` also ``ids array<int>`` and ``decoded``.
 
@@ -143,7 +151,7 @@ def encode(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> Data
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def make():
-        encoder = Encoder(shared.value)
+        encoder = _encoder(shared.value)
 
         def step(batch: pd.DataFrame) -> pd.DataFrame:
             ids = [encoder.encode(t or "") for t in batch["text"]]
