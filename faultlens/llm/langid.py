@@ -29,14 +29,15 @@ def held_out(doc_id: Column) -> Column:
 def count_contexts(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS) -> DataFrame:
     """``(lang, context, n)``: counts of byte strings of one to four bytes, in a bounded sample of labelled rows.
 
-    ``min_by`` style sampling: rows are ranked by a hash of text within a language, so equal texts sit together and the
-    choice does not depend on the layout. Texts over SAMPLE_BYTES bytes and empty ones are not taken.
+    Distinct texts of a language are taken by a hash of the text below the share that gives ``docs_per_lang``, so the
+    choice does not depend on the layout and a group of copies counts once. Texts over SAMPLE_BYTES bytes and empty ones
+    are not taken.
     """
     fit = docs.where("lang is not null and text is not null").where(F.octet_length("text").between(1, SAMPLE_BYTES))
     ranked = fit.select("lang", "text", F.xxhash64("text", F.lit(11)).alias("draw"))
-    cuts = ranked.groupBy("lang").agg(F.min("draw").alias("low"), F.count("*").alias("n"))
+    cuts = ranked.select("lang", "draw").distinct().groupBy("lang").agg(F.count("*").alias("n"))
     span = (F.lit(docs_per_lang).cast("double") / F.col("n")) * 2.0 ** 64
-    near = ranked.join(F.broadcast(cuts), "lang").where(F.col("draw").cast("double") <= -(2.0 ** 63) + span)
+    near = ranked.join(cuts, "lang").where(F.col("draw").cast("double") <= -(2.0 ** 63) + span).dropDuplicates(["lang", "draw"])
 
     def make():
         def step(batch: pd.DataFrame) -> pd.DataFrame:
