@@ -105,9 +105,12 @@ LAB = """lab AS (SELECT g.series_id, g.ts, count(iv.st) AS n_intervals,
 LABELLED = (EV, GRID, FE, IV, LAB)
 
 
-def fault_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fault_events(spark: SparkSession, sf_dir: str, raw: bool = False) -> DataFrame:
+    """Fault events on the grid; with ``raw`` at their own times and under the old node names."""
+    node = F.when(F.col("node") == "db", " MariaDB").when(F.col("node") == "app", "nextcloud").otherwise(F.col("node"))
     return (events(spark, sf_dir).where(F.col("event_type").isin("signup", "purchase") & (F.col("value") > 100))
-            .select("series_id", F.col("event_id").alias("event_seq"), F.col("slot").alias("ts"), "node",
+            .select("series_id", F.col("event_id").alias("event_seq"), F.col("ts" if raw else "slot").alias("ts"),
+                    (node if raw else F.col("node")).alias("node"),
                     F.concat(F.lit("F"), F.col("user_id") % 5).alias("fault_type"),
                     F.when(F.col("event_type") == "signup", "START").otherwise("STOP").alias("state"),
                     F.when(F.col("event_id") % 2 == 0, F.col("value") * 60).alias("duration_s")))
@@ -205,7 +208,7 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reindex_grid(metrics(spark, sf_dir), grid(spark, sf_dir))
-    return fuse(rows, logs(spark, sf_dir), fault_events(spark, sf_dir), HOUR, pad=PAD, default=DEFAULT)
+    return fuse(rows, logs(spark, sf_dir), fault_events(spark, sf_dir, raw=True), HOUR, pad=PAD, default=DEFAULT)
 
 
 # ---- scores -----------------------------------------------------------------------------------------

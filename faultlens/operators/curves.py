@@ -20,7 +20,9 @@ MODEL = ["model"]
 def cut_points(df: DataFrame, col: str, parts: int | None = None) -> list[float]:
     parts = parts or max(2, shuffle_partitions(df.sparkSession))
     probs = [i / parts for i in range(1, parts)]
-    found = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, max(1_000, 10 * parts))).first()[0] or []
+    value = F.col(col).cast("double")
+    plain = F.abs(value) < float("inf")
+    found = df.agg(F.percentile_approx(F.when(plain, value), probs, max(1_000, 10 * parts))).first()[0] or []
     return sorted(set(found))
 
 
@@ -66,8 +68,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], col: str, percents: list[f
 
 def healthy_percentiles(scores: DataFrame, percents: list[float], keys: list[str] = MODEL,
                         method: str = "exact", where: Column | None = None) -> DataFrame:
-    """Percentiles of the healthy scores per model, one row per (model, percentile)."""
-    rows = scores.where((F.col("y") == 0) if where is None else where)
+    """Percentiles of the healthy scores per model, one row per (model, percentile). NaN counts as 0, NULL not at all."""
+    rows = scores.where((F.col("y") == 0) if where is None else where).withColumn("score", F.nanvl("score", F.lit(0.0)))
     if method == "approx":
         found = rows.groupBy(*keys).agg(F.percentile_approx("score", [p / 100 for p in percents]).alias("values"))
     else:

@@ -45,11 +45,11 @@ def metric_fallback(alternatives: list[DataFrame], keys: list[str] = ["series_id
                     grid: DataFrame | None = None, const: float | None = None) -> DataFrame:
     """``a or b or …`` per label set and time; with a grid, ``const`` where no alternative has any value.
 
-    Alternatives have columns keys, ts, the label set (text) and val.
+    Alternatives have columns keys, ts, the label set (text) and val. A NULL val counts as no sample.
     """
     ranked = None
     for rank, part in enumerate(alternatives):
-        part = part.select(*keys, "ts", labels, "val", F.lit(rank).alias("_rank"))
+        part = part.where("val IS NOT NULL").select(*keys, "ts", labels, "val", F.lit(rank).alias("_rank"))
         ranked = part if ranked is None else ranked.unionByName(part)
     found = ranked.groupBy(*keys, "ts", labels).agg(F.min_by("val", "_rank").alias("val"))
     if grid is None:

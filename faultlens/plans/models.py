@@ -18,7 +18,6 @@ from faultlens.operators.ordered import with_position
 from faultlens.operators.scaling import fit_scaler, scaler_values
 from faultlens.operators.scoring import feature_error, hybrid_score, node_error, windowed_error
 from faultlens.operators.sequence import delta
-from faultlens.session import SMALL_ROWS
 
 SERIES = ["series_id"]
 
@@ -207,8 +206,6 @@ def probe_windows(scaler: DataFrame, cols: list[str], size: int = 10, probes=PRO
 
     The guard 1e-9 is added to the scale as in the what-if check these inputs come from.
     """
-    if scaler.count() > SMALL_ROWS:
-        raise ValueError("a scaler has one row per feature")
     scenarios = scaler.sparkSession.createDataFrame(probes, "scenario string, target string, raw double")
     cell = (F.when(F.col("target").isNull(), F.col("raw"))
             .when(F.col("target") == F.col("feature"), (F.col("raw") - F.col("mean")) / (F.col("scale") + 1e-9))

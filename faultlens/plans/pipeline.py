@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.operators.clean import align_schema, feature_names, fill_partial
+from faultlens.operators.clean import (align_schema, feature_names, fill_partial, normalize_nodes, normalize_ts,
+                                       shift_to_metric_day)
 from faultlens.operators.evaluate import calibrate, model_comparison, score_stats
 from faultlens.operators.grid import fuse_logs, log_counts
 from faultlens.operators.intervals import label, pair_intervals
@@ -17,8 +18,14 @@ from faultlens.session import stage
 
 
 def fuse(metrics: DataFrame, logs: DataFrame, events: DataFrame, step: int = STEP_SECONDS, keys: list[str] = ["series_id"],
-         pad: float = 30.0, default: float = 120.0, chunk: Column | None = None) -> DataFrame:
-    """Fused feature table: the 21 slots, ground_truth, fault_type. Both labels come from one join."""
+         pad: float = 30.0, default: float = 120.0, chunk: Column | None = None, shift_days: bool = False) -> DataFrame:
+    """Fused feature table: the 21 slots, ground_truth, fault_type. Both labels come from one join.
+
+    Events come raw: their nodes get the present names and their times are floored to the step, with ``shift_days``
+    after a move by whole days to the first metric day.
+    """
+    events = normalize_nodes(events)
+    events = shift_to_metric_day(events, metrics, step) if shift_days else normalize_ts(events, "ts", step)
     slots = align_schema(fill_partial(metrics), FEATURES, keep=[*keys, "ts"])
     fused = fuse_logs(slots, log_counts(logs, step, keys), keys)
     intervals = pair_intervals(events, keys, pad, default, chunk=chunk)

@@ -42,10 +42,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors reach, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, one machine) a new folder is made once and kept for the session.
+    Where the setting is absent, a session on one machine makes a new folder once and keeps it; on a cluster, whose
+    machines would each write to their own disk, that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if master.split("[")[0] != "local":
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master!r} reach")
         folder = tempfile.mkdtemp(prefix="faultlens-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

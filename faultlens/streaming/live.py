@@ -74,8 +74,8 @@ _OUT_FIELDS = "tick bigint, score double, smoothed double, offset double, correc
 class ScoreSentinel(StatefulProcessor):
     """Alarm state over a stream of finished scores."""
 
-    def __init__(self, threshold: float):
-        self.threshold = threshold
+    def __init__(self, threshold: float, name: str = "series_id"):
+        self.threshold, self.name = threshold, name
 
     def init(self, handle) -> None:
         self.state = handle.getValueState("alarm", _ALARM_FIELDS + ", last bigint")
@@ -93,7 +93,7 @@ class ScoreSentinel(StatefulProcessor):
             if hit:
                 out.append((key[0], ts, alarm.ticks - 1, float(score), hit[0], alarm.offset, hit[1], hit[2]))
         self.state.update((alarm.scores, alarm.ticks, alarm.offset, alarm.active, last))
-        yield pd.DataFrame(out, columns=["series_id", "ts", "tick", "score", "smoothed", "offset", "corrected", "anomaly"])
+        yield pd.DataFrame(out, columns=[self.name, "ts", "tick", "score", "smoothed", "offset", "corrected", "anomaly"])
 
     def close(self) -> None:
         pass
@@ -103,7 +103,7 @@ def stream_sentinel(scores: DataFrame, threshold: float, key: str = "series_id")
     """Ticks after warm-up with the smoothed and corrected score and the alarm flag."""
     kind = scores.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, ts timestamp, {_OUT_FIELDS}"
-    return scores.groupBy(key).transformWithStateInPandas(ScoreSentinel(threshold), schema, "Append", "none")
+    return scores.groupBy(key).transformWithStateInPandas(ScoreSentinel(threshold, key), schema, "Append", "none")
 
 
 class WindowSentinel(StatefulProcessor):
@@ -114,8 +114,8 @@ class WindowSentinel(StatefulProcessor):
     """
 
     def __init__(self, cols: list[str], score_errors: Callable[[np.ndarray], np.ndarray],
-                 node_slices: list[list[int]], threshold: float, step: int, size: int):
-        self.cols, self.score_errors, self.slices = cols, score_errors, node_slices
+                 node_slices: list[list[int]], threshold: float, step: int, size: int, name: str = "series_id"):
+        self.cols, self.score_errors, self.slices, self.name = cols, score_errors, node_slices, name
         self.threshold, self.step, self.size = threshold, step, size
 
     def init(self, handle) -> None:
@@ -130,7 +130,7 @@ class WindowSentinel(StatefulProcessor):
         else:
             kept, last, seen, buffer = [[], 0, 0.0, False], None, 0, []
         alarm, out = Alarm(self.threshold, *kept), []
-        columns = ["series_id", "ts", "tick", "score", "smoothed", "offset", "corrected", "anomaly", "err"]
+        columns = [self.name, "ts", "tick", "score", "smoothed", "offset", "corrected", "anomaly", "err"]
         for ts, values in zip(new["ts"], new[self.cols].to_numpy(dtype=float)):
             slot = int(ts.timestamp()) // self.step
             if last is not None and slot <= last:
@@ -167,7 +167,7 @@ def stream_windows(grid: DataFrame, cols: list[str], score_errors: Callable[[np.
     """Ticks with the error per feature; nothing until a series has ``size`` slots and has warmed up."""
     kind = grid.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, ts timestamp, {_OUT_FIELDS}, err array<double>"
-    processor = WindowSentinel(cols, score_errors, node_slices, threshold, step, size)
+    processor = WindowSentinel(cols, score_errors, node_slices, threshold, step, size, key)
     return grid.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "none")
 
 

@@ -50,6 +50,14 @@ def test_golden_areas(spark, y, s, roc, ap, pr):
     assert (round(r.roc_auc, 6), round(r.average_precision, 6), round(r.pr_auc, 6)) == (roc, ap, pr)
 
 
+def test_nan_counts_as_zero_and_infinity_as_the_end(spark):
+    ys, inf, nan = (0, 0, 0, 1, 1), float("inf"), float("nan")
+    odd, plain = scored(spark, ys, (nan, -inf, 2, inf, nan)), scored(spark, ys, (0, -9, 2, 9, 0))
+    assert curves.curve_areas(odd).first() == curves.curve_areas(plain).first()
+    got = curves.healthy_percentiles(scored(spark, (0, 0, 0), (nan, 2, 4)), [0, 50, 100])
+    assert [r.threshold for r in got.orderBy("rank").collect()] == [0, 2, 4]
+
+
 def test_areas_do_not_depend_on_cuts_and_mirror(messy):
     df, _ = messy
     base = rows(curves.curve_areas(df), "model")

@@ -107,3 +107,16 @@ def test_coverage(golden):
     events, grid = golden
     got = iv.label_coverage(grid, iv.pair_intervals(events)).first()
     assert (got.n_rows, got.labelled_with_multiplicity, got.labelled_rows, got.n_starts) == (30, 33, 25, 3)
+
+
+def test_fuse_takes_raw_events(spark):
+    """Old node names and times between the steps: STOP of ``db`` ends the START of ``mariadb``."""
+    from faultlens.plans.pipeline import fuse
+    metrics = frame(spark, [(1, at("10:00:00") + pd.Timedelta(seconds=10 * i), 1.0) for i in range(20)], "series_id int, ts timestamp, app_cpu double")
+    logs = frame(spark, [(1, "app", at("10:00:10"), 0, 5)], "series_id int, node string, ts timestamp, is_error int, msg_len int")
+    events = [(1, 1, at("10:00:03"), "mariadb", "CPU", "START", None), (1, 2, at("10:00:33"), "db", "CPU", "STOP", None)]
+    got = rows(fuse(metrics, logs, frame(spark, events, EVENTS)), "ts")
+    assert list(got.ts[got.ground_truth == 1]) == [at("10:00:00") + pd.Timedelta(seconds=10 * i) for i in range(7)]
+    late = [(s, n, ts + pd.Timedelta(days=3), *rest) for s, n, ts, *rest in events]
+    moved = rows(fuse(metrics, logs, frame(spark, late, EVENTS), shift_days=True), "ts")
+    assert list(moved.ground_truth) == list(got.ground_truth)

@@ -64,6 +64,13 @@ def test_stream_equals_batch(spark, tmp_path, batches):
     assert list(got.tick) == list(want.tick) and list(got.ts) == list(want.ts)
 
 
+def test_sentinel_under_another_key_name(spark, tmp_path):
+    frame(spark, score_rows(GOLDEN), SCORES).withColumnRenamed("series_id", "host").write.parquet(str(tmp_path / "in"))
+    source = live.stream_samples(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+    out = live.run_to_table(live.stream_sentinel(source, .3, key="host"), str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    assert [(r.host, r.anomaly) for r in out.orderBy("ts").collect()] == [(1, a) for a in (False, True, False, False)]
+
+
 def samples(spark, path, values, batches=1):
     """values: slot → {metric: value or None}; one file per batch."""
     slots = sorted(values)
