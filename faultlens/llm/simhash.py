@@ -22,6 +22,10 @@ TILE = 32_768
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _HASH_BLOCK = 65_536
 _CELLS = 1 << 22
+#: Similarity in percent from which documents are near copies, and the bits within which fingerprints propose a pair.
+NEAR_PERCENT, NEAR_RADIUS = 80, 16
+#: Pairs per node above which a pair of tiles is crowded, and rounds in which crowded tiles give a few pairs per node.
+CROWD, ROUNDS = 4, 3
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -149,13 +153,178 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
-    """The documents whose id is the smallest of their component; of rows with that id, one stays.
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles; a text shorter than ``width`` words is one shingle."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    width = min(width, len(words))
+    digest = xxhash.xxh64_intdigest
+    found = {digest(b" ".join(words[at:at + width]), SEED) for at in range(len(words) - width + 1)} if words else ()
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """Fingerprint that counts each distinct shingle once, so that distances follow the Jaccard similarity of the sets."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _HASH_BLOCK):
+        block = hashes[at:at + _HASH_BLOCK].astype("<u8")
+        ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
+
+
+def shingle_nodes(docs: DataFrame, width: int, sets: bool = False) -> DataFrame:
+    """``(id, node, fp, n)`` per document: key, fingerprint and size of its set of shingles; with ``sets`` the set as well."""
+    def make():
+        def step(batch: pd.DataFrame) -> pd.DataFrame:
+            found = [shingle_set(t, width) for t in batch["text"]]
+            out = pd.DataFrame({
+                "id": batch["id"], "node": np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found], np.uint64).view(np.int64),
+                "fp": np.array([set_fingerprint(h) for h in found], np.uint64).view(np.int64), "n": [len(h) for h in found]})
+            return out.assign(shingles=[h.view(np.int64) for h in found]) if sets else out
+        return step
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    pairs = docs.select(F.col("doc_id").alias("id"), "text")
+    return map_pandas(pairs, make, f"id {kind}, node bigint, fp bigint, n long" + (", shingles array<bigint>" if sets else ""))
+
+
+def _tile_candidates(left: pd.DataFrame, right: pd.DataFrame | None, radius: int, percent: int,
+                     limit: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of nodes of two tiles (or within one) that are in different groups, near enough and of sizes that allow ``percent``.
+
+    Where they are more than ``limit`` a node, each node gives two pairs instead, with its nearest partner and with the
+    one that has most partners, and the last result is false.
+    """
+    within = right is None
+    right = left if within else right
+    a, b = left["fp"].to_numpy(), right["fp"].to_numpy()
+    a_n, b_n = left["n"].to_numpy(), right["n"].to_numpy()
+    a_group, b_group = left["label"].to_numpy(), right["label"].to_numpy()
+
+    def blocks():
+        rows = max(1, _CELLS // max(1, len(b)))
+        for at in range(0, len(a), rows):
+            to = min(at + rows, len(a))
+            far = np.bitwise_count(a[at:to, None] ^ b)
+            i, j = np.nonzero(far <= radius)
+            low, high = np.minimum(a_n[at + i], b_n[j]), np.maximum(a_n[at + i], b_n[j])
+            fits = (100 * low >= percent * high) & (a_group[at + i] != b_group[j])
+            i, j = i[fits], j[fits]
+            yield at + i, j, far[i, j]
+
+    a_count, b_count = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    kept, total = [], 0
+    most = None if limit is None else limit * (len(a) if within else len(a) + len(b))
+    for i, j, _ in blocks():
+        a_count += np.bincount(i, minlength=len(a))
+        b_count += np.bincount(j, minlength=len(b))
+        if within:
+            i, j = i[i < j], j[i < j]
+        total += len(i)
+        if most is None or total <= most:
+            kept.append((i, j))
+    whole = most is None or total <= most
+    if not whole:
+        best = {}
+        for i, j, far in blocks():
+            for key, mine, other, rank in (("a-hub", i, j, -b_count[j]), ("a-near", i, j, far.astype(np.int64)),
+                                           ("b-hub", j, i, -a_count[i]), ("b-near", j, i, far.astype(np.int64))):
+                order = np.lexsort((other, rank, mine))
+                head = order[np.unique(mine[order], return_index=True)[1]]
+                old = best.setdefault(key, {})
+                for m, o, r in zip(mine[head].tolist(), other[head].tolist(), rank[head].tolist()):
+                    if m not in old or (r, o) < old[m]:
+                        old[m] = (r, o)
+        kept = [(np.array([m if k[0] == "a" else o for m, (_, o) in old.items()], np.int64),
+                 np.array([o if k[0] == "a" else m for m, (_, o) in old.items()], np.int64)) for k, old in best.items()]
+    i, j = (np.concatenate(x) for x in zip(*(kept or [(np.empty(0, np.int64),) * 2])))
+    return left["node"].to_numpy()[i], right["node"].to_numpy()[j], whole
+
+
+def candidates(nodes: DataFrame, radius: int, percent: int, limit: int | None, tile: int = TILE) -> DataFrame:
+    """``(a, b, whole)``: pairs of ``nodes`` ``(node, fp, n, label)`` with different labels that may be ``percent`` similar.
+
+    Tiles are those of ``links``. ``whole`` is false where a pair of tiles gave only some of its pairs.
+    """
+    spark = nodes.sparkSession
+    counted = nodes.withColumn("ones", F.bit_count("fp").cast("int"))
+    sizes = {r["ones"]: -(-r["count"] // tile) for r in counted.groupBy("ones").count().collect()}
+    first, total = {}, 0
+    for ones in sorted(sizes):
+        first[ones], total = total, total + sizes[ones]
+    if not total:
+        return spark.createDataFrame([], "a bigint, b bigint, whole boolean")
+    info = F.create_map(*[F.lit(v) for ones in sizes for v in (ones, sizes[ones])])
+    start = F.create_map(*[F.lit(v) for ones in sizes for v in (ones, first[ones])])
+    columns = ["node", "fp", "n", "label"]
+    tiles = (counted.withColumn("tile", start[F.col("ones")] + F.pmod(F.xxhash64("node"), info[F.col("ones")]).cast("int"))
+             .groupBy("ones", "tile").agg(F.collect_list(F.struct(*columns)).alias("items"))
+             .select("ones", "tile", *[F.col(f"items.{c}").alias(c) for c in columns]))
+    partner = F.flatten(F.transform(F.sequence(F.col("ones") - radius, F.col("ones") + radius), lambda o: F.when(
+        info[o].isNotNull(), F.sequence(start[o], start[o] + info[o] - 1)).otherwise(F.array().cast("array<int>"))))
+    sides = tiles.withColumn("other", F.explode(partner)).select(
+        F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), F.struct("tile", *columns).alias("side"))
+    pairs = sides.groupBy("lo", "hi").agg(F.array_sort(F.collect_list("side")).alias("sides")).where("lo = hi or size(sides) = 2")
+
+    def make():
+        def step(batch: pd.DataFrame) -> pd.DataFrame:
+            found = []
+            for sides in batch["sides"]:
+                both = [pd.DataFrame({c: np.array(s[c], np.int64) for c in columns}) for s in sides]
+                both = [t.assign(fp=t["fp"].to_numpy().view(np.uint64)) for t in both]
+                a, b, whole = _tile_candidates(both[0], both[1] if len(both) > 1 else None, radius, percent, limit)
+                found.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "whole": whole}))
+            return pd.concat(found)
+        return step
+    return map_pandas(pairs.select("sides"), make, "a bigint, b bigint, whole boolean")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ``(a, b)`` whose sets ``(node, shingles)`` have a Jaccard similarity of at least ``percent``, by joining both sets."""
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
+    common = F.size(F.array_intersect("left", "right"))
+    return pairs.join(left, "a").join(right, "b").where(
+        100 * common >= percent * (F.size("left") + F.size("right") - common)).select("a", "b")
+
+
+def near_links(docs: DataFrame, nodes: DataFrame, width: int, radius: int, percent: int, tile: int = TILE) -> DataFrame:
+    """``(node, root)`` of the sets ``nodes`` that pairs of at least ``percent`` similarity connect.
+
+    A large group would give the square of its size in pairs. So up to ``ROUNDS`` times crowded tiles give a few pairs per
+    node; what these connect is one group and needs no further pairs. The last round has all pairs that are left.
+    """
+    spark = docs.sparkSession
+    edges = spark.createDataFrame([], "a bigint, b bigint")
+    tested = edges
+    roots = spark.createDataFrame([], "node bigint, root bigint")
+    for turn in range(ROUNDS + 1):
+        labelled = stage(nodes.join(roots, "node", "left").select("node", "fp", "n", F.coalesce("root", "node").alias("label")), "labelled")
+        found = stage(candidates(labelled, radius, percent, None if turn == ROUNDS else CROWD, tile), "candidates")
+        whole = found.agg(F.min("whole")).first()[0]
+        pairs = stage(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "candidate-pairs")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        heads = stage(nodes.join(wanted, "node", "left_semi").select("node", "id"), "candidate-nodes")
+        texts = docs.join(heads.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        sets = stage(shingle_nodes(texts, width, sets=True).join(heads.select("node"), "node", "left_semi").select(
+            "node", "shingles").dropDuplicates(["node"]), "shingle-sets")
+        edges = stage(edges.unionByName(similar(pairs, sets, percent)), "similar")
+        roots = stage(components(edges), "roots")
+        if whole is not False:
+            break
+        tested = stage(tested.unionByName(pairs), "tested")
+    return roots
+
+
+def deduplicate(docs: DataFrame, width: int = 5, radius: int = NEAR_RADIUS, percent: int = NEAR_PERCENT, tile: int = TILE) -> DataFrame:
+    """The documents whose id is the smallest of their group; of rows with that id, one stays.
 
-    Documents without a word are not near copies of each other here: they all stay.
+    A group is what pairs of documents connect whose sets of ``width``-word shingles have a Jaccard similarity of at least
+    ``percent``. Fingerprints within ``radius`` bits propose the pairs, the sets decide. Documents without a word are not
+    near copies of each other here: they all stay.
     """
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & F.col("doc_id").isNotNull()
-    groups = near_duplicates(docs.where(worded), "doc_id", "text", width, radius)
-    heads = stage(groups.where("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
+    nodes = stage(stage(shingle_nodes(docs.where(worded), width), "shingle-nodes").groupBy("node", "fp", "n").agg(F.min("id").alias("id")), "nodes")
+    roots = near_links(docs.where(worded), nodes, width, radius, percent, tile)
+    grouped = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
+    heads = stage(grouped.agg(F.min("id").alias("doc_id")).select("doc_id").distinct(), "kept-ids")
     one = docs.where(worded).join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.select(docs.columns).unionByName(docs.where(~worded))

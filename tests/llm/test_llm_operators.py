@@ -75,6 +75,53 @@ def test_simhash_equals_all_pairs(spark, docs, tile):
     assert sorted(map(tuple, got), key=key) == sorted(((i, f"{p:016x}", expected[p]) for i, p in given), key=key)
 
 
+def slow_sets(text, width=5):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(" ".join(words[i:i + width]) for i in range(max(1, len(words) - width + 1))) if words else frozenset()
+
+
+def slow_kept(rows, percent=80):
+    """The ids that stay of rows (id, text), by the exact similarity of all pairs."""
+    sets = [(i, slow_sets(t)) for i, t in rows]
+    root = {i: i for i, _ in sets}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+    for at, (i, a) in enumerate(sets):
+        for j, b in sets[:at]:
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    return {i for i in root if find(i) == i}
+
+
+@pytest.mark.parametrize("tile,crowd", [(32_768, 4), (5, 0)])
+def test_near_dedup_equals_all_pairs_of_sets(spark, monkeypatch, tile, crowd):
+    draw = random.Random(11)
+    rows = []
+    for base in range(12):
+        words = [f"w{draw.randrange(5_000)}" for _ in range(draw.choice([60, 150, 400]))]
+        for change in (0, 0, 1, 1, 2, 3, 4, 6, 9):
+            other = list(words)
+            for at in draw.sample(range(len(words)), change):
+                other[at] = f"n{draw.randrange(5_000)}"
+            rows.append((len(rows), " ".join(other)))
+    words = [f"h{i}" for i in range(200)]
+    rows += [(1000 + i, " ".join(words[:i] + ["odd"] + words[i + 1:])) for i in range(60)]
+    rows += [(2000 + i, t) for i, t in enumerate(["a b c", "A  b\nc", "a b d", "", None, "a b c d e f"])]
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.deduplicate(frame, tile=tile).collect()} == slow_kept(rows)
+
+
+def test_near_dedup_finds_the_near_copies_of_the_tables(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in frame.collect()]
+    assert {r.doc_id for r in simhash.deduplicate(frame).collect()} == slow_kept(rows)
+
+
 def test_tile_links_connect_what_all_pairs_connect():
     draw = np.random.default_rng(3)
     centres = draw.integers(0, 2 ** 63, 30, dtype=np.uint64)
