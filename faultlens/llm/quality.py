@@ -1,7 +1,9 @@
 """Quality rules per document and per host.
 
-Rule failures are aggregated by host. The rate of each host is shrunk towards the corpus with a beta prior fitted to all
-hosts by moments, and the verdict is joined back: documents of a suspect host also have to pass the strict rules.
+Failures of all rules are aggregated by host. The rate of each host is shrunk towards the corpus with a beta prior fitted
+to all hosts by moments, and two limits that follow from it are joined back: how many symbols and how many repeated lines
+a document of that host may have. Gross cases go at the prior mean already, the limits tighten as the rate rises to that
+of a suspect host, and loosen only for hosts with less than half the failures of the corpus.
 """
 
 from __future__ import annotations
@@ -17,8 +19,11 @@ from faultlens.session import stage
 
 #: Shrunk failure rate from which a host is suspect.
 SUSPECT_RATE = 0.5
-#: Strict rules for suspect hosts: percent of characters in words that are symbols, of lines that repeat.
+#: Strict rules, whose failures count towards the rate: percent of characters in words that are symbols, of lines that repeat.
 STRICT_SYMBOLS, STRICT_LINES = 10, 30
+#: The limits, in the same percentages, at the prior mean and on suspect hosts.
+PRIOR_SYMBOLS, PRIOR_LINES = 10, 50
+SUSPECT_SYMBOLS, SUSPECT_LINES = 5, 30
 _SPACES = " \t\n\v\f\r"
 
 
@@ -58,35 +63,45 @@ def rules(docs: DataFrame) -> DataFrame:
 
 
 def host_verdicts(ruled: DataFrame, suspect_rate: float = SUSPECT_RATE) -> DataFrame:
-    """``(host, n_docs, n_failed, shrunk_rate, suspect)``; the null host is a host of its own.
+    """``(host, n_docs, n_failed, shrunk_rate, suspect, symbol_limit, line_limit)``; the null host is a host of its own.
 
+    ``n_failed`` counts the documents that fail any rule. The limits go in a straight line from those of the prior mean to
+    those of a suspect host, and grow as half the mean over the rate below half the mean.
     Prior mean and strength by the method of moments over host rates; without spread between hosts beyond chance the
     strength is taken as the largest host's count, so that all hosts move to the mean.
     """
-    hosts = stage(ruled.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed")), "hosts")
+    hosts = stage(ruled.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(
+        (F.col("base_failed") | F.col("strict_failed")).cast("long")).alias("n_failed")), "hosts")
     total = hosts.agg(F.sum("n_docs").alias("all_docs"), F.sum("n_failed").alias("all_failed"), F.max("n_docs").alias("most"),
                       F.avg(F.lit(1.0) / F.col("n_docs")).alias("inverse"),
                       F.coalesce(F.var_samp(F.col("n_failed") / F.col("n_docs")), F.lit(0.0)).alias("spread")).first()
     if not total["all_docs"]:
-        return hosts.withColumn("shrunk_rate", F.lit(0.0)).withColumn("suspect", F.lit(False))
+        return hosts.withColumns({"shrunk_rate": F.lit(0.0), "suspect": F.lit(False), "symbol_limit": F.lit(float(PRIOR_SYMBOLS)),
+                                  "line_limit": F.lit(float(PRIOR_LINES))})
     mean = total["all_failed"] / total["all_docs"]
     chance = mean * (1 - mean)
     between = total["spread"] - chance * total["inverse"]
     strength = min(max(chance / between - 1, 1.0), float(total["most"])) if between > 0 else float(total["most"])
     rate = (F.col("n_failed") + mean * strength) / (F.col("n_docs") + strength)
-    return hosts.withColumn("shrunk_rate", rate).withColumn("suspect", F.col("shrunk_rate") >= suspect_rate)
+    over = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("shrunk_rate") - mean) / max(suspect_rate - mean, 1e-9)))
+    loose = F.when(2 * F.col("shrunk_rate") < mean, mean / (2 * F.col("shrunk_rate"))).otherwise(F.lit(1.0))
+    limits = {"symbol_limit": loose * (PRIOR_SYMBOLS - over * (PRIOR_SYMBOLS - SUSPECT_SYMBOLS)),
+              "line_limit": loose * (PRIOR_LINES - over * (PRIOR_LINES - SUSPECT_LINES))}
+    return hosts.withColumn("shrunk_rate", rate).withColumn("suspect", F.col("shrunk_rate") >= suspect_rate).withColumns(limits)
 
 
 def judge(docs: DataFrame, suspect_rate: float = SUSPECT_RATE) -> DataFrame:
     """All measures, ``base_failed`` and ``kept`` per row; repeated rows stay, extra columns are ignored.
 
-    Empty and null texts fail the base rule. A document is kept if it passes the base rules and, on a suspect host, the
-    strict ones as well. An empty table gives an empty result.
+    Empty and null texts fail the base rule. A document is kept if it passes the base rules and has no more symbols and
+    repeated lines than the limits of its host. An empty table gives an empty result.
     """
     ruled = stage(rules(docs), "rules")
-    hosts = host_verdicts(ruled, suspect_rate).select(F.col("host").alias("host__"), "shrunk_rate", "suspect")
+    hosts = host_verdicts(ruled, suspect_rate).select(F.col("host").alias("host__"), "shrunk_rate", "suspect", "symbol_limit", "line_limit")
     joined = ruled.join(hosts, F.col("host").eqNullSafe(F.col("host__")), "left").drop("host__")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~(F.col("suspect") & F.col("strict_failed")))
+    garbage = 100 * F.col("n_symbols") > F.col("symbol_limit") * F.col("word_chars")
+    repeated = 100 * F.col("n_dup_lines") > F.col("line_limit") * F.col("n_lines")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~garbage & ~repeated)
 
 
 def keep(docs: DataFrame, suspect_rate: float = SUSPECT_RATE) -> DataFrame:

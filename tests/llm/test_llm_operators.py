@@ -286,6 +286,25 @@ def test_suspect_hosts_meet_strict_rules(spark):
     assert kept == {50, 150} | set(range(100, 140))
 
 
+def test_host_limits_reject_junk_and_leave_clean_documents(spark):
+    frame, known = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    judged = quality.judge(frame).join(known.select("doc_id", "quality"), "doc_id", "left").where("not base_failed").toPandas()
+    gone = judged[~judged["kept"]]
+    assert (gone["quality"] == 0).sum() >= 260 and (gone["quality"] == 1).sum() == 0
+    assert judged[judged["quality"] == 0]["kept"].mean() < 0.1
+
+
+def test_limits_tighten_with_the_rate_of_the_host(spark):
+    clean = " ".join(f"w{i}" for i in range(80))
+    some = clean + " " + "#" * 17
+    lines_ = "\n".join([clean] * 3 + [f"{clean} {i}" for i in range(2)])
+    rows = [(1000 * h + i, clean if i >= bad else "short", "en", f"h{h}", 1, None, None) for h, bad in enumerate((4, 4, 4, 4, 36)) for i in range(40)]
+    rows += [(1000 * h + 500 + k, t, "en", f"h{h}", 1, None, None) for h in range(5) for k, t in enumerate((some, lines_))]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, DOCS)).where("not base_failed").collect()}
+    assert [got[1000 * h + 500] for h in range(5)] == [True] * 4 + [False]
+    assert all(got[1000 * h + i] for h in range(5) for i in range(36, 40))
+
+
 def test_shards_are_even_and_slots_gapless(docs, none):
     got = shards.assign(docs, shards=4, slack=0.05).toPandas()
     assert len(got) == docs.count() and got["shard"].between(0, 3).all()
