@@ -3,54 +3,85 @@
 A line is boilerplate if it stands in documents of at least ``min_sites`` distinct sites. Lines of one site are set
 aside by their smallest and largest site. For the others HyperLogLog sketches of the sites, kept per line hash, are
 merged by the aggregation; where the estimate is near the threshold, distinct sites are counted exactly.
+
+``by_length`` lets the spread needed fall with the length of the line and counts documents as well (see ``needed``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultlens.llm.common import WORD
 from faultlens.session import stage
 
 MIN_SITES = 5
 MIN_CHARS = 20
+#: By length: a line of more than so many words needs so many sites; shorter lines need MIN_SITES, those under MIN_CHARS SHORT_SITES.
+LONG_LINES = [(50, 2), (25, 3), (12, 4)]
+SHORT_SITES = 15
+#: By length: documents for each site needed that have the same effect, so that a line inside one hot site goes as well.
+SITE_DOCS = 10
 LG_K = 12
 #: Half the width of the band around the threshold, in standard errors of the sketch.
 ERRORS = 4
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``(doc, copy, at, site, line)``: trimmed lines of some length, as 16-byte hashes with their places."""
+def needed(line: Column) -> Column:
+    """Sites that a trimmed line needs to be boilerplate, by its length."""
+    words, need = F.regexp_count(line, F.lit(WORD)), F.when(F.length(line) < MIN_CHARS, SHORT_SITES)
+    for least, sites in LONG_LINES:
+        need = need.when(words > least, sites)
+    return need.otherwise(MIN_SITES)
+
+
+def _lines(docs: DataFrame, min_chars: int, by_length: bool) -> DataFrame:
+    """``(doc, copy, at, site, line)``: trimmed lines of some length, as 16-byte hashes with their places; ``need`` by length."""
     keyed = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("copy"), F.col("source").alias("site"),
                         F.posexplode(F.split("text", "\n", -1)).alias("at", "raw"))
     trimmed = keyed.withColumn("raw", F.regexp_replace("raw", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
-    return trimmed.where(F.length("raw") >= min_chars).select("doc", "copy", "at", "site", F.unhex(F.md5("raw")).alias("line"))
+    need = [needed(F.col("raw")).alias("need")] if by_length else []
+    return trimmed.where(F.length("raw") >= (1 if by_length else min_chars)).select(
+        "doc", "copy", "at", "site", F.unhex(F.md5("raw")).alias("line"), *need)
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """``(line, first_doc)`` of the lines in at least ``min_sites`` sites; a null site counts as none."""
-    pairs = stage(lines.where("site is not null").groupBy("line", "site").agg(F.min("doc").alias("first_doc")), "line-sites")
-    wide = stage(pairs.groupBy("line").agg(
+    """``(line, first_doc)`` of the lines in at least ``min_sites`` sites; a null site counts as none.
+
+    With a column ``need`` each line needs so many sites, or SITE_DOCS times as many documents.
+    """
+    lines, by_length = lines.where("site is not null"), "need" in lines.columns
+    need = F.col("need") if by_length else F.lit(min_sites)
+    if by_length:
+        once = lines.groupBy("line", "site", "doc", "need").agg(F.lit(1))
+        pairs = once.groupBy("line", "site", "need").agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("docs"))
+    else:
+        pairs = lines.groupBy("line", "site").agg(F.min("doc").alias("first_doc"))
+    pairs = stage(pairs, "line-sites")
+    keys = ["line", "need"] if by_length else ["line"]
+    crowd = F.sum("docs") >= SITE_DOCS * need if by_length else F.lit(False)
+    wide = stage(pairs.groupBy(*keys).agg(
         F.min("site").alias("low"), F.max("site").alias("high"), F.hll_sketch_agg("site", lg_k).alias("sketch"),
-        F.min("first_doc").alias("first_doc")).where("low < high").select(
-            "line", "first_doc", F.hll_sketch_estimate("sketch").alias("sites")), "spread")
-    slack = max(1.0, ERRORS * 1.04 / 2 ** (lg_k / 2) * min_sites)
-    sure = wide.where(F.col("sites") > min_sites + slack).select("line", "first_doc")
-    near = wide.where(F.abs(F.col("sites") - min_sites) <= slack).select("line", "first_doc")
-    exact = (pairs.join(near.select("line"), "line", "left_semi").groupBy("line").agg(F.countDistinct("site").alias("sites"))
-             .where(F.col("sites") >= min_sites).select("line"))
-    return sure.unionByName(near.join(exact, "line", "left_semi"))
+        F.min("first_doc").alias("first_doc"), crowd.alias("crowd")).where("low < high or crowd").select(
+            *keys, "first_doc", "crowd", F.hll_sketch_estimate("sketch").alias("sites")), "spread")
+    slack = F.greatest(F.lit(1.0), ERRORS * 1.04 / 2 ** (lg_k / 2) * need)
+    sure = wide.where(F.col("crowd") | (F.col("sites") > need + slack)).select("line", "first_doc")
+    near = wide.where(~F.col("crowd") & (F.abs(F.col("sites") - need) <= slack)).select(*keys, "first_doc")
+    exact = (pairs.join(near.select("line"), "line", "left_semi").groupBy(*keys).agg(F.countDistinct("site").alias("sites"))
+             .where(F.col("sites") >= need).select("line"))
+    return sure.unionByName(near.select("line", "first_doc").join(exact, "line", "left_semi"))
 
 
-def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, report: bool = False) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, report: bool = False,
+                     by_length: bool = False) -> DataFrame:
     """``documents`` without the boilerplate lines, except in the document of smallest id that has them.
 
     All documents stay: null texts stay null, a text that loses all lines becomes empty. Other lines, short lines and
     empty lines keep their order. Repeated rows are treated alike. A null id is never the first holder. ``n_chars`` is
     set anew where a text changed. Extra columns pass through. With ``report`` the result is
-    ``(doc_id, n_lines, n_dropped, text)`` instead.
+    ``(doc_id, n_lines, n_dropped, text)`` instead. With ``by_length`` ``needed`` takes the place of both minima.
     """
-    lines = stage(_lines(docs, min_chars), "lines")
+    lines = stage(_lines(docs, min_chars, by_length), "lines")
     bad = stage(boilerplate(lines, min_sites), "boilerplate")
     gone = lines.join(bad, "line").where(~F.col("doc").eqNullSafe(F.col("first_doc"))).groupBy("doc", "copy").agg(
         F.collect_set("at").alias("gone_lines__"))

@@ -189,6 +189,36 @@ def test_line_spread_near_the_threshold_is_exact(spark):
     assert lines.boilerplate(pairs, 30, lg_k=4).count() == 30
 
 
+def slow_lines(rows):
+    """Texts of rows (id, text, source) without the lines that their length, sites and documents make boilerplate."""
+    sites, ids, texts = {}, {}, {}
+    trim = lambda x: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x)
+    for i, text, source in rows:
+        for line in map(trim, text.split("\n")):
+            sites.setdefault(line, set()).add(source)
+            ids.setdefault(line, set()).add(i)
+
+    def gone(line, i):
+        words = len(WORD.findall(line))
+        need = 15 if len(line) < 20 else 2 if words > 50 else 3 if words > 25 else 4 if words > 12 else 5
+        return line and i != min(ids[line]) and (len(sites[line]) >= need or len(ids[line]) >= 10 * need)
+    for i, text, _ in rows:
+        texts[i] = "\n".join(x for x in text.split("\n") if not gone(trim(x), i))
+    return texts
+
+
+def test_pipeline_lines_go_by_length_sites_and_documents(spark):
+    import corpus_pipeline
+    long, middle, hot = (" ".join(f"{k}{i}" for i in range(n)) for k, n in (("l", 60), ("m", 30), ("hot", 60)))
+    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    rows += [(10_000 + i, f"own {i} a\n{long}", f"src{i}") for i in range(2)] + [(10_010 + i, f"own {i} b\n{middle}", f"src{i}") for i in range(2)]
+    rows += [(10_100 + i, f"own {i} c\n {hot}", "src1") for i in range(20)] + [(10_200 + i, f"own {i} d\nAccept all cookies", f"s{i}") for i in range(15)]
+    frame = spark.createDataFrame([(i, t, "en", s, len(t), None, None) for i, t, s in rows], DOCS)
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, frame, SF).collect()}
+    assert got == slow_lines(rows)
+    assert got[10_001] == "own 1 a" and middle in got[10_011] and got[10_119] == "own 19 c" and got[10_209] == "own 9 d"
+
+
 def test_language_accuracy_on_held_out(spark):
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(frame).join(frame, "doc_id").where("held_out and length(text) >= 100").toPandas()
