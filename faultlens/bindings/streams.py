@@ -29,11 +29,17 @@ def _(spark, sf):
 
 @query("a3_read_node_logs", with_(*LOGGED) + """SELECT node, date_trunc('hour', ts) AS ts, count(*) AS n, CAST(sum(is_error) AS BIGINT) AS errors, CAST(sum(msg_len) AS BIGINT) AS chars FROM logs GROUP BY ALL""")
 def _(spark, sf):
-    """Log files per node written from the events (several part files per node), then parsed by file name."""
+    """Log files ``…<node>_raw.log`` written from the events (several per node), then read by the operator."""
     path = new_folder(spark, "logs")
     log_lines(spark, sf).select("line", "hint").write.partitionBy("hint").text(path)
-    raw = files.read_lines(spark, path + "/*")
-    parsed = files.log_measures(files.parse_node_lines(raw, F.regexp_extract("file", r"hint=(\w+)", 1)))
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(at(path)):
+        name = folder.getPath().getName()
+        if name.startswith("hint="):
+            for nth, part in enumerate(fs.listStatus(folder.getPath())):
+                fs.rename(part.getPath(), at(f"{path}/{nth:05d}-{name[5:]}_raw.log"))
+    parsed = files.read_node_logs(spark, path)
     return parsed.groupBy("node", F.date_trunc("hour", "ts").alias("ts")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("is_error").alias("errors"), F.sum("msg_len").alias("chars"))
 

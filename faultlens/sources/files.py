@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ from faultlens.operators.clean import normalize_ts
 from faultlens.operators.ordered import carry_in, inside, with_position
 from faultlens.schemas import EVENT_FIELDS, RANGE_RESPONSE, SCORES, STEP_SECONDS, THRESHOLDS
 
-#: Log files up to this size are decoded whole, so that a byte order mark can be honoured; larger ones are split.
-WHOLE_FILE_BYTES = 64 * 1024 * 1024
+#: Encodings of log files by the hexadecimal byte order mark; files without one are UTF-8.
+MARKS = {"FFFE": "UTF-16LE", "FEFF": "UTF-16BE"}
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -55,29 +57,47 @@ def read_fault_events(spark: SparkSession, path: str) -> DataFrame:
     return events_from_lines(read_lines(spark, path))
 
 
-def decode_bytes(content: Column) -> Column:
-    """Text of a file: UTF-16 by its byte order mark, else UTF-8; NUL characters removed."""
-    mark = F.hex(F.substring(content, 1, 2))
-    even = F.substring(content, F.lit(1), (F.length(content) / 2).cast("int") * 2)
-    valid = F.regexp_replace(F.make_valid_utf8(content.cast("string")), "\uFFFD", "")
-    text = F.when(mark.isin("FFFE", "FEFF"), F.decode(even, "UTF-16")).otherwise(valid)
-    return F.regexp_replace(text, r"\x00|^\uFEFF", "")
+def log_encodings(spark: SparkSession, path: str, pattern: str) -> dict[str, list[str]]:
+    """Paths of the log files of a folder by encoding. The driver reads the first two bytes of each file."""
+    found: dict[str, list[str]] = {}
+    for row in spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path").collect():
+        at = spark._jvm.org.apache.hadoop.fs.Path(row["path"])
+        stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+        try:
+            mark = "".join(f"{b & 255:02X}" for b in (stream.read(), stream.read()))
+        finally:
+            stream.close()
+        found.setdefault(MARKS.get(mark, "UTF-8"), []).append(re.sub(r"([\[\]{}*?\\])", r"\\\1", row["path"]))
+    return found
+
+
+def decode_line(value: Column, encoding: str) -> Column:
+    """Text of the bytes of a line; bytes that are not UTF-8, and half a character at the end of UTF-16, go."""
+    if encoding == "UTF-8":
+        return F.regexp_replace(F.make_valid_utf8(value), "\uFFFD", "")
+    raw = value.cast("binary")
+    return F.decode(F.substring(raw, F.lit(1), F.floor(F.length(raw) / 2).cast("int") * 2), encoding)
 
 
 def read_log_lines(spark: SparkSession, path: str, pattern: str = "*_raw.log") -> DataFrame:
-    """(file, line_no, line) of log files. Files over WHOLE_FILE_BYTES must be UTF-8 and are read in splits."""
-    small = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-             .where(F.col("length") <= WHOLE_FILE_BYTES)
-             .select(F.col("path").alias("file"), F.split(decode_bytes(F.col("content")), "\r\n|\n|\r").alias("_l"))
-             .select("file", F.posexplode("_l").alias("line_no", "line"))
-             .withColumn("line_no", F.col("line_no").cast("bigint")))
-    raw = (spark.read.option("pathGlobFilter", pattern).text(path)
-           .where(F.col("_metadata.file_size") > WHOLE_FILE_BYTES)
-           .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
-                   F.regexp_replace("value", r"\x00", "").alias("line"))
-           .withColumn("_id", F.monotonically_increasing_id()))
-    large = with_position(raw, ["file"], ["_start", "_id"], F.col("_start"), "line_no").drop("_start", "_id")
-    return small.unionByName(large.select("file", "line_no", "line"))
+    """(file, line_no, line) of log files, read in splits at every size: UTF-16 by the byte order mark, else UTF-8.
+
+    Lines end with LF, CR LF or CR; NUL characters and the mark are removed. UTF-16 is cut at the two bytes of LF, which
+    two other characters could hold across their border (U+0Axx before U+xx00, or the reverse in big-endian order).
+    """
+    out = spark.createDataFrame([], "file string, _start bigint, _id bigint, _sub int, line string")
+    for encoding, paths in log_encodings(spark, path, pattern).items():
+        reader = spark.read if encoding == "UTF-8" else spark.read.option("encoding", encoding).option("lineSep", "\n")
+        raw = reader.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
+                                        F.monotonically_increasing_id().alias("_id"), decode_line(F.col("value"), encoding).alias("line"))
+        if encoding != "UTF-8":
+            raw = raw.select("file", "_start", "_id", F.posexplode(F.split(F.regexp_replace("line", r"\r\z", ""), "\r")).alias("_sub", "line"))
+        else:
+            raw = raw.withColumn("_sub", F.lit(0))
+        out = out.unionByName(raw.select("file", "_start", "_id", "_sub", "line"))
+    out = with_position(out, ["file"], ["_start", "_id", "_sub"], F.col("_start"), "line_no")
+    clean = F.regexp_replace("line", r"\x00", "")
+    return out.select("file", "line_no", F.when(F.col("line_no") == 0, F.regexp_replace(clean, "^\uFEFF", "")).otherwise(clean).alias("line"))
 
 
 def parse_node_lines(lines: DataFrame, hint: Column) -> DataFrame:

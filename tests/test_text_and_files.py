@@ -52,6 +52,39 @@ def test_node_logs_in_each_encoding(spark, tmp_path, encoding):
     assert list(got.is_error) == [0, 1, 0] and list(got.msg_len) == [8, 11, 6]
 
 
+def test_node_logs_do_not_depend_on_encoding_and_splits(spark, tmp_path):
+    lines = [f"[2026-04-06T10:{i // 60 % 60:02d}:{i % 60:02d}] [{'DB' if i % 3 else 'APP'}] ü漢 {i} " + "x" * (i % 19) for i in range(900)]
+    ends = ["\n", "\r\n", "\r"]
+    body = "".join(line + ends[i % 3 if i % 50 == 0 else i % 2] for i, line in enumerate(lines)) + "last\n"
+    for name, data in (("a", body.encode()), ("b", b"\xff\xfe" + body.encode("utf-16-le")), ("c", b"\xfe\xff" + body.encode("utf-16-be")),
+                       ("d", body.encode().replace(b"last", b"la\xffst")), ("e", b"\xef\xbb\xbf" + body.encode())):
+        (tmp_path / f"{name}_raw.log").write_bytes(data)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("4096", "4097", "64m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = rows(files.read_log_lines(spark, str(tmp_path)), "file", "line_no")
+            assert got.file.nunique() == 5
+            for _, part in got.groupby("file"):
+                assert list(part.line) == lines + ["last"] and list(part.line_no) == list(range(901))
+            logs = rows(files.read_node_logs(spark, str(tmp_path)), "file", "line_no")
+            assert len(logs) == 4500 and set(logs.node) == {"app", "db"} and logs.message[1] == "ü漢 1 x"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_utf16_log_is_read_in_splits(spark, tmp_path):
+    (tmp_path / "db_raw.log").write_bytes(b"\xff\xfe" + ("2026-04-06T10:00:01Z stdout F ü\n" * 3000).encode("utf-16-le"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        assert spark.read.option("encoding", "UTF-16LE").option("lineSep", "\n").text(str(tmp_path)).rdd.getNumPartitions() > 3
+        got = rows(files.read_node_logs(spark, str(tmp_path)), "line_no")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 3000 and set(got.node) == {"db"} and set(got.message) == {"ü"} and set(got.msg_len) == {1}
+
+
 def test_archive_sections(spark, tmp_path):
     (tmp_path / "raw_logs_harvested.txt").write_text(
         "# Raw Log Archive\n"
