@@ -1,8 +1,9 @@
 """BPE encoding by dynamic programming over prefixes, and decoding.
 
-The last token of the encoding of a prefix is unique. A suffix automaton of the vocabulary gives the tokens that end at
-each byte; the longest one that is compatible with the last token of the prefix before it is stored. Following the stored
-tokens from the end gives the ids that repeated merging would give, in time linear in the text.
+The last token of the encoding of a prefix is unique. An Aho-Corasick automaton of the vocabulary gives the tokens that end
+at each byte; the longest one that is compatible with the last token of the prefix before it is stored. Following the
+stored tokens from the end gives the ids that repeated merging would give, in time linear in the text. Aho-Corasick stands
+in for a suffix automaton, as it reports the same tokens (those that end at a byte) and a compiled package of it is at hand.
 """
 
 from __future__ import annotations
