@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import bpe, langid, lines, mixing, neighbours, quality, secrets, shards, simhash, warc
+from faultlens.llm import (bpe, byte_tokens, dialogue, importance, langid, lines, mixing, neighbours, quality, secrets, shards, simhash,
+                           warc)
 from faultlens.llm.common import table
 from faultlens.session import prepare
 
@@ -57,13 +58,28 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(prepare(spark), sf_dir, "conversations")
+    return dialogue.repair_conversations(dialogue.damage(rows), rows)
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_tokens.encode(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                              public_tokenizers.PATTERN)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(prepare(spark), sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_neighbours, op3_line_dedup, op4_language, op5_warc, op6_secrets, op7_quality,
-                                   op8_shards, op9_mixing, op10_bpe, pipeline)}
+                                   op8_shards, op9_mixing, op10_bpe, op11_conversations, op12_importance, op13_byte_bpe,
+                                   pipeline)}
 
 _SPACES = r"[\x20\x09-\x0D]"
 
@@ -79,6 +95,4 @@ ORACLES = {
         select doc_id, count(*) as n_lines, sum(gone::int)::bigint as n_dropped,
                md5(coalesce(string_agg(raw, chr(10) order by nth) filter (where not gone), '')) as text_md5
         from marked group by doc_id""",
-    "op5_warc": None,
 }
-ORACLES = {name: sql for name, sql in ORACLES.items() if sql}
