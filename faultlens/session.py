@@ -18,8 +18,13 @@ _REQUIRED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Wide feature rows compress well but cost much to compute: do not merge them into few tasks.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # Bytes of rows that are handed to a task's Python process at once.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "32m",
 }
 
+#: Folders that ``stage`` wrote in this process and ``unstage`` has not removed, oldest first.
+_staged: list[str] = []
+
 
 def build_session(app: str = "faultlens", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings that the operators rely on. A cluster's own settings win."""
@@ -33,9 +38,14 @@ def build_session(app: str = "faultlens", master: str | None = None, **conf: str
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Put a running session into the state that the operators expect (UTC wall clock, adaptive plans)."""
+    """Put a running session into the state that the operators expect.
+
+    Times are UTC wall clock in all results, so the time zone is always set; other settings stay where the session has them.
+    """
+    given = spark.conf.getAll
     for key, value in _REQUIRED.items():
-        spark.conf.set(key, value)
+        if key == "spark.sql.session.timeZone" or key not in given:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -67,8 +77,26 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     repeating the joins before them, and a lost executor costs only its own tasks.
     """
     path = new_folder(df.sparkSession, name)
+    _staged.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def staged() -> list[str]:
+    """Folders of the staged tables that still exist, oldest first."""
+    return list(_staged)
+
+
+def unstage(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Remove staged tables, given as what ``stage`` returned or by folder, once nothing reads them any more."""
+    for table in tables:
+        path = table if isinstance(table, str) else table.staged_at
+        if path in _staged:
+            _staged.remove(path)
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def attach(df: DataFrame, dim: DataFrame, on: list[str], how: str = "left", limit: int = SMALL_ROWS) -> DataFrame:
