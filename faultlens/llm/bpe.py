@@ -143,7 +143,7 @@ def _encoder(content: str) -> Encoder:
 
 
 def encode(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` per row, with ``with_ids`` also ``ids array<int>`` and ``decoded``.
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` per row, with ``with_ids`` also ``ids array<int>``.
 
     Null texts count as empty: no ids. Repeated rows are encoded alike; extra columns are ignored; an empty table gives an
     empty result. The tokenizer file is read on the driver and broadcast; vocabularies are bounded in size.
@@ -161,9 +161,9 @@ def encode(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> Data
                                 "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids],
                                 "decoded_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]})
             if with_ids:
-                out["ids"], out["decoded"] = [np.frombuffer(i, "<i4") for i in ids], texts
+                out["ids"] = [np.frombuffer(i, "<i4") for i in ids]
             return out
         return step
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return map_pandas(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), make,
-                      schema + (", ids array<int>, decoded string" if with_ids else ""))
+                      schema + (", ids array<int>" if with_ids else ""))

@@ -1,10 +1,8 @@
 """Line dedup by spread over sites, in DataFrame functions only.
 
-A line is boilerplate if it stands in documents of at least ``min_sites`` distinct sites. Lines of one site are set
-aside by their smallest and largest site. For the others HyperLogLog sketches of the sites, kept per line hash, are
-merged by the aggregation; where the estimate is near the threshold, distinct sites are counted exactly.
-
-``by_length`` lets the spread needed fall with the length of the line and counts documents as well (see ``needed``).
+A line is boilerplate if it stands in enough distinct sites, or in ten times as many documents; how many are enough falls
+with its length (``needed``). HyperLogLog sketches of sites and of documents are kept per line hash and merged by the
+aggregation. Where an estimate is near the number needed, exact distinct counts of these lines alone decide.
 """
 
 from __future__ import annotations
@@ -12,18 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import WORD
-from faultlens.session import stage
+from faultlens.llm.common import WORD, packed
+from faultlens.session import stage, unstage
 
-MIN_SITES = 5
-MIN_CHARS = 20
-#: By length: a line of more than so many words needs so many sites; shorter lines need MIN_SITES, those under MIN_CHARS SHORT_SITES.
+#: Sites that a line needs; a line of more than so many words needs fewer, one of less than MIN_CHARS characters SHORT_SITES.
+MIN_SITES, MIN_CHARS, SHORT_SITES = 5, 20, 15
 LONG_LINES = [(50, 2), (25, 3), (12, 4)]
-SHORT_SITES = 15
-#: By length: documents for each site needed that have the same effect, so that a line inside one hot site goes as well.
+#: Documents for each site needed that have the same effect, so that a line inside one hot site goes as well.
 SITE_DOCS = 10
 LG_K = 12
-#: Half the width of the band around the threshold, in standard errors of the sketch.
+#: Half the width of the band around the number needed, in standard errors of the sketch.
 ERRORS = 4
 
 
@@ -35,64 +31,57 @@ def needed(line: Column) -> Column:
     return need.otherwise(MIN_SITES)
 
 
-def _lines(docs: DataFrame, min_chars: int, by_length: bool) -> DataFrame:
-    """``(doc, copy, at, site, line)``: trimmed lines of some length, as 16-byte hashes with their places; ``need`` by length."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """``(doc, copy, at, site, line, need)``: trimmed lines that are not empty, as 16-byte hashes with their places."""
     keyed = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("copy"), F.col("source").alias("site"),
                         F.posexplode(F.split("text", "\n", -1)).alias("at", "raw"))
     trimmed = keyed.withColumn("raw", F.regexp_replace("raw", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
-    need = [needed(F.col("raw")).alias("need")] if by_length else []
-    return trimmed.where(F.length("raw") >= (1 if by_length else min_chars)).select(
-        "doc", "copy", "at", "site", F.unhex(F.md5("raw")).alias("line"), *need)
-
-
-def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """``(line, first_doc)`` of the lines in at least ``min_sites`` sites; a null site counts as none.
-
-    With a column ``need`` each line needs so many sites, or SITE_DOCS times as many documents.
-    """
-    lines, by_length = lines.where("site is not null"), "need" in lines.columns
-    need = F.col("need") if by_length else F.lit(min_sites)
-    if by_length:
-        once = lines.groupBy("line", "site", "doc", "need").agg(F.lit(1))
-        pairs = once.groupBy("line", "site", "need").agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("docs"))
-    else:
-        pairs = lines.groupBy("line", "site").agg(F.min("doc").alias("first_doc"))
-    pairs = stage(pairs, "line-sites")
-    keys = ["line", "need"] if by_length else ["line"]
-    crowd = F.sum("docs") >= SITE_DOCS * need if by_length else F.lit(False)
-    wide = stage(pairs.groupBy(*keys).agg(
-        F.min("site").alias("low"), F.max("site").alias("high"), F.hll_sketch_agg("site", lg_k).alias("sketch"),
-        F.min("first_doc").alias("first_doc"), crowd.alias("crowd")).where("low < high or crowd").select(
-            *keys, "first_doc", "crowd", F.hll_sketch_estimate("sketch").alias("sites")), "spread")
-    slack = F.greatest(F.lit(1.0), ERRORS * 1.04 / 2 ** (lg_k / 2) * need)
-    sure = wide.where(F.col("crowd") | (F.col("sites") > need + slack)).select("line", "first_doc")
-    near = wide.where(~F.col("crowd") & (F.abs(F.col("sites") - need) <= slack)).select(*keys, "first_doc")
-    exact = (pairs.join(near.select("line"), "line", "left_semi").groupBy(*keys).agg(F.countDistinct("site").alias("sites"))
-             .where(F.col("sites") >= need).select("line"))
-    return sure.unionByName(near.select("line", "first_doc").join(exact, "line", "left_semi"))
-
-
-def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, report: bool = False,
-                     by_length: bool = False) -> DataFrame:
+    return trimmed.where("raw <> ''").select("doc", "copy", "at", "site", F.unhex(F.md5("raw")).alias("line"), needed(F.col("raw")).alias("need"))
+
+
+def boilerplate(lines: DataFrame, lg_k: int = LG_K) -> DataFrame:
+    """``(line, first_doc)`` of the lines of enough sites or documents; lines of a null site count as none."""
+    lines = lines.where("site is not null")
+    spread = stage(lines.groupBy("line").agg(
+        F.max("need").alias("need"), F.min("doc").alias("first_doc"), F.count("*").alias("places"), F.min("site").alias("low"), F.max("site").alias("high"),
+        F.hll_sketch_agg("site", lg_k).alias("sites"), F.hll_sketch_agg("doc", lg_k).alias("docs"))
+        .where((F.col("low") < F.col("high")) | (F.col("places") >= SITE_DOCS * F.col("need"))).select(
+            "line", "need", "first_doc", F.hll_sketch_estimate("sites").alias("sites"), F.hll_sketch_estimate("docs").alias("docs")), "spread")
+    slack = lambda need: F.greatest(F.lit(1.0), ERRORS * 1.04 / 2 ** (lg_k / 2) * need)
+    need, crowd = F.col("need"), SITE_DOCS * F.col("need")
+    sure = (F.col("sites") > need + slack(need)) | (F.col("docs") > crowd + slack(crowd))
+    never = (F.col("sites") < need - slack(need)) & (F.col("docs") < crowd - slack(crowd))
+    near = spread.where(~sure & ~never).select("line")
+    # Copies of a place are merged before the shuffle, then documents, then sites: no line's rows meet in one task.
+    pairs = stage(lines.join(near, "line", "left_semi").groupBy("line", "site", "doc", "need").agg(F.lit(1).alias("one")), "near-lines")
+    by_doc = pairs.groupBy("line", "need", "doc").agg(F.lit(1).alias("one")).groupBy("line", "need").agg(F.count("doc").alias("docs"))
+    by_site = pairs.groupBy("line", "site").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("*").alias("sites"))
+    exact = by_doc.join(by_site, "line").where((F.col("sites") >= need) | (F.col("docs") >= crowd)).select("line")
+    return spread.where(sure).select("line", "first_doc").unionByName(spread.where(~sure).join(exact, "line", "left_semi").select("line", "first_doc"))
+
+
+def drop_boilerplate(docs: DataFrame, report: bool = False) -> DataFrame:
     """``documents`` without the boilerplate lines, except in the document of smallest id that has them.
 
-    All documents stay: null texts stay null, a text that loses all lines becomes empty. Other lines, short lines and
-    empty lines keep their order. Repeated rows are treated alike. A null id is never the first holder. ``n_chars`` is
-    set anew where a text changed. Extra columns pass through. With ``report`` the result is
-    ``(doc_id, n_lines, n_dropped, text)`` instead. With ``by_length`` ``needed`` takes the place of both minima.
+    All documents stay: null texts stay null, a text that loses all lines becomes empty. Other lines and empty lines keep
+    their order. Repeated rows are treated alike. A null id is never the first holder. ``n_chars`` is set anew where a text
+    changed. Extra columns pass through, whatever their names. With ``report`` the result is ``(doc_id, n_lines, n_dropped,
+    text)`` instead.
     """
-    lines = stage(_lines(docs, min_chars, by_length), "lines")
-    bad = stage(boilerplate(lines, min_sites), "boilerplate")
-    gone = lines.join(bad, "line").where(~F.col("doc").eqNullSafe(F.col("first_doc"))).groupBy("doc", "copy").agg(
-        F.collect_set("at").alias("gone_lines__"))
-    gone = gone.withColumnRenamed("doc", "doc__").withColumnRenamed("copy", "copy__")
-    matched = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc__"]) & (F.xxhash64(docs["text"]) == gone["copy__"]), "left")
-    kept = F.filter(F.split(docs["text"], "\n", -1), lambda _, i: ~F.array_contains("gone_lines__", i))
-    text = F.when(F.col("gone_lines__").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
+    lines = stage(_lines(docs), "lines")
+    bad = stage(boilerplate(lines), "boilerplate")
+    gone = stage(lines.join(bad, "line").where(~F.col("doc").eqNullSafe(F.col("first_doc"))).groupBy("doc", "copy").agg(
+        F.collect_set("at").alias("gone")), "gone-lines")
+    unstage(docs.sparkSession, lines, bad)
+    whole = packed(docs).withColumn("key", F.xxhash64("doc.text"))
+    gone = gone.withColumnRenamed("doc", "id__")
+    matched = whole.join(gone, F.col("doc.doc_id").eqNullSafe(F.col("id__")) & (F.col("key") == F.col("copy")), "left")
+    cut = F.split("doc.text", "\n", -1)
+    text = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(F.array_join(F.filter(cut, lambda _, i: ~F.array_contains("gone", i)), "\n"))
     if report:
-        return matched.select(docs["doc_id"], F.coalesce(F.size(F.split(docs["text"], "\n", -1)), F.lit(0)).alias("n_lines"),
-                              F.coalesce(F.size("gone_lines__"), F.lit(0)).alias("n_dropped"), text.alias("text"))
+        return matched.select("doc.doc_id", F.coalesce(F.size(cut), F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_dropped"),
+                              text.alias("text"))
     new = {"text": text}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("gone_lines__").isNull(), docs["n_chars"]).otherwise(F.length(text).cast("long"))
-    return matched.select(*[new.get(c, docs[c]).alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(F.col("gone").isNull(), F.col("doc.n_chars")).otherwise(F.length(text).cast("long"))
+    return matched.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import map_pandas
+from faultlens.llm.common import map_arrow, packed, schema_of
 from faultlens.session import stage
 
 #: Shrunk failure rate from which a host is suspect.
@@ -45,23 +45,32 @@ def measures(text: str | None) -> tuple[int, int, int, int, int, int]:
             len(lines) - len(set(lines)), repeated, len(lines))
 
 
-def rules(docs: DataFrame) -> DataFrame:
-    """``(doc_id, host, measures …, base_failed, strict_failed)`` per row of ``docs``; null texts have no words."""
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
+_NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
+
+def _measured(rows: DataFrame) -> DataFrame:
+    """The rows with their ``text`` and, as new columns, its measures and whether it fails the base and the strict rules."""
     def make():
-        def step(batch: pd.DataFrame) -> pd.DataFrame:
-            found = pd.DataFrame([measures(t) for t in batch["text"]], columns=names, index=batch.index)
-            return pd.concat([batch[["doc_id", "host"]], found], axis=1)
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [pa.array(c, pa.int64()) for c in zip(*map(measures, batch["text"].to_pylist()))]
+            return pa.RecordBatch.from_arrays(batch.columns + found, names=batch.schema.names + _NAMES)
         return step
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = map_pandas(docs.select("doc_id", F.col("source").alias("host"), "text"), make,
-                     f"doc_id {kind}, host string, " + ", ".join(f"{n} long" for n in names))
+    out = map_arrow(rows, make, ", ".join([schema_of(rows, *rows.columns), *(f"{n} long" for n in _NAMES)]))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     strict = (100 * F.col("n_symbols") > STRICT_SYMBOLS * F.col("word_chars")) | (100 * F.col("n_dup_lines") > STRICT_LINES * F.col("n_lines"))
     return out.withColumn("base_failed", failed).withColumn("strict_failed", strict)
 
 
+def rules(docs: DataFrame) -> DataFrame:
+    """``(doc_id, host, measures …, base_failed, strict_failed)`` per row of ``docs``; null texts have no words."""
+    return _measured(docs.select("doc_id", F.col("source").alias("host"), "text")).drop("text")
+
+
+def _failures(ruled: DataFrame) -> DataFrame:
+    failed = (F.col("base_failed") | F.col("strict_failed")).cast("long")
+    return stage(ruled.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(failed).alias("n_failed")), "hosts")
+
+
 def host_verdicts(ruled: DataFrame, suspect_rate: float = SUSPECT_RATE) -> DataFrame:
     """``(host, n_docs, n_failed, shrunk_rate, suspect, symbol_limit, line_limit)``; the null host is a host of its own.
 
@@ -70,8 +79,11 @@ def host_verdicts(ruled: DataFrame, suspect_rate: float = SUSPECT_RATE) -> DataF
     Prior mean and strength by the method of moments over host rates; without spread between hosts beyond chance the
     strength is taken as the largest host's count, so that all hosts move to the mean.
     """
-    hosts = stage(ruled.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(
-        (F.col("base_failed") | F.col("strict_failed")).cast("long")).alias("n_failed")), "hosts")
+    return _limits(_failures(ruled), suspect_rate)
+
+
+def _limits(hosts: DataFrame, suspect_rate: float) -> DataFrame:
+    """``host_verdicts`` from the counts of the hosts."""
     total = hosts.agg(F.sum("n_docs").alias("all_docs"), F.sum("n_failed").alias("all_failed"), F.max("n_docs").alias("most"),
                       F.avg(F.lit(1.0) / F.col("n_docs")).alias("inverse"),
                       F.coalesce(F.var_samp(F.col("n_failed") / F.col("n_docs")), F.lit(0.0)).alias("spread")).first()
@@ -97,7 +109,12 @@ def judge(docs: DataFrame, suspect_rate: float = SUSPECT_RATE) -> DataFrame:
     repeated lines than the limits of its host. An empty table gives an empty result.
     """
     ruled = stage(rules(docs), "rules")
-    hosts = host_verdicts(ruled, suspect_rate).select(F.col("host").alias("host__"), "shrunk_rate", "suspect", "symbol_limit", "line_limit")
+    return _verdicts(ruled, host_verdicts(ruled, suspect_rate))
+
+
+def _verdicts(ruled: DataFrame, hosts: DataFrame) -> DataFrame:
+    """The rows with the limits of their host and whether they are ``kept``."""
+    hosts = hosts.select(F.col("host").alias("host__"), "shrunk_rate", "suspect", "symbol_limit", "line_limit")
     joined = ruled.join(hosts, F.col("host").eqNullSafe(F.col("host__")), "left").drop("host__")
     garbage = 100 * F.col("n_symbols") > F.col("symbol_limit") * F.col("word_chars")
     repeated = 100 * F.col("n_dup_lines") > F.col("line_limit") * F.col("n_lines")
@@ -105,6 +122,11 @@ def judge(docs: DataFrame, suspect_rate: float = SUSPECT_RATE) -> DataFrame:
 
 
 def keep(docs: DataFrame, suspect_rate: float = SUSPECT_RATE) -> DataFrame:
-    """The documents that ``judge`` keeps, with all their columns; rows of one id go only if all of them are rejected."""
-    kept = stage(judge(docs, suspect_rate).where("kept").select(F.col("doc_id").alias("kept_id__")).distinct(), "kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id__"]), "left_semi")
+    """The rows that ``judge`` keeps, with all their columns, whatever their names; each row is judged by its own text.
+
+    The first pass over the texts counts the failures of each host, the second measures again and applies the limits of the
+    host, so that no text is shuffled: hosts are one row each, and a long table of them is joined by a shuffle only then.
+    """
+    counted = _failures(rules(docs))
+    whole = packed(docs).select("doc", F.col("doc.source").alias("host"), F.col("doc.text").alias("text"))
+    return _verdicts(_measured(whole), _limits(counted, suspect_rate)).where("kept").select("doc.*")

@@ -87,8 +87,12 @@ ORACLES = {
     "op3_line_dedup": rf"""
         with lines as (select doc_id, source, unnest(string_split(text, chr(10))) as raw from documents),
         trimmed as (select doc_id, source, regexp_replace(raw, '^{_SPACES}+|{_SPACES}+$', '', 'g') as line from lines),
-        wide as (select line, min(doc_id) as first_doc from trimmed where length(line) >= {lines.MIN_CHARS} and source is not null
-                 group by line having count(distinct source) >= {lines.MIN_SITES}),
+        sized as (select line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words, min(doc_id) as first_doc,
+                         count(distinct source) as sites, count(distinct doc_id) as docs
+                  from trimmed where line <> '' and source is not null group by line),
+        judged as (select *, case when length(line) < {lines.MIN_CHARS} then {lines.SHORT_SITES}
+                   {' '.join(f'when words > {w} then {n}' for w, n in lines.LONG_LINES)} else {lines.MIN_SITES} end as need from sized),
+        wide as (select line, first_doc from judged where sites >= need or docs >= {lines.SITE_DOCS} * need),
         cut as (select doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) as nth, unnest(string_split(text, chr(10))) as raw from documents),
         marked as (select c.*, w.line is not null as gone from cut c left join wide w
                    on regexp_replace(c.raw, '^{_SPACES}+|{_SPACES}+$', '', 'g') = w.line and c.doc_id <> w.first_doc)

@@ -7,14 +7,17 @@ counts within the radius, so other tile pairs are skipped. In a pair of tiles th
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import components, map_pandas
-from faultlens.session import stage
+from faultlens.llm.common import components, map_arrow, map_pandas, packed, schema_of
+from faultlens.session import stage, unstage
 
 SEED = 42
 #: Fingerprints that a tile holds on average at most.
@@ -22,10 +25,13 @@ TILE = 32_768
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _HASH_BLOCK = 65_536
 _CELLS = 1 << 22
-#: Similarity in percent from which documents are near copies, and the bits within which fingerprints propose a pair.
-NEAR_PERCENT, NEAR_RADIUS = 80, 16
-#: Pairs per node above which a pair of tiles is crowded, and rounds in which crowded tiles give a few pairs per node.
-CROWD, ROUNDS = 4, 3
+#: Near copies: similarity in percent, words of a fingerprint, and the bits of all words and of the first one within which it
+#: proposes a pair. At 80 percent a bit differs with 0.15 to 0.19, so either bound is four standard deviations off or more.
+NEAR_PERCENT, WORDS, NEAR_RADIUS, FIRST_RADIUS = 80, 4, 72, 25
+_PRINT = [f"f{i}" for i in range(WORDS)]
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Fingerprints of such a tile at most, and shingles of a block of a loose group on average.
+NEAR_TILE, BLOCK_SHINGLES = 131_072, 1 << 21
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -162,169 +168,218 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.sort(np.fromiter(found, np.uint64, len(found)))
 
 
-def set_fingerprint(hashes: np.ndarray) -> int:
-    """Fingerprint that counts each distinct shingle once, so that distances follow the Jaccard similarity of the sets."""
-    ones = np.zeros(64, np.int64)
+def set_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The WORDS words of a fingerprint that counts each distinct shingle once, so that distances follow the Jaccard similarity.
+
+    The bits of a shingle beyond its first 64 come from its hash, added to a multiple of a constant and mixed.
+    """
+    ones = np.zeros(64 * WORDS, np.int64)
     for at in range(0, len(hashes), _HASH_BLOCK):
-        block = hashes[at:at + _HASH_BLOCK].astype("<u8")
-        ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
+        mixed = hashes[at:at + _HASH_BLOCK, None] + _STEP * np.arange(WORDS, dtype=np.uint64)
+        mixed = (mixed ^ mixed >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ mixed >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        bits = np.unpackbits((mixed ^ mixed >> np.uint64(31)).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        ones += bits.sum(0, dtype=np.int64)
+    return np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")
 
 
-def shingle_nodes(docs: DataFrame, width: int, sets: bool = False) -> DataFrame:
-    """``(id, node, fp, n)`` per document: key, fingerprint and size of its set of shingles; with ``sets`` the set as well."""
+def shingle_rows(texts: DataFrame, width: int, sets: bool = False) -> DataFrame:
+    """``(id, key, node, n, f0 …)`` per row ``(id, key, text)``: hash, size and fingerprint of its set of shingles, or the set itself."""
     def make():
-        def step(batch: pd.DataFrame) -> pd.DataFrame:
-            found = [shingle_set(t, width) for t in batch["text"]]
-            out = pd.DataFrame({
-                "id": batch["id"], "node": np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found], np.uint64).view(np.int64),
-                "fp": np.array([set_fingerprint(h) for h in found], np.uint64).view(np.int64), "n": [len(h) for h in found]})
-            return out.assign(shingles=[h.view(np.int64) for h in found]) if sets else out
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [shingle_set(t, width) for t in batch["text"].to_pylist()]
+            node = pa.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63) for h in found], pa.int64())
+            if sets:
+                return pa.RecordBatch.from_pydict({"node": node, "shingles": pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))})
+            prints = np.array([set_fingerprint(h) for h in found]).view(np.int64).reshape(-1, WORDS)
+            return pa.RecordBatch.from_pydict({"id": batch["id"], "key": batch["key"], "node": node, "n": pa.array([len(h) for h in found], pa.int64())}
+                                              | {c: prints[:, i].copy() for i, c in enumerate(_PRINT)})
         return step
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    pairs = docs.select(F.col("doc_id").alias("id"), "text")
-    return map_pandas(pairs, make, f"id {kind}, node bigint, fp bigint, n long" + (", shingles array<bigint>" if sets else ""))
+    schema = "node bigint, shingles array<bigint>" if sets else (
+        schema_of(texts, "id", "key") + ", node bigint, n bigint, " + ", ".join(f"{c} bigint" for c in _PRINT))
+    return map_arrow(texts, make, schema)
 
 
-def _tile_candidates(left: pd.DataFrame, right: pd.DataFrame | None, radius: int, percent: int,
-                     limit: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of nodes of two tiles (or within one) that are in different groups, near enough and of sizes that allow ``percent``.
+def near(a: np.ndarray, b: np.ndarray, radius: int = NEAR_RADIUS, first: int = FIRST_RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(i, j, bits)`` of the fingerprints in rows of ``a`` and ``b`` that differ in at most ``radius`` bits, block by block.
 
-    Where they are more than ``limit`` a node, each node gives two pairs instead, with its nearest partner and with the
-    one that has most partners, and the last result is false.
-    """
-    within = right is None
-    right = left if within else right
-    a, b = left["fp"].to_numpy(), right["fp"].to_numpy()
-    a_n, b_n = left["n"].to_numpy(), right["n"].to_numpy()
-    a_group, b_group = left["label"].to_numpy(), right["label"].to_numpy()
-
-    def blocks():
-        rows = max(1, _CELLS // max(1, len(b)))
-        for at in range(0, len(a), rows):
-            to = min(at + rows, len(a))
-            far = np.bitwise_count(a[at:to, None] ^ b)
-            i, j = np.nonzero(far <= radius)
-            low, high = np.minimum(a_n[at + i], b_n[j]), np.maximum(a_n[at + i], b_n[j])
-            fits = (100 * low >= percent * high) & (a_group[at + i] != b_group[j])
-            i, j = i[fits], j[fits]
-            yield at + i, j, far[i, j]
-
-    a_count, b_count = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-    kept, total = [], 0
-    most = None if limit is None else limit * (len(a) if within else len(a) + len(b))
-    for i, j, _ in blocks():
-        a_count += np.bincount(i, minlength=len(a))
-        b_count += np.bincount(j, minlength=len(b))
-        if within:
-            i, j = i[i < j], j[i < j]
-        total += len(i)
-        if most is None or total <= most:
-            kept.append((i, j))
-    whole = most is None or total <= most
-    if not whole:
-        best = {}
-        for i, j, far in blocks():
-            for key, mine, other, rank in (("a-hub", i, j, -b_count[j]), ("a-near", i, j, far.astype(np.int64)),
-                                           ("b-hub", j, i, -a_count[i]), ("b-near", j, i, far.astype(np.int64))):
-                order = np.lexsort((other, rank, mine))
-                head = order[np.unique(mine[order], return_index=True)[1]]
-                old = best.setdefault(key, {})
-                for m, o, r in zip(mine[head].tolist(), other[head].tolist(), rank[head].tolist()):
-                    if m not in old or (r, o) < old[m]:
-                        old[m] = (r, o)
-        kept = [(np.array([m if k[0] == "a" else o for m, (_, o) in old.items()], np.int64),
-                 np.array([o if k[0] == "a" else m for m, (_, o) in old.items()], np.int64)) for k, old in best.items()]
-    i, j = (np.concatenate(x) for x in zip(*(kept or [(np.empty(0, np.int64),) * 2])))
-    return left["node"].to_numpy()[i], right["node"].to_numpy()[j], whole
-
-
-def candidates(nodes: DataFrame, radius: int, percent: int, limit: int | None, tile: int = TILE) -> DataFrame:
-    """``(a, b, whole)``: pairs of ``nodes`` ``(node, fp, n, label)`` with different labels that may be ``percent`` similar.
-
-    Tiles are those of ``links``. ``whole`` is false where a pair of tiles gave only some of its pairs.
+    The first word goes over all pairs; the other words only over pairs within ``first`` bits of it.
     """
-    spark = nodes.sparkSession
-    counted = nodes.withColumn("ones", F.bit_count("fp").cast("int"))
-    sizes = {r["ones"]: -(-r["count"] // tile) for r in counted.groupBy("ones").count().collect()}
-    first, total = {}, 0
-    for ones in sorted(sizes):
-        first[ones], total = total, total + sizes[ones]
-    if not total:
-        return spark.createDataFrame([], "a bigint, b bigint, whole boolean")
-    info = F.create_map(*[F.lit(v) for ones in sizes for v in (ones, sizes[ones])])
-    start = F.create_map(*[F.lit(v) for ones in sizes for v in (ones, first[ones])])
-    columns = ["node", "fp", "n", "label"]
-    tiles = (counted.withColumn("tile", start[F.col("ones")] + F.pmod(F.xxhash64("node"), info[F.col("ones")]).cast("int"))
-             .groupBy("ones", "tile").agg(F.collect_list(F.struct(*columns)).alias("items"))
-             .select("ones", "tile", *[F.col(f"items.{c}").alias(c) for c in columns]))
-    partner = F.flatten(F.transform(F.sequence(F.col("ones") - radius, F.col("ones") + radius), lambda o: F.when(
-        info[o].isNotNull(), F.sequence(start[o], start[o] + info[o] - 1)).otherwise(F.array().cast("array<int>"))))
-    sides = tiles.withColumn("other", F.explode(partner)).select(
-        F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), F.struct("tile", *columns).alias("side"))
-    pairs = sides.groupBy("lo", "hi").agg(F.array_sort(F.collect_list("side")).alias("sides")).where("lo = hi or size(sides) = 2")
+    rows = max(1, _CELLS // max(1, len(b)))
+    for at in range(0, len(a), rows):
+        bits = np.bitwise_count(a[at:at + rows, :1] ^ b[:, 0])
+        i, j = np.nonzero(bits <= first)
+        bits = bits[i, j].astype(np.int16)
+        for word in range(1, a.shape[1]):
+            bits += np.bitwise_count(a[at + i, word] ^ b[j, word])
+        close = bits <= radius
+        yield at + i[close], j[close], bits[close]
 
-    def make():
-        def step(batch: pd.DataFrame) -> pd.DataFrame:
-            found = []
-            for sides in batch["sides"]:
-                both = [pd.DataFrame({c: np.array(s[c], np.int64) for c in columns}) for s in sides]
-                both = [t.assign(fp=t["fp"].to_numpy().view(np.uint64)) for t in both]
-                a, b, whole = _tile_candidates(both[0], both[1] if len(both) > 1 else None, radius, percent, limit)
-                found.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "whole": whole}))
-            return pd.concat(found)
-        return step
-    return map_pandas(pairs.select("sides"), make, "a bigint, b bigint, whole boolean")
 
+class Forest:
+    """Groups of nodes, and links that connect each node to the smallest of its group."""
+
+    def __init__(self, *nodes: np.ndarray):
+        self.nodes = np.unique(np.concatenate(nodes))
+        self.label = np.arange(len(self.nodes))
 
-def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``(a, b)`` whose sets ``(node, shingles)`` have a Jaccard similarity of at least ``percent``, by joining both sets."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    common = F.size(F.array_intersect("left", "right"))
-    return pairs.join(left, "a").join(right, "b").where(
-        100 * common >= percent * (F.size("left") + F.size("right") - common)).select("a", "b")
+    def join(self, x: np.ndarray, y: np.ndarray) -> None:
+        while len(x):
+            x_root, y_root = self.label[x], self.label[y]
+            apart = x_root != y_root
+            x, y, x_root, y_root = x[apart], y[apart], x_root[apart], y_root[apart]
+            np.minimum.at(self.label, np.maximum(x_root, y_root), np.minimum(x_root, y_root))
+            while (self.label != self.label[self.label]).any():
+                self.label = self.label[self.label]
 
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        moved = np.flatnonzero(self.label != np.arange(len(self.label)))
+        return self.nodes[moved], self.nodes[self.label[moved]]
 
-def near_links(docs: DataFrame, nodes: DataFrame, width: int, radius: int, percent: int, tile: int = TILE) -> DataFrame:
+
+def _columns(items: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and fingerprints of the rows of one side of a pair."""
+    read = lambda c: items.field(c).to_numpy(zero_copy_only=False)
+    return read("node"), np.stack([read(c) for c in _PRINT], 1).view(np.uint64)
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    values, at = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[start:end] for start, end in zip(at, at[1:])]
+
+
+def _pairs(batch: pa.RecordBatch, solve: Callable[[pa.StructArray, pa.StructArray], tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """The links of all pairs of sides in a batch."""
+    found = [(np.empty(0, np.int64),) * 2]
+    for sides in batch["sides"]:
+        items = sides.values.field("items")
+        found.append(solve(items[0].values, items[len(items) - 1].values))
+    a, b = (np.concatenate(x) for x in zip(*found))
+    return pa.RecordBatch.from_pydict({"a": a, "b": b})
+
+
+def _met(tiles: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``(sides)`` for each pair of tiles, from rows with ``tile`` and the range ``low`` to ``high`` of tiles that it meets."""
+    whole = tiles.groupBy(*keys, "tile", "low", "high").agg(F.collect_list(F.struct(*columns)).alias("items"))
+    sides = whole.withColumn("other", F.explode(F.sequence("low", "high"))).select(
+        *keys, F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), F.struct("tile", "items").alias("side"))
+    return sides.groupBy(*keys, "lo", "hi").agg(F.collect_list("side").alias("sides")).where("lo = hi or size(sides) = 2").select("sides")
+
+
+def near_prints(nodes: DataFrame, radius: int = NEAR_RADIUS, tile: int = NEAR_TILE) -> DataFrame:
+    """Links ``(a, b)`` that connect the nodes ``(node, f0 …)`` as all pairs of fingerprints within ``radius`` bits would.
+
+    Tiles hold a range of population counts; the driver sees a count for each of them (257 at most). Tiles whose population
+    counts are further apart than the radius never meet. There are eight tiles unless rows are few or a tile would be too large.
+    """
+    ones = sum((F.bit_count(c) for c in _PRINT[1:]), F.bit_count(_PRINT[0])).cast("int")
+    counted = nodes.select("node", *_PRINT, ones.alias("ones"))
+    sizes = {r["ones"]: r["count"] for r in counted.groupBy("ones").count().collect()}
+    total = sum(sizes.values())
+    if not total:
+        return nodes.sparkSession.createDataFrame([], "a bigint, b bigint")
+    rows = -(-total // max(-(-total // tile), min(8, -(-total // 1024))))
+    start, at, low_ones, high_ones = {}, 0, {}, {}
+    for one in sorted(sizes):
+        start[one] = at
+        for t in range(at // rows, (at + sizes[one] - 1) // rows + 1):
+            low_ones.setdefault(t, one)
+            high_ones[t] = one
+        at += sizes[one]
+    meets = {t: [u for u in low_ones if low_ones[u] - high_ones[t] <= radius and low_ones[t] - high_ones[u] <= radius] for t in low_ones}
+    ranges = nodes.sparkSession.createDataFrame([(t, min(u), max(u)) for t, u in meets.items()], "tile int, low int, high int")
+    first = F.create_map(*[F.lit(v) for o in sizes for v in (o, start[o])])[F.col("ones")]
+    many = F.create_map(*[F.lit(v) for o in sizes for v in (o, sizes[o])])[F.col("ones")]
+    tiles = counted.withColumn("tile", F.floor((first + F.pmod(F.xxhash64("node"), many)) / F.lit(rows)).cast("int")).join(F.broadcast(ranges), "tile")
+
+    def make():
+        def solve(left, right):
+            (a, a_print), (b, b_print) = _columns(left), _columns(right)
+            forest = Forest(a, b)
+            x, y = np.searchsorted(forest.nodes, a), np.searchsorted(forest.nodes, b)
+            for i, j, _ in near(a_print, b_print, radius):
+                forest.join(x[i], y[j])
+            return forest.links()
+        return lambda batch: _pairs(batch, solve)
+    return map_arrow(_met(tiles, [], ["node", *_PRINT]), make, "a bigint, b bigint")
+
+
+def _verified(left: pa.StructArray, right: pa.StructArray, percent: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the pairs of two blocks whose sets are ``percent`` similar: nearest first, pairs already connected untested."""
+    (a, a_print), (b, b_print) = _columns(left), _columns(right)
+    a_set, b_set = (_lists(side.field("shingles")) for side in (left, right))
+    a_n, b_n = np.array(list(map(len, a_set))), np.array(list(map(len, b_set)))
+    forest = Forest(a, b)
+    x, y = np.searchsorted(forest.nodes, a), np.searchsorted(forest.nodes, b)
+    for i, j, bits in near(a_print, b_print, radius):
+        fits = (100 * np.minimum(a_n[i], b_n[j]) >= percent * np.maximum(a_n[i], b_n[j])) & (forest.label[x[i]] != forest.label[y[j]])
+        i, j, bits = i[fits], j[fits], bits[fits]
+        for at in np.argsort(bits, kind="stable").tolist():
+            p, q = x[i[at]], y[j[at]]
+            if forest.label[p] == forest.label[q]:
+                continue
+            one, two = a_set[i[at]], b_set[j[at]]
+            common = len(np.intersect1d(one, two, assume_unique=True))
+            if 100 * common >= percent * (len(one) + len(two) - common):
+                forest.join(np.array([p]), np.array([q]))
+    return forest.links()
+
+
+def near_links(texts: DataFrame, nodes: DataFrame, width: int, radius: int = NEAR_RADIUS, percent: int = NEAR_PERCENT,
+               tile: int = NEAR_TILE, block: int = BLOCK_SHINGLES) -> DataFrame:
     """``(node, root)`` of the sets ``nodes`` that pairs of at least ``percent`` similarity connect.
 
-    A large group would give the square of its size in pairs. So up to ``ROUNDS`` times crowded tiles give a few pairs per
-    node; what these connect is one group and needs no further pairs. The last round has all pairs that are left.
+    Fingerprints connect nodes to loose groups first. Only nodes in one of these have their sets made, each once. A group is
+    cut into blocks of ``block`` shingles; every pair of its blocks is compared by itself, so no pair travels.
     """
-    spark = docs.sparkSession
-    edges = spark.createDataFrame([], "a bigint, b bigint")
-    tested = edges
-    roots = spark.createDataFrame([], "node bigint, root bigint")
-    for turn in range(ROUNDS + 1):
-        labelled = stage(nodes.join(roots, "node", "left").select("node", "fp", "n", F.coalesce("root", "node").alias("label")), "labelled")
-        found = stage(candidates(labelled, radius, percent, None if turn == ROUNDS else CROWD, tile), "candidates")
-        whole = found.agg(F.min("whole")).first()[0]
-        pairs = stage(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "candidate-pairs")
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        heads = stage(nodes.join(wanted, "node", "left_semi").select("node", "id"), "candidate-nodes")
-        texts = docs.join(heads.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        sets = stage(shingle_nodes(texts, width, sets=True).join(heads.select("node"), "node", "left_semi").select(
-            "node", "shingles").dropDuplicates(["node"]), "shingle-sets")
-        edges = stage(edges.unionByName(similar(pairs, sets, percent)), "similar")
-        roots = stage(components(edges), "roots")
-        if whole is not False:
-            break
-        tested = stage(tested.unionByName(pairs), "tested")
-    return roots
-
-
-def deduplicate(docs: DataFrame, width: int = 5, radius: int = NEAR_RADIUS, percent: int = NEAR_PERCENT, tile: int = TILE) -> DataFrame:
-    """The documents whose id is the smallest of their group; of rows with that id, one stays.
+    spark = texts.sparkSession
+    close = stage(near_prints(nodes, radius, tile), "near-prints")
+    loose = stage(components(close), "loose-groups")
+    unstage(spark, close)
+    members = stage(nodes.join(loose, "node"), "members")
+    totals = members.groupBy("root").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    wanted = members.select(F.col("rep.id").alias("id__"), F.col("rep.key").alias("key__"))
+    own = texts.join(wanted, F.col("id").eqNullSafe(F.col("id__")) & (F.col("key") == F.col("key__")), "left_semi")
+    sets = shingle_rows(own, width, sets=True).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    dealt = members.join(totals, "root").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select(
+        "root", "node", *_PRINT, "tile", F.lit(0).alias("low"), (F.col("blocks") - 1).alias("high")).join(sets, "node")
+
+    def make():
+        return lambda batch: _pairs(batch, lambda left, right: _verified(left, right, percent, radius))
+    met = _met(dealt, ["root"], ["node", *_PRINT, "shingles"])
+    similar = stage(map_arrow(met, make, "a bigint, b bigint", 1), "similar")
+    unstage(spark, loose, members)
+    return components(similar)
+
+
+def deduplicate(docs: DataFrame, width: int = 5, radius: int = NEAR_RADIUS, percent: int = NEAR_PERCENT, tile: int = NEAR_TILE,
+                block: int = BLOCK_SHINGLES) -> DataFrame:
+    """One document of each group stays: the one of smallest id, of that id the one of smallest content hash; nulls last.
 
     A group is what pairs of documents connect whose sets of ``width``-word shingles have a Jaccard similarity of at least
-    ``percent``. Fingerprints within ``radius`` bits propose the pairs, the sets decide. Documents without a word are not
-    near copies of each other here: they all stay.
+    ``percent``. Fingerprints of 64 * WORDS bits within ``radius`` propose the pairs, the sets decide. Of repeated rows of id
+    and text one stays; texts that differ and share an id are documents of their own. Texts without a word are not near
+    copies of each other here: they all stay. Other columns pass through, whatever their names.
     """
-    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & F.col("doc_id").isNotNull()
-    nodes = stage(stage(shingle_nodes(docs.where(worded), width), "shingle-nodes").groupBy("node", "fp", "n").agg(F.min("id").alias("id")), "nodes")
-    roots = near_links(docs.where(worded), nodes, width, radius, percent, tile)
-    grouped = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
-    heads = stage(grouped.agg(F.min("id").alias("doc_id")).select("doc_id").distinct(), "kept-ids")
-    one = docs.where(worded).join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(docs.columns).unionByName(docs.where(~worded))
+    spark = docs.sparkSession
+    whole = packed(docs).select("doc", F.col("doc.doc_id").alias("id"), F.col("doc.text").alias("text"), F.xxhash64("doc.text").alias("key"))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    texts = whole.where(worded).select("id", "key", "text")
+    rows = stage(shingle_rows(texts, width), "shingle-rows")
+    order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")
+    nodes = stage(rows.groupBy("node", "n", *_PRINT).agg(F.min(order).alias("rep"), F.count("*").alias("rows")), "nodes")
+    roots = near_links(texts, nodes, width, radius, percent, tile, block)
+    grouped = nodes.select("node", "rep", "rows").join(roots, "node", "left")
+    heads = grouped.groupBy(F.coalesce("root", "node").alias("root__")).agg(F.min("rep").alias("head"), F.sum("rows").alias("all"))
+    # Of a document that is alone nothing has to be said; the others are marked.
+    heads = stage(heads.where("all > 1"), "heads")
+    marked = grouped.select("node", F.coalesce("root", "node").alias("root__")).join(heads, "root__").select("node", "head")
+    counted = rows.groupBy("id", "key", "node").agg(F.count("*").alias("rows")).join(marked, "node")
+    gone = ~(F.col("id").eqNullSafe(F.col("head.id")) & (F.col("key") == F.col("head.key")))
+    marks = stage(counted.where(gone | (F.col("rows") > 1)).select(
+        F.col("id").alias("id__"), F.col("key").alias("key__"), gone.alias("gone")).distinct(), "marks")
+    unstage(spark, rows, nodes, heads)
+    found = whole.where(worded).join(marks, F.col("id").eqNullSafe(F.col("id__")) & (F.col("key") == F.col("key__")), "left")
+    alone = found.where("gone is null").select("doc")
+    once = found.where("not gone").dropDuplicates(["id", "key"]).select("doc")
+    return alone.unionByName(once).unionByName(whole.where(~worded).select("doc")).select("doc.*")

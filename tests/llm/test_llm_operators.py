@@ -1,6 +1,7 @@
 """Corpus operators against brute force, round trips and a public tokenizer library."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -97,8 +98,8 @@ def slow_kept(rows, percent=80):
     return {i for i in root if find(i) == i}
 
 
-@pytest.mark.parametrize("tile,crowd", [(32_768, 4), (5, 0)])
-def test_near_dedup_equals_all_pairs_of_sets(spark, monkeypatch, tile, crowd):
+@pytest.mark.parametrize("tile,block", [(simhash.NEAR_TILE, simhash.BLOCK_SHINGLES), (5, 400)])
+def test_near_dedup_equals_all_pairs_of_sets(spark, tile, block):
     draw = random.Random(11)
     rows = []
     for base in range(12):
@@ -111,9 +112,17 @@ def test_near_dedup_equals_all_pairs_of_sets(spark, monkeypatch, tile, crowd):
     words = [f"h{i}" for i in range(200)]
     rows += [(1000 + i, " ".join(words[:i] + ["odd"] + words[i + 1:])) for i in range(60)]
     rows += [(2000 + i, t) for i, t in enumerate(["a b c", "A  b\nc", "a b d", "", None, "a b c d e f"])]
-    monkeypatch.setattr(simhash, "CROWD", crowd)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id for r in simhash.deduplicate(frame, tile=tile).collect()} == slow_kept(rows)
+    assert {r.doc_id for r in simhash.deduplicate(frame, tile=tile, block=block).collect()} == slow_kept(rows)
+
+
+def test_near_dedup_of_clashing_ids_repeated_rows_and_names(spark):
+    one, two = (" ".join(f"{k}{i}" for i in range(80)) for k in "ab")
+    rows = [(5, one, "x", 1), (5, two, "y", 2), (5, two, "y", 2), (None, two + " z", "n", 3), (9, one + " z", "w", 4), (None, "alone here", "k", 5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, gone string, key int")
+    for parts in (1, 3):
+        got = sorted(map(tuple, simhash.deduplicate(frame.repartition(parts)).collect()), key=str)
+        assert got == sorted([rows[0], rows[1], rows[5]], key=str)
 
 
 def test_near_dedup_finds_the_near_copies_of_the_tables(spark):
@@ -185,8 +194,18 @@ def test_lines_stay_once_and_texts_stay_whole(spark):
 
 def test_line_spread_near_the_threshold_is_exact(spark):
     pairs = spark.range(1, 60).selectExpr("id as n", "explode(sequence(1, int(id))) as s").selectExpr(
-        "unhex(md5(string(n))) as line", "concat('s', s) as site", "n as doc")
-    assert lines.boilerplate(pairs, 30, lg_k=4).count() == 30
+        "unhex(md5(string(n))) as line", "concat('s', s) as site", "n as doc", "30 as need")
+    assert lines.boilerplate(pairs, lg_k=4).count() == 30
+    # Documents inside one site: ten for each site needed.
+    pairs = spark.range(1, 60).selectExpr("id as n", "explode(sequence(1, int(id))) as doc").selectExpr(
+        "unhex(md5(string(n))) as line", "'s' as site", "doc", "3 as need")
+    assert lines.boilerplate(pairs, lg_k=4).count() == 30
+
+
+def test_lines_with_clashing_names(spark):
+    frame = spark.createDataFrame([(i, f"own {i}\n" + "w " * 60, f"s{i}", "a", "b", "c") for i in range(3)], "doc_id long, text string, source string, gone string, line string, id__ string")
+    got = {tuple(r) for r in lines.drop_boilerplate(frame).collect()}
+    assert got == {(i, f"own {i}" + ("\n" + "w " * 60 if i == 0 else ""), f"s{i}", "a", "b", "c") for i in range(3)}
 
 
 def slow_lines(rows):
@@ -402,14 +421,123 @@ def test_registered_sql_agrees(spark):
         assert sorted(map(tuple, got.select(columns).collect())) == sorted(want.fetchall())
 
 
+def slow_quality(rows):
+    """Ids of rows (id, text, source) that the base rules and the limits of their host leave."""
+    found = [(i, source, slow_measures(text)) for i, text, source in rows]
+    base = lambda m: m[0] < 50 or 100 * m[4] > 50 * m[0]
+    hosts = {}
+    for _, source, m in found:
+        failed = base(m) or 100 * m[2] > 10 * m[1] or 100 * m[3] > 30 * m[5]
+        n, f = hosts.get(source, (0, 0))
+        hosts[source] = n + 1, f + failed
+    rates = [f / n for n, f in hosts.values()]
+    mean = sum(f for _, f in hosts.values()) / len(found)
+    between = float(np.var(rates, ddof=1)) - mean * (1 - mean) * float(np.mean([1 / n for n, _ in hosts.values()]))
+    most = max(n for n, _ in hosts.values())
+    strength = min(max(mean * (1 - mean) / between - 1, 1.0), most) if between > 0 else most
+    kept = set()
+    for i, source, m in found:
+        n, f = hosts[source]
+        rate = (f + mean * strength) / (n + strength)
+        over = max(0.0, min(1.0, (rate - mean) / max(0.5 - mean, 1e-9)))
+        loose = mean / (2 * rate) if 2 * rate < mean else 1.0
+        if not base(m) and 100 * m[2] <= loose * (10 - 5 * over) * m[1] and 100 * m[3] <= loose * (50 - 20 * over) * m[5]:
+            kept.add(i)
+    return kept
+
+
+def slow_mix(rows, draws, share=1.5):
+    """Copies of each row (id, source, words) by ordering all documents of a source; draws by id."""
+    sizes = {}
+    for _, source, n in rows:
+        sizes[source] = sizes.get(source, 0) + n
+    out, goal = {}, slow_targets(sizes, share)
+    for source, size in sizes.items():
+        mine = [(i, n) for i, s, n in rows if s == source]
+        mean = size / max(1, sum(n > 0 for _, n in mine))
+        weight = {i: 1 / (min(4, 1 + math.ceil(math.log2(n / mean))) if n > mean else 1) for i, n in mine}
+        low, high = 0.0, 8.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(n * min(2.0, mid * weight[i]) for i, n in mine) < goal[source] else (low, mid)
+        rate = {i: min(2.0, high * weight[i]) for i, n in mine}
+        left = goal[source] - sum(n * math.floor(rate[i] + 1e-12) for i, n in mine)
+        order = {}
+        for i, n in mine:
+            chance = rate[i] - math.floor(rate[i] + 1e-12)
+            order[i] = draws[i] / (1 - draws[i]) / (chance / (1 - chance)) if chance > 1e-9 else math.inf
+        ahead = 0
+        for i, n in sorted(mine, key=lambda r: order[r[0]]):
+            more = order[i] < math.inf and ahead + n / 2 <= left
+            out[i], ahead = math.floor(rate[i] + 1e-12) + more, ahead + n
+    return out
+
+
+def spark_draws(frame):
+    rows = frame.selectExpr("doc_id", f"(shiftrightunsigned(xxhash64(doc_id, xxhash64(text), {mixing.SEED}), 11) + 0.5D) / {float(1 << 53)} as draw")
+    return {r.doc_id: r.draw for r in rows.collect()}
+
+
+def test_mix_equals_plain_ordering(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.source, len(WORD.findall(r.text or ""))) for r in frame.collect()]
+    got = {r.doc_id: r.copies for r in mixing.mix(frame).collect()}
+    assert got == slow_mix(rows, spark_draws(frame))
+
+
+def test_mix_includes_documents_at_their_rates(spark):
+    """Over many seeds, each document's mean copies come near its own rate, and rates differ within a source."""
+    frame = spark.createDataFrame([(i, "w " * (1 + i * i % 37), f"s{i % 2}") for i in range(40)], "doc_id long, text string, source string")
+    mean, rates, seeds = np.zeros(40), None, 60
+    for seed in range(seeds):
+        got = mixing.mix(frame, seed=seed).toPandas().sort_values("doc_id")
+        mean, rates = mean + got["copies"].to_numpy() / seeds, got["rate"].to_numpy()
+    assert len(set(rates.round(6))) > 3
+    assert abs(mean - rates).mean() < 0.08 and abs(mean - rates).max() < 0.3
+    assert np.corrcoef(mean, rates)[0, 1] > 0.95
+
+
+def test_repeat_numbers_copies_of_equal_rows(spark):
+    draw = random.Random(6)
+    rows = [(i % 9, "w " * (10 + i % 9), "s0" if i % 9 % 2 else None, f"c{i}") for i in range(40)] + [(3, None, "s1", "x"), (4, " ", "s1", "y")]
+    draw.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string").selectExpr("*", "1 as key", "2 as copy__", "3 as rows")
+    mixed = mixing.mix(frame).where("size > 0").groupBy("doc_id").sum("copies").collect()
+    got = mixing.repeat(frame)
+    assert got.columns == frame.columns
+    found = {r.doc_id: r["count"] for r in got.where("length(trim(text)) > 0").groupBy("doc_id").count().collect()}
+    assert found == {r.doc_id: r[1] for r in mixed if r[1] and r.doc_id is not None and r[1] > 0}
+    assert got.where("coalesce(length(trim(text)), 0) = 0").count() == 2
+
+
+def test_quality_judges_rows_of_one_id_by_their_texts(spark):
+    clean = " ".join(f"w{i}" for i in range(80))
+    frame = spark.createDataFrame([(1, clean, "s", "h"), (1, "too short", "s", "h"), (2, clean, "s", "h")], "doc_id long, text string, source string, host string").selectExpr("*", "1 as n_words", "2 as kept")
+    assert sorted(r.text for r in quality.keep(frame).collect()) == [clean, clean]
+
+
 def test_pipeline_stages(spark, docs, none):
+    """Every stage on edge cases, and each stage and run() on a table against brute force."""
     import corpus_pipeline
     for given in (docs, none):
         for at, (_, step) in enumerate(corpus_pipeline.STAGES):
             out = step(spark, given, SF)
             assert at == len(corpus_pipeline.STAGES) - 1 or out.columns == given.columns
             out.count()
-    start = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = corpus_pipeline.near_dedup(spark, start, SF)
-    prints = slow_components([(r.doc_id, slow_fingerprint(r.text, 5)) for r in start.collect()])
-    assert {r.doc_id for r in kept.collect()} == set(prints.values())
+    ran = sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()))
+    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    kept = slow_quality(rows)
+    rows = [r for r in rows if r[0] in kept]
+    texts = slow_lines(rows)
+    rows = [(i, texts[i], s) for i, _, s in rows]
+    kept = slow_kept([(i, t) for i, t, _ in rows if WORD.search(t)]) | {i for i, t, _ in rows if not WORD.search(t)}
+    rows = [r for r in rows if r[0] in kept]
+    draws = spark_draws(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    copies = slow_mix([(i, s, len(WORD.findall(t))) for i, t, s in rows], draws)
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected = []
+    for i, text, _ in rows:
+        ids = library.encode(text, add_special_tokens=False).ids
+        one = (i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+        expected += [one] * (copies[i] if WORD.search(text) else 1)
+    assert ran == sorted(expected)
