@@ -182,7 +182,7 @@ WM = "wm AS (SELECT series_id, slot AS ts, " + ", ".join(
 ) + " FROM ev GROUP BY series_id, slot)"
 
 
-def _slot_sql(c: str) -> str:
+def slot_sql(c: str) -> str:
     node = c.split("_")[0]
     for kind in ("log_total", "log_error"):
         if c == f"{node}_{kind}":
@@ -192,7 +192,7 @@ def _slot_sql(c: str) -> str:
     return f"COALESCE(wm.{c}, 0.0) AS {c}" if c in METRICS else f"CAST(0 AS DOUBLE) AS {c}"
 
 
-FUSED = "fused AS (SELECT lab.series_id, lab.ts, " + ", ".join(_slot_sql(c) for c in FEATURES) + """,
+FUSED = "fused AS MATERIALIZED (SELECT lab.series_id, lab.ts, " + ", ".join(slot_sql(c) for c in FEATURES) + """,
   lab.ground_truth, lab.fault_type FROM lab LEFT JOIN wm ON wm.series_id = lab.series_id AND wm.ts = lab.ts """ + " ".join(
     f"LEFT JOIN lc {n} ON {n}.series_id = lab.series_id AND {n}.ts = lab.ts AND {n}.node = '{n}'" for n in NODES) + ")"
 FUSE = (EV, GRID, FE, IV, LAB, LINES, PARSED, LOGS, LC, WM, FUSED)

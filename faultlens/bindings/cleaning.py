@@ -65,11 +65,10 @@ def _(spark, sf):
             .unionByName(clean.state_filter(e, "START", ignore_case=False).select("event_id", F.lit("exact").alias("mode"))))
 
 
-@query("b7_drop_empty_fill_partial", with_(EV, WM) + """SELECT series_id, ts, round(COALESCE(app_cpu, 0), 6) AS app_cpu, round(COALESCE(db_cpu, 0), 6) AS db_cpu,
-  round(COALESCE(redis_cpu, 0), 6) AS redis_cpu FROM wm WHERE app_cpu IS NOT NULL OR db_cpu IS NOT NULL OR redis_cpu IS NOT NULL""")
+@query("b7_drop_empty_fill_partial", with_(EV, WM) + "SELECT series_id, ts, " + ", ".join(f"round(COALESCE({c}, 0), 6) AS {c}" for c in METRICS) +
+       " FROM wm WHERE " + " OR ".join(f"{c} IS NOT NULL" for c in METRICS))
 def _(spark, sf):
-    cols = ["app_cpu", "db_cpu", "redis_cpu"]
-    return clean.fill_partial(clean.drop_empty_rows(metrics(spark, sf).select("series_id", "ts", *cols), cols), cols)
+    return clean.fill_partial(clean.drop_empty_rows(metrics(spark, sf), METRICS), METRICS)
 
 
 @query("b8_finite_guard", """SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, CASE l_suppkey % 5 WHEN 0 THEN 0.0 WHEN 1 THEN 6.0 WHEN 2 THEN -6.0 WHEN 3 THEN 0.0

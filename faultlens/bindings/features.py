@@ -27,12 +27,12 @@ def _fit_sql(name: str, src: str, cols) -> str:
     return f"{name} AS (SELECT {parts} FROM {src} WHERE ground_truth = 0)"
 
 
-CLEAN = "cl AS (SELECT series_id, ts, " + ", ".join(f"COALESCE({c}, 0.0) AS {c}" for c in FEATURES) + ", ground_truth, fault_type FROM fused)"
+CLEAN = "cl AS MATERIALIZED (SELECT series_id, ts, " + ", ".join(f"COALESCE({c}, 0.0) AS {c}" for c in FEATURES) + ", ground_truth, fault_type FROM fused)"
 FIT1 = _fit_sql("fit1", "cl", FEATURES)
-Z1 = "z1 AS (SELECT series_id, ts, " + ", ".join(clip_sql(f"({c} - m_{c}) / s_{c}") + f" AS {c}" for c in FEATURES) + ", ground_truth, fault_type FROM cl, fit1)"
-DZ = "dz AS (SELECT *, " + ", ".join(f"{c} - COALESCE(lag({c}) OVER w, {c}) AS {c}_delta" for c in FEATURES) + " FROM z1 WINDOW w AS (PARTITION BY series_id ORDER BY ts))"
+Z1 = "z1 AS MATERIALIZED (SELECT series_id, ts, " + ", ".join(clip_sql(f"({c} - m_{c}) / s_{c}") + f" AS {c}" for c in FEATURES) + ", ground_truth, fault_type FROM cl, fit1)"
+DZ = "dz AS MATERIALIZED (SELECT *, " + ", ".join(f"{c} - COALESCE(lag({c}) OVER w, {c}) AS {c}_delta" for c in FEATURES) + " FROM z1 WINDOW w AS (PARTITION BY series_id ORDER BY ts))"
 FIT2 = _fit_sql("fit2", "dz", INPUTS)
-X = "x AS (SELECT series_id, ts, " + ", ".join(clip_sql(f"({c} - m_{c}) / s_{c}") + f" AS {c}" for c in INPUTS) + ", ground_truth, fault_type FROM dz, fit2)"
+X = "x AS MATERIALIZED (SELECT series_id, ts, " + ", ".join(clip_sql(f"({c} - m_{c}) / s_{c}") + f" AS {c}" for c in INPUTS) + ", ground_truth, fault_type FROM dz, fit2)"
 SCALED = (*FUSE, CLEAN, FIT1, Z1, DZ, FIT2, X)
 
 
@@ -65,17 +65,15 @@ _W = "WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 9 PRECEDING A
 _POS = "ps AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS pos FROM lab LEFT JOIN wm USING (series_id, ts))"
 
 
-@query("e2_sliding_windows", with_(*LABELLED, WM, _POS) + f"""SELECT series_id, pos - 9 AS win_id, ts, round(list_sum(list_transform(win, lambda v: v[1])), 6) AS sum_app_cpu,
-  round(list_sum(list_transform(win, lambda v: v[2])), 6) AS sum_db_cpu, round(win[1][1], 6) AS first_app_cpu, round(win[10][2], 6) AS last_db_cpu, CAST(len(win) AS INTEGER) AS n_steps, y, fault_type
-  FROM (SELECT series_id, ts, pos, list([COALESCE(app_cpu, 0), COALESCE(db_cpu, 0)]) OVER w AS win, max(ground_truth) OVER w AS y,
-    COALESCE(first_value(CASE WHEN fault_type <> 'HEALTHY' THEN fault_type END IGNORE NULLS) OVER w, 'HEALTHY') AS fault_type FROM ps {_W}) WHERE pos >= 9""")
+@query("e2_sliding_windows", with_(*LABELLED, WM, _POS, f"""wl AS (SELECT series_id, ts, pos, max(ground_truth) OVER w AS y,
+    COALESCE(first_value(CASE WHEN fault_type <> 'HEALTHY' THEN fault_type END IGNORE NULLS) OVER w, 'HEALTHY') AS fault_type FROM ps {_W})""") + """SELECT wl.series_id, wl.pos - 9 AS win_id, wl.ts,
+  CAST(ps.pos - wl.pos + 9 AS INTEGER) AS step, """ + ", ".join(f"round(COALESCE(ps.{c}, 0), 6) AS {c}" for c in METRICS) + """, y, wl.fault_type
+  FROM wl JOIN ps ON ps.series_id = wl.series_id AND ps.pos BETWEEN wl.pos - 9 AND wl.pos WHERE wl.pos >= 9""")
 def _(spark, sf):
+    """Every step of every window, with all metric columns."""
     rows = fill_partial(labelled(spark, sf).join(metrics(spark, sf), ["series_id", "ts"], "left"), METRICS)
-    win = seq.sliding_windows(rows, ["app_cpu", "db_cpu"])
-    total = lambda i: F.aggregate("win", F.lit(0.0), lambda acc, v: acc + v[i])
-    return win.select("series_id", "win_id", "ts", total(0).alias("sum_app_cpu"), total(1).alias("sum_db_cpu"),
-                      F.col("win")[0][0].alias("first_app_cpu"), F.col("win")[9][1].alias("last_db_cpu"),
-                      F.size("win").alias("n_steps"), "y", "fault_type")
+    steps = seq.sliding_windows(rows, METRICS).select("series_id", "win_id", "ts", F.posexplode("win").alias("step", "v"), "y", "fault_type")
+    return steps.select("series_id", "win_id", "ts", "step", *[F.col("v")[i].alias(c) for i, c in enumerate(METRICS)], "y", "fault_type")
 
 
 @query("e3_window_label", with_(*LABELLED, WM, _POS) + f"""SELECT series_id, pos - 9 AS win_id, ts, y, fault_type FROM (SELECT series_id, ts, pos, max(ground_truth) OVER w AS y,

@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from faultlens.bindings.base import (EV, FUSE, GRID, HOUR, LC, LINES, LOGGED, METRICS, NODES, WM, events, fused,
-                                     grid, log_lines, logs, metrics, query, with_)
+from faultlens.bindings.base import (EV, FUSE, GRID, HOUR, LC, LINES, LOGGED, LOGS, METRICS, NODES, PARSED, WM, events,
+                                     fused, grid, log_lines, logs, metrics, query, slot_sql, with_)
 from faultlens.operators import grid as g
 from faultlens.operators import rollup
-from faultlens.operators.ordered import number_chunk
+from faultlens.operators.ordered import number_chunk, running_sum, time_chunk
 from faultlens.operators.sequence import fill_section
 from faultlens.schemas import FEATURES
 from faultlens.sources import files
@@ -20,7 +20,9 @@ def samples(spark, sf):
         F.max("value").alias("val"))
 
 
-@query("c4_fuse_logs", with_(*FUSE) + "SELECT series_id, ts, " + ", ".join(f"round({c}, 6) AS {c}" for c in FEATURES if "_log_" in c) + " FROM fused")
+@query("c4_fuse_logs", with_(EV, GRID, LINES, PARSED, LOGS, LC) + "SELECT grid.series_id, grid.ts, " + ", ".join(
+    f"round({slot_sql(c)}, 6) AS {c}".replace(f" AS {c}, 6)", ", 6)") for c in FEATURES if "_log_" in c) + " FROM grid " + " ".join(
+    f"LEFT JOIN lc {n} ON {n}.series_id = grid.series_id AND {n}.ts = grid.ts AND {n}.node = '{n}'" for n in NODES))
 def _(spark, sf):
     return g.fuse_logs(grid(spark, sf), g.log_counts(logs(spark, sf), HOUR)).select(
         "series_id", "ts", *[c for c in FEATURES if "_log_" in c])
@@ -52,31 +54,27 @@ def _(spark, sf):
                                                        F.col("value").alias("val")))
 
 
-_JSON = """js AS (SELECT series_id, CASE WHEN series_id % 5 = 4 THEN '{"data":{"result":[]}}' ELSE '{"data":{"result":[' || string_agg(s, ',' ORDER BY node) || ']}}' END AS json FROM
-  (SELECT series_id, node, '{"metric":{"name":"' || node || '"},"values":[' || string_agg('[' || CAST(epoch_us(ts) // 1000000 AS VARCHAR) || ',"' || CAST(value AS VARCHAR) || '"]', ',' ORDER BY ts) || ']}' AS s
-   FROM ev GROUP BY ALL) GROUP BY series_id)"""
-
-
 def responses(spark, sf):
-    """Range-query responses, one per series and day; every fifth series answers with an empty result."""
+    """Range-query responses, one per series and day, and as many of further series (below zero) that answer with nothing."""
     e = events(spark, sf).withColumn("day", F.to_date("ts"))
     one = F.concat(F.lit("["), F.unix_seconds("ts"), F.lit(',"'), F.col("value").cast("string"), F.lit('"]'))
     series = e.groupBy("series_id", "day", "node").agg(F.array_sort(F.collect_list(F.struct("ts", one.alias("v")))).alias("l"))
     text = F.concat(F.lit('{"metric":{"name":"'), "node", F.lit('"},"values":['), F.array_join(F.transform("l", lambda x: x["v"]), ","), F.lit("]}"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", text.alias("s")))), lambda x: x["s"]), ",")
     full = F.concat(F.lit('{"data":{"result":['), body, F.lit("]}}"))
-    return series.groupBy("series_id", "day").agg(full.alias("json")).withColumn(
-        "json", F.when(F.col("series_id") % 5 == 4, '{"data":{"result":[]}}').otherwise(F.col("json")))
+    given = series.groupBy("series_id", "day").agg(full.alias("json"))
+    empty = e.select((-1 - F.col("series_id")).alias("series_id"), "day").distinct().withColumn("json", F.lit('{"data":{"result":[]}}'))
+    return given.unionByName(empty)
 
 
 @query("a5_read_range_json", with_(EV) + """SELECT series_id, CAST(ts AS DATE) AS day, CAST(dense_rank() OVER (PARTITION BY series_id, CAST(ts AS DATE) ORDER BY node) - 1 AS INTEGER) AS result_idx,
-  node AS name, date_trunc('second', ts) AS ts, value AS val FROM ev WHERE series_id % 5 <> 4""")
+  node AS name, date_trunc('second', ts) AS ts, value AS val FROM ev""")
 def _(spark, sf):
     return files.read_range_json(responses(spark, sf)).withColumn("name", F.col("labels")["name"]).drop("labels")
 
 
 @query("c7b_first_label_set", with_(EV) + """SELECT series_id, CAST(ts AS DATE) AS day, node AS name, date_trunc('second', ts) AS ts, value AS val FROM
-  (SELECT *, dense_rank() OVER (PARTITION BY series_id, CAST(ts AS DATE) ORDER BY node) AS r FROM ev WHERE series_id % 5 <> 4) WHERE r = 1""")
+  (SELECT *, dense_rank() OVER (PARTITION BY series_id, CAST(ts AS DATE) ORDER BY node) AS r FROM ev) WHERE r = 1""")
 def _(spark, sf):
     return g.first_label_set(files.read_range_json(responses(spark, sf))).withColumn("name", F.col("labels")["name"]).drop("labels", "result_idx")
 
@@ -130,14 +128,21 @@ def _(spark, sf):
 _RANGE = "RANGE BETWEEN 172800000000 PRECEDING AND CURRENT ROW"
 
 
-@query("d3_counter_rate", with_(EV, """st AS (SELECT event_id, series_id, event_type AS metric, ts, value AS val,
-    CASE WHEN lag(value) OVER w IS NULL THEN 0.0 WHEN value >= lag(value) OVER w THEN value - lag(value) OVER w ELSE value END AS rise FROM ev WINDOW w AS (PARTITION BY series_id, event_type ORDER BY ts))""",
+# A counter per series and event type: the running sum of the values, which begins anew at every event whose number ends in 99.
+_COUNTER = """ct AS (SELECT event_id, series_id, event_type AS metric, ts, sum(value) OVER (PARTITION BY series_id, event_type, life ORDER BY ts ROWS UNBOUNDED PRECEDING) AS val FROM
+    (SELECT *, count(*) FILTER (event_id % 100 = 99) OVER (PARTITION BY series_id, event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS life FROM ev))"""
+
+
+@query("d3_counter_rate", with_(EV, _COUNTER, """st AS (SELECT *, CASE WHEN lag(val) OVER w IS NULL THEN 0.0 WHEN val >= lag(val) OVER w THEN val - lag(val) OVER w ELSE val END AS rise
+    FROM ct WINDOW w AS (PARTITION BY series_id, metric ORDER BY ts))""",
                                 f"""rt AS (SELECT *, sum(rise) OVER w - first_value(rise) OVER w AS inc, (epoch_us(ts) - first_value(epoch_us(ts)) OVER w) / 1e6 AS span FROM st
     WINDOW w AS (PARTITION BY series_id, metric ORDER BY epoch_us(ts) {_RANGE}))""") +
-       "SELECT event_id, series_id, metric, ts, val, CASE WHEN span > 0 THEN round(inc / span * 100, 6) END AS rate FROM rt")
+       "SELECT event_id, series_id, metric, ts, round(val, 6) AS val, CASE WHEN span > 0 THEN round(inc / span * 100, 6) END AS rate FROM rt")
 def _(spark, sf):
-    e = events(spark, sf).select("event_id", "series_id", F.col("event_type").alias("metric"), "ts", F.col("value").alias("val"))
-    return rollup.counter_rate(e, 48 * HOUR, factor=100.0)
+    e = events(spark, sf).select("event_id", "series_id", F.col("event_type").alias("metric"), "ts", "value")
+    lives = running_sum(e, ["series_id", "metric"], ["ts"], time_chunk("ts"), (F.col("event_id") % 100 == 99).cast("int"), "life")
+    counter = running_sum(lives, ["series_id", "metric", "life"], ["ts"], time_chunk("ts"), F.col("value"), "val").drop("life", "value")
+    return rollup.counter_rate(counter, 48 * HOUR, factor=100.0)
 
 
 @query("d4_max_over_time", with_(EV) + f"""SELECT event_id, series_id, event_type AS metric, ts, value AS val,
@@ -147,15 +152,15 @@ def _(spark, sf):
     return rollup.max_over_time(e, 48 * HOUR)
 
 
-@query("d5_metric_fallback", with_(EV, GRID, """alt AS (SELECT series_id, slot AS ts, node AS label_set, CASE event_type WHEN 'purchase' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS rank, max(value) AS val
-    FROM ev WHERE event_type IN ('purchase', 'view', 'click') GROUP BY ALL)""",
+@query("d5_metric_fallback", with_(EV, GRID, """alt AS (SELECT series_id, slot AS ts, node AS label_set, CASE event_type WHEN 'purchase' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS rank, max(value) AS val
+    FROM ev GROUP BY ALL)""",
                                    "best AS (SELECT series_id, ts, label_set, arg_min(val, rank) AS val FROM alt GROUP BY ALL)") +
        """SELECT grid.series_id, grid.ts, COALESCE(label_set, '') AS label_set, COALESCE(val, 1.0) AS val
 FROM grid LEFT JOIN best ON best.series_id = grid.series_id AND best.ts = grid.ts""")
 def _(spark, sf):
     e = events(spark, sf)
     parts = [e.where(F.col("event_type") == k).groupBy("series_id", F.col("slot").alias("ts"), F.col("node").alias("label_set"))
-             .agg(F.max("value").alias("val")) for k in ("purchase", "view", "click")]
+             .agg(F.max("value").alias("val")) for k in ("purchase", "view", "click", "signup", "error")]
     return rollup.metric_fallback(parts, grid=grid(spark, sf), const=1.0)
 
 
