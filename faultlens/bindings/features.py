@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from faultlens.bindings.base import (EV, FEATURES, FUSE, GRID, LABELLED, METRICS, WM, clip_sql, events, fused, grid,
+from faultlens.bindings.base import (EV, FEATURES, FUSE, GRID, HOUR, LABELLED, METRICS, WM, clip_sql, events, fused, grid,
                                      labelled, metrics, query, with_)
 from faultlens.operators import grid as g
 from faultlens.operators import scaling, sequence as seq
@@ -38,7 +38,7 @@ SCALED = (*FUSE, CLEAN, FIT1, Z1, DZ, FIT2, X)
 
 def features(spark, sf):
     """Scaled inputs. The fused table is written once: both fits and the change read it."""
-    return scaling.double_scale(stage(fused(spark, sf)), FEATURES)[0]
+    return scaling.double_scale(stage(fused(spark, sf)), FEATURES, step=HOUR)[0]
 
 
 @query("d6_fit_scaler", with_(*FUSE, CLEAN, FIT1) + " UNION ALL ".join(
@@ -53,7 +53,19 @@ def _(spark, sf):
        " FROM grid LEFT JOIN wm USING (series_id, ts) WINDOW w AS (PARTITION BY series_id ORDER BY ts)")
 def _(spark, sf):
     rows = fill_partial(g.reindex_grid(metrics(spark, sf), grid(spark, sf)), METRICS)
-    return seq.delta(rows, METRICS).drop(*METRICS)
+    return seq.delta(rows, METRICS, step=HOUR).drop(*METRICS)
+
+
+@query("e1_delta_window", with_(EV, GRID, WM, "ps AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS pos FROM grid LEFT JOIN wm USING (series_id, ts))") +
+       "SELECT w.series_id, w.pos - 9 AS win_id, w.ts, CAST(n.pos - w.pos + 9 AS INTEGER) AS step, " + ", ".join(
+           f"CASE WHEN n.pos = w.pos - 9 THEN 0.0 ELSE round(COALESCE(n.{c}, 0) - COALESCE(p.{c}, 0), 6) END AS {c}_delta" for c in METRICS) +
+       """ FROM ps w JOIN ps n ON n.series_id = w.series_id AND n.pos BETWEEN w.pos - 9 AND w.pos LEFT JOIN ps p ON p.series_id = n.series_id AND p.pos = n.pos - 1
+WHERE w.pos >= 9""")
+def _(spark, sf):
+    """Changes inside each window, as the live job sees them: every first row of a window has none."""
+    rows = fill_partial(g.reindex_grid(metrics(spark, sf), grid(spark, sf)), METRICS)
+    steps = seq.delta(rows, METRICS, scope="window").select("series_id", "win_id", "ts", F.posexplode("delta").alias("step", "d"))
+    return steps.select("series_id", "win_id", "ts", "step", *[F.col("d")[i].alias(f"{c}_delta") for i, c in enumerate(METRICS)])
 
 
 @query("g10_double_scale", with_(*SCALED) + "SELECT series_id, ts, " + ", ".join(f"round({c}, 6) AS {c}" for c in INPUTS) + ", ground_truth, fault_type FROM x")

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from faultlens.bindings.base import FEATURES, NODES, SC, query, table, with_
+from faultlens.bindings.base import FEATURES, HOUR, NODES, SC, query, table, with_
 from faultlens.bindings.features import INPUTS, SCALED, features
 from faultlens.operators import rootcause as rc
 from faultlens.operators import scoring as s
@@ -58,7 +58,7 @@ HSQL = "hy AS (SELECT series_id, win_id, ts, 0.7 * max(v) + 0.3 * avg(v) AS scor
 
 
 def baseline(spark, sf, kind="mean", layout="by_node"):
-    return models.score_baseline(features(spark, sf), INPUTS, kind, layout=layout, healthy=healthy())
+    return models.score_baseline(features(spark, sf), INPUTS, kind, layout=layout, healthy=healthy(), step=HOUR)
 
 
 @query("h2_node_error", with_(*MEAN_MODEL, NE) + """SELECT series_id, win_id, ts, round(max(v) FILTER (n = 0), 6) AS app, round(max(v) FILTER (n = 1), 6) AS db, round(max(v) FILTER (n = 2), 6) AS redis

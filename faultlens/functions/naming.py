@@ -92,6 +92,21 @@ def parse_feature_name(name: Column) -> Column:
                                 feature.alias("feature"))))
 
 
+def display_name(name: str, is_delta: bool = False) -> tuple[str, str]:
+    """Node and feature to show for a column name, as ``parse_feature_name`` and ``velocity_tag`` give them for a column."""
+    def title(text: str) -> str:
+        return "_".join(part[:1].upper() + part[1:].lower() for part in text.split("_"))
+    head, bar, tail = name.partition("_")
+    if "pad" in name:
+        node, feature = "Padding", "Pad"
+    elif not bar:
+        node, feature = "Unknown", name
+    else:
+        node = NODE_DISPLAY.get(head, title(head))
+        feature = next((shown for prefix, shown in reversed(FEATURE_DISPLAY.items()) if tail.startswith(prefix)), title(tail))
+    return node, feature + VELOCITY_SUFFIX * is_delta
+
+
 def velocity_tag(feature: Column, is_delta: Column) -> Column:
     return F.when(is_delta, F.concat(feature, F.lit(VELOCITY_SUFFIX))).otherwise(feature)
 

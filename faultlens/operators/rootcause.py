@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.functions.naming import NODE_DISPLAY, guidance, parse_feature_name, velocity_tag
+from faultlens.functions.naming import NODE_DISPLAY, display_name, guidance
 from faultlens.functions.numeric import confidence, severity
 from faultlens.operators.scoring import hybrid_score, node_contribution, node_error, total_of
 from faultlens.schemas import NODES
@@ -21,18 +21,14 @@ def ranked_contributors(err: Column, names: list[str], k: int = 3, n_levels: int
     n_levels = n_levels if n_levels is not None else sum(not n.endswith("_delta") and "pad_live" not in n for n in names)
     total = total_of(err, len(names))
     keep = [i for i, n in enumerate(names) if "pad" not in n]
-    table = F.array(*[F.struct(F.lit(i).alias("idx"), shown(n, i >= n_levels).alias("shown")) for i, n in enumerate(names)])
     cells = F.array(*[F.struct(err[i].alias("err"), F.lit(i).alias("idx")) for i in keep])
-    top = F.slice(F.reverse(F.array_sort(cells)), 1, k)
+    # Natural order needs no comparison function; names are looked up for the k rows that are left.
+    top = F.slice(F.sort_array(cells, asc=False), 1, k)
+    names_shown = [display_name(n, i >= n_levels) for i, n in enumerate(names)]
+    nodes, features = (F.array(*[F.lit(pair[side]) for pair in names_shown]) for side in (0, 1))
     share = lambda e: F.when(total > 0, F.floor(e / total * 100)).otherwise(F.lit(0)).cast("int")
-    return F.transform(top, lambda c: F.struct(
-        F.element_at(table, c["idx"] + 1)["shown"]["node"].alias("node"),
-        F.element_at(table, c["idx"] + 1)["shown"]["feature"].alias("feature"), share(c["err"]).alias("impact")))
-
-
-def shown(name: str, is_delta: bool) -> Column:
-    parsed = parse_feature_name(F.lit(name))
-    return F.struct(parsed["node"].alias("node"), velocity_tag(parsed["feature"], F.lit(is_delta)).alias("feature"))
+    return F.transform(top, lambda c: F.struct(F.get(nodes, c["idx"]).alias("node"), F.get(features, c["idx"]).alias("feature"),
+                                               share(c["err"]).alias("impact")))
 
 
 def top_contributors(df: DataFrame, names: list[str], k: int = 3, err: str = "err", keys: list[str] = KEYS) -> DataFrame:

@@ -50,16 +50,16 @@ def apply_scaler(df: DataFrame, scaler: DataFrame | dict, cols: list[str], clip:
 def double_scale(df: DataFrame, cols: list[str], keys: list[str] = ["series_id"], order: list[str] = ["ts"],
                  healthy: Column | None = None, chunk: Column | None = None, clip: float = CLIP,
                  scalers: tuple[DataFrame | dict, DataFrame | dict] | None = None, n_nodes: int = len(NODES),
-                 cut: Callable[[DataFrame], DataFrame] = stage) -> tuple[DataFrame, dict, dict]:
+                 cut: Callable[[DataFrame], DataFrame] = stage, step: int | None = None) -> tuple[DataFrame, dict, dict]:
     """Guard, scale, clip, add the change per step, scale and clip both again, pad to the node count.
 
     Returns (features, level scaler, combined scaler). Pass ``scalers`` to reuse fitted ones. Levels and changes
-    are written once by ``cut`` before the second fit, as the fit and every later pass read them.
+    are written once by ``cut`` before the second fit, as the fit and every later pass read them. ``step`` as in ``delta``.
     """
     healthy = (F.col("ground_truth") == 0) if healthy is None else healthy
     clean = df.withColumns({c: finite(F.col(c).cast("double")) for c in cols})
     first = _values(scalers[0]) if scalers else scaler_values(fit_scaler(clean, cols, healthy))
-    stacked = cut(delta(apply_scaler(clean, first, cols, clip), cols, keys, order, chunk))
+    stacked = cut(delta(apply_scaler(clean, first, cols, clip), cols, keys, order, chunk, step=step))
     both = [*cols, *[c + "_delta" for c in cols]]
     second = _values(scalers[1]) if scalers else scaler_values(fit_scaler(stacked, both, healthy))
     out = apply_scaler(stacked, second, both, clip)

@@ -99,13 +99,20 @@ def pad_features(arr: Column, count: int) -> Column:
 
 def windowed_error(rows: DataFrame, err_cols: list[str], size: int = WINDOW_ROWS, keys: list[str] = ["series_id"],
                    order: list[str] = ["ts"], chunk: Column | None = None, pos: str | None = None,
-                   name: str = "err") -> DataFrame:
+                   name: str = "err", step: int | None = None) -> DataFrame:
     """Mean of per-row errors over full windows, without building the windows.
 
+    With ``step``, the seconds between rows of a grid without gaps, a row's position is its distance from the first one.
+
     For reconstructions that depend on the row alone, this gives the same errors as window arrays and moves
     each row once instead of ``size`` times.
     """
-    placed = halo_by_position(_placed(rows, keys, order, chunk, pos), "_pos", size - 1)
+    if step:
+        first = rows.groupBy(*keys).agg(F.min(F.unix_seconds(order[0])).alias("_first"))
+        numbered = rows.join(first, keys).withColumn("_pos", ((F.unix_seconds(order[0]) - F.col("_first")) / step).cast("long")).drop("_first")
+    else:
+        numbered = _placed(rows, keys, order, chunk, pos)
+    placed = halo_by_position(numbered, "_pos", size - 1)
     w = Window.partitionBy(*keys, "_chunk").orderBy("_pos").rowsBetween(-(size - 1), 0)
     out = placed.withColumn(name, F.array(*[F.avg(c).over(w) for c in err_cols]))
     return (out.where(~F.col("_halo") & (F.col("_pos") >= size - 1))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultlens.operators.ordered import (CHUNK_ROWS, carry_in, halo_by_position, inside, running_last,
+from faultlens.operators.ordered import (CHUNK_ROWS, carry_in, halo_by_position, halo_by_time, inside, running_last,
                                          running_sum, time_chunk, with_position, with_previous)
-from faultlens.schemas import HEALTHY, WINDOW_ROWS
+from faultlens.schemas import CLIP, HEALTHY, WINDOW_ROWS
 
 SERIES = ["series_id"]
 
@@ -17,12 +17,45 @@ def _chunk(chunk: Column | None) -> Column:
 
 
 def delta(df: DataFrame, cols: list[str], keys: list[str] = SERIES, order: list[str] = ["ts"],
-          chunk: Column | None = None, suffix: str = "_delta") -> DataFrame:
-    """Change against the row before; 0 on the first row."""
-    out = with_previous(df, keys, order, _chunk(chunk), cols, "_prev")
+          chunk: Column | None = None, suffix: str = "_delta", scope: str = "series", size: int = WINDOW_ROWS,
+          step: int | None = None) -> DataFrame:
+    """Change against the row before; 0 on the first row.
+
+    With ``step``, the seconds between rows of a grid without gaps, a copy of the last row of each day replaces the pass that
+    carries it from chunk to chunk.
+
+    ``scope='window'`` gives the full windows of ``size`` rows instead, as ``win``, with the changes inside each of them as
+    ``delta``: there the first row of every window has change 0, whatever came before it.
+    """
+    if scope == "window":
+        return sliding_windows(df, cols, size, keys, order, chunk, y=None, fault=None).withColumn("delta", window_delta(F.col("win")))
+    if scope != "series":
+        raise ValueError(f"unknown scope {scope!r}: series, window")
+    if step:
+        rows = halo_by_time(df, order[0], step)
+        before = F.lag(F.struct(*cols)).over(Window.partitionBy(*keys, "_chunk").orderBy(*order))
+        out = rows.withColumn("_prev", before).where(~F.col("_halo")).drop("_halo", "_chunk")
+    else:
+        out = with_previous(df, keys, order, _chunk(chunk), cols, "_prev")
     return out.withColumns({c + suffix: F.col(c) - F.coalesce(F.col(f"_prev.{c}"), F.col(c)) for c in cols}).drop("_prev")
 
 
+def window_delta(win: Column) -> Column:
+    """Changes inside a window ARRAY<ARRAY<DOUBLE>>; those of its first row are 0."""
+    return F.transform(win, lambda row, i: F.zip_with(row, F.get(win, F.greatest(i - 1, F.lit(0))), lambda a, b: a - b))
+
+
+def window_inputs(win: Column, level: list[tuple[float, float]], combined: list[tuple[float, float]], clip: float = CLIP) -> Column:
+    """Scaled levels and changes of a raw window, with all scaling and changes inside the window; NULL and NaN count as the mean."""
+    def scaled(rows: Column, fitted: list[tuple[float, float]]) -> Column:
+        pairs = F.array(*[F.struct(F.lit(float(m)).alias("m"), F.lit(float(s)).alias("s")) for m, s in fitted])
+        one = lambda v, p: F.coalesce(F.nanvl(F.greatest(F.least((v - p["m"]) / p["s"], F.lit(clip)), F.lit(-clip)), F.lit(0.0)), F.lit(0.0))
+        return F.transform(rows, lambda row: F.zip_with(row, pairs, one))
+    z = scaled(win, level)
+    both = F.zip_with(z, window_delta(z), lambda a, d: F.concat(a, d))
+    return scaled(both, combined)
+
+
 def _placed(df: DataFrame, keys: list[str], order: list[str], chunk: Column | None, pos: str | None):
     if pos:
         return df.withColumn("_pos", F.col(pos))

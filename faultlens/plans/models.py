@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -60,8 +62,11 @@ class PcaReconstructor:
             path: str | None = None) -> PcaReconstructor:
         """The covariance is summed on the executors; mean and components (d and d×k numbers) come back.
 
-        With a path, a model stored there is used instead of fitting, and a new one is stored.
+        With a path, a model stored there for the same ``k``, weights and column is used instead of fitting, and a new one is
+        stored; models of other settings stay beside it.
         """
+        if path:
+            path = f"{path}/{hashlib.md5(json.dumps([k, weights, col]).encode()).hexdigest()}"
         root = None if weights is None else np.sqrt(np.asarray(weights, dtype=float))
         spark = windows.sparkSession
         if path and _exists(spark, path):
@@ -140,7 +145,7 @@ def score_external(windows: DataFrame, make_predict_fn: Callable, col: str = "wi
 
 
 def baseline_errors(features: DataFrame, cols: list[str], kind: str, keys: list[str] = SERIES, order: list[str] = ["ts"],
-                    healthy: Column | None = None, chunk: Column | None = None) -> tuple[DataFrame, list[str]]:
+                    healthy: Column | None = None, chunk: Column | None = None, step: int | None = None) -> tuple[DataFrame, list[str]]:
     """Squared error per row and feature of a model that needs no window.
 
     ``mean`` predicts the healthy mean, ``persistence`` the row before. Returns the rows and the error columns.
@@ -150,7 +155,7 @@ def baseline_errors(features: DataFrame, cols: list[str], kind: str, keys: list[
         means = scaler_values(fit_scaler(features, cols, healthy))
         return features.withColumns({n: F.pow(F.col(c) - means[c][0], F.lit(2.0)) for n, c in zip(names, cols)}), names
     if kind == "persistence":
-        rows = delta(features, cols, keys, order, chunk, suffix="_step")
+        rows = delta(features, cols, keys, order, chunk, suffix="_step", step=step)
         return (rows.withColumns({n: F.pow(F.col(f"{c}_step"), F.lit(2.0)) for n, c in zip(names, cols)})
                 .drop(*[f"{c}_step" for c in cols]), names)
     raise ValueError(f"unknown kind {kind!r}: mean, persistence")
@@ -160,7 +165,7 @@ def score_baseline(features: DataFrame, cols: list[str], kind: str, size: int =
                    keys: list[str] = SERIES, pos: str | None = None, **kw) -> DataFrame:
     """Windows with err, node_err and score for a baseline, straight from the rows."""
     rows, names = baseline_errors(features, cols, kind, keys, **kw)
-    out = windowed_error(rows, names, size, keys, pos=pos, chunk=kw.get("chunk"))
+    out = windowed_error(rows, names, size, keys, pos=pos, chunk=kw.get("chunk"), step=kw.get("step"))
     return (out.withColumn("node_err", node_error(F.col("err"), len(cols), layout))
             .withColumn("score", hybrid_score(F.col("node_err"))))
 
