@@ -252,7 +252,7 @@ def _(spark, sf):
             .select("scenario", F.floor(F.col("i") / F.lit(42)).alias("step"), (F.col("i") % 42).cast("bigint").alias("idx"), F.round("z", 1).alias("z")))
 
 
-@query("j9_load_or_fit")
+@query("j1_load_or_fit_pca")
 def _(spark, sf):
     """Fit and store, then load and score: the second call reads the stored model."""
     win = _embedding_windows(spark, sf)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,3 +57,8 @@ def floor_ts(ts: Column, step: int) -> Column:
 
 def slot_of(ts: Column, step: int) -> Column:
     return F.floor(F.unix_seconds(ts) / F.lit(step))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body or a pushed-down filter uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultlens.functions.numeric import let
 from faultlens.operators.ordered import (CHUNK_ROWS, carry_in, halo_by_position, halo_by_time, inside, running_last,
                                          running_sum, time_chunk, with_position, with_previous)
 from faultlens.schemas import CLIP, HEALTHY, WINDOW_ROWS
@@ -42,7 +43,7 @@ def delta(df: DataFrame, cols: list[str], keys: list[str] = SERIES, order: list[
 
 def window_delta(win: Column) -> Column:
     """Changes inside a window ARRAY<ARRAY<DOUBLE>>; those of its first row are 0."""
-    return F.transform(win, lambda row, i: F.zip_with(row, F.get(win, F.greatest(i - 1, F.lit(0))), lambda a, b: a - b))
+    return let(win, lambda w: F.transform(w, lambda row, i: F.zip_with(row, F.get(w, F.greatest(i - 1, F.lit(0))), lambda a, b: a - b)))
 
 
 def window_inputs(win: Column, level: list[tuple[float, float]], combined: list[tuple[float, float]], clip: float = CLIP) -> Column:
@@ -51,9 +52,7 @@ def window_inputs(win: Column, level: list[tuple[float, float]], combined: list[
         pairs = F.array(*[F.struct(F.lit(float(m)).alias("m"), F.lit(float(s)).alias("s")) for m, s in fitted])
         one = lambda v, p: F.coalesce(F.nanvl(F.greatest(F.least((v - p["m"]) / p["s"], F.lit(clip)), F.lit(-clip)), F.lit(0.0)), F.lit(0.0))
         return F.transform(rows, lambda row: F.zip_with(row, pairs, one))
-    z = scaled(win, level)
-    both = F.zip_with(z, window_delta(z), lambda a, d: F.concat(a, d))
-    return scaled(both, combined)
+    return let(scaled(win, level), lambda z: scaled(F.zip_with(z, window_delta(z), lambda a, d: F.concat(a, d)), combined))
 
 
 def _placed(df: DataFrame, keys: list[str], order: list[str], chunk: Column | None, pos: str | None):

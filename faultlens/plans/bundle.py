@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from faultlens.functions.numeric import let
 from faultlens.operators.curves import exact_percentiles
 from faultlens.operators.scaling import double_scale, fit_scaler, scaler_values
-from faultlens.operators.scoring import feature_error, hybrid_score, mean_of
+from faultlens.operators.scoring import feature_error, hybrid_score
 from faultlens.operators.sequence import sliding_windows, window_inputs
 from faultlens.plans.models import PcaReconstructor, healthy_only
 from faultlens.schemas import CLIP, WINDOW_ROWS
@@ -65,19 +66,20 @@ class Bundle:
 
 def score_raw_windows(windows: DataFrame, bundle: Bundle, col: str = "win") -> DataFrame:
     """The same errors and scores as the live job, for batch windows of raw values; adds err, node_err and score."""
-    out = windows.withColumn("_x", window_inputs(F.col(col), bundle.level, bundle.combined))
+    x = window_inputs(F.col(col), bundle.level, bundle.combined)
     if bundle.kind == "mean":
-        step = F.array(*[F.lit(float(v)) for v in bundle.mean])
-        out = out.withColumn("_recon", F.array_repeat(step, bundle.size))
+        recon = F.array_repeat(F.array(*[F.lit(float(v)) for v in bundle.mean]), bundle.size)
+        out = windows.withColumn("err", let(x, lambda inputs: feature_error(inputs, recon)))
     else:
-        out = PcaReconstructor(np.array(bundle.mean), np.array(bundle.components)).reconstruct(out, "_x", "_recon")
-    out = out.withColumn("err", feature_error(F.col("_x"), F.col("_recon"))).drop("_x", "_recon")
-    nodes = F.array(*[mean_of(F.array(*[F.col("err")[i] for i in idx])) for idx in bundle.nodes])
-    return out.withColumn("node_err", nodes).withColumn("score", hybrid_score(F.col("node_err")))
+        model = PcaReconstructor(np.array(bundle.mean), np.array(bundle.components))
+        out = model.reconstruct(windows.withColumn("_x", x), "_x", "_recon").withColumn("err", feature_error(F.col("_x"), F.col("_recon"))).drop("_x", "_recon")
+    nodes = lambda err: F.array(*[sum((err[i] for i in idx[1:]), err[idx[0]]) / len(idx) for idx in bundle.nodes])
+    return out.withColumn("node_err", let(F.col("err"), nodes)).withColumn("score", let(F.col("node_err"), hybrid_score))
 
 
 def fit_bundle(rows: DataFrame, cols: list[str], nodes: list[list[int]], kind: str = "mean", k: int = 8, percentile: float = 85.0,
-               size: int = WINDOW_ROWS, keys: list[str] = ["series_id"], train: Column | None = None) -> Bundle:
+               size: int = WINDOW_ROWS, keys: list[str] = ["series_id"], train: Column | None = None,
+               step: int | None = None) -> Bundle:
     """Fit scalers, model and threshold on the healthy rows of ``train`` (a condition on the rows; all by default).
 
     Nothing that ``train`` leaves out is seen by any fit: a window counts for the threshold only if all its rows belong to
@@ -86,7 +88,7 @@ def fit_bundle(rows: DataFrame, cols: list[str], nodes: list[list[int]], kind: s
     mine = F.lit(True) if train is None else train
     rows = stage(rows.withColumn("_train", mine.cast("int")))
     healthy = (F.col("ground_truth") == 0) & (F.col("_train") == 1)
-    features, level, combined = double_scale(rows, cols, keys, healthy=healthy)
+    features, level, combined = double_scale(rows, cols, keys, healthy=healthy, step=step)
     inputs = [*cols, *[c + "_delta" for c in cols]]
     pairs = lambda found, names: [found[n] for n in names]
     known = dict(cols=cols, level=pairs(level, cols), combined=pairs(combined, inputs), nodes=nodes, size=size, threshold=0.0)
@@ -100,7 +102,7 @@ def fit_bundle(rows: DataFrame, cols: list[str], nodes: list[list[int]], kind: s
         bundle = Bundle(**known, kind=kind, mean=model.mean.tolist(), components=model.components.tolist())
     else:
         raise ValueError(f"unknown kind {kind!r}: mean, pca")
-    scored = healthy_only(score_raw_windows(windows, bundle)).select(F.lit("live").alias("model"), "score")
+    scored = stage(score_raw_windows(healthy_only(windows), bundle).select(F.lit("live").alias("model"), "score"))
     found = exact_percentiles(scored, ["model"], "score", [percentile]).first()
     return Bundle(**{**bundle.__dict__, "threshold": float(found["values"][0]) if found else 0.0})
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,12 +39,26 @@ def stream_grid(samples: DataFrame, metrics: list[str], step: int = STEP_SECONDS
                 keys: list[str] = ["series_id"]) -> DataFrame:
     """One wide row per series and step: the largest value per metric over all label sets.
 
-    A step is final once the watermark has passed it; samples later than that are dropped.
+    A step is final once the watermark has passed it; samples later than that are dropped. Rows without a metric, such as a
+    closing mark, move the watermark and give no step.
     """
     wide = (samples.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
             .groupBy(*keys, F.window("ts", f"{step} seconds"))
-            .agg(*[F.max(F.when(F.col("metric") == m, F.col("val"))).alias(m) for m in metrics]))
-    return wide.select(*keys, F.col("window.start").alias("ts"), *metrics)
+            .agg(*[F.max(F.when(F.col("metric") == m, F.col("val"))).alias(m) for m in metrics], F.count("metric").alias("_samples")))
+    return wide.where("_samples > 0").select(*keys, F.col("window.start").alias("ts"), *metrics)
+
+
+def write_closing_mark(spark: SparkSession, path: str, schema: T.StructType, last: dt.datetime, step: int = STEP_SECONDS,
+                       lateness: str = LATENESS, ts: str = "ts") -> None:
+    """End a back-fill: add a row to the source's folder that has a time only, late enough to make every step up to ``last`` final.
+
+    Without it the steps inside the lateness stay open, as they must while a source goes on. Samples up to ``last`` that
+    arrive after the mark was read are late.
+    """
+    seconds = int(lateness.split()[0]) * {"second": 1, "minute": 60, "hour": 3600}[lateness.split()[1].rstrip("s")]
+    row = {f.name: None for f in schema} | {ts: last + dt.timedelta(seconds=step + seconds + 1)}
+    open_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
+    spark.createDataFrame([tuple(row[f.name] for f in schema)], open_schema).write.mode("append").parquet(path)
 
 
 class Alarm:
@@ -72,7 +87,7 @@ _OUT_FIELDS = "tick bigint, score double, smoothed double, offset double, correc
 
 
 class ScoreSentinel(StatefulProcessor):
-    """Alarm state over a stream of finished scores."""
+    """Alarm state over a stream of finished scores; a batch's scores of a series are kept as numbers and put in order."""
 
     def __init__(self, threshold: float, name: str = "series_id"):
         self.threshold, self.name = threshold, name
@@ -81,17 +96,19 @@ class ScoreSentinel(StatefulProcessor):
         self.state = handle.getValueState("alarm", _ALARM_FIELDS + ", last bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values("ts")
+        times, scores = zip(*((part["ts"].astype("datetime64[ns]").to_numpy(), part["score"].to_numpy(dtype=float)) for part in rows))
+        times, scores = np.concatenate(times), np.concatenate(scores)
         kept = self.state.get() if self.state.exists() else ([], 0, 0.0, False, -2**62)
         alarm, last = Alarm(self.threshold, *kept[:4]), kept[4]
+        order = np.argsort(times, kind="stable")
         out = []
-        for ts, score in zip(new["ts"], new["score"]):
-            if ts.value <= last:
+        for ts, score in zip(times[order], scores[order].tolist()):
+            if int(ts.astype(np.int64)) <= last:
                 continue
-            last = ts.value
-            hit = alarm.tick(float(score))
+            last = int(ts.astype(np.int64))
+            hit = alarm.tick(score)
             if hit:
-                out.append((key[0], ts, alarm.ticks - 1, float(score), hit[0], alarm.offset, hit[1], hit[2]))
+                out.append((key[0], pd.Timestamp(ts), alarm.ticks - 1, score, hit[0], alarm.offset, hit[1], hit[2]))
         self.state.update((alarm.scores, alarm.ticks, alarm.offset, alarm.active, last))
         yield pd.DataFrame(out, columns=[self.name, "ts", "tick", "score", "smoothed", "offset", "corrected", "anomaly"])
 
@@ -106,11 +123,16 @@ def stream_sentinel(scores: DataFrame, threshold: float, key: str = "series_id")
     return scores.groupBy(key).transformWithStateInPandas(ScoreSentinel(threshold, key), schema, "Append", "none")
 
 
+#: Steps of a series that are worked off at once.
+BLOCK_STEPS = 4_096
+
+
 class WindowSentinel(StatefulProcessor):
     """Newest slots of a series with forward fill, their score, and the alarm state, in one state object.
 
-    A slot without a row repeats the values before it and is a tick of its own, as on a dense grid. Slots at
-    or before the last one seen are ignored.
+    A slot without a row repeats the values before it and is a tick of its own, as on a dense grid. Slots at or before the
+    last one seen are ignored. What arrives for a series in a micro-batch is kept as numbers only and put in order; the dense
+    grid is then filled, cut into windows and scored block by block, so a long gap costs time but no memory.
     """
 
     def __init__(self, cols: list[str], score_errors: Callable[[np.ndarray], np.ndarray],
@@ -119,43 +141,58 @@ class WindowSentinel(StatefulProcessor):
         self.threshold, self.step, self.size = threshold, step, size
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("window", _ALARM_FIELDS + ", last bigint, seen int, cells array<double>")
+        self.state = handle.getValueState("window", _ALARM_FIELDS + ", last bigint, cells array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values("ts")
+        slots, values = [], []
+        for part in rows:
+            # Nanoseconds, whatever the unit of the column.
+            slots.append(part["ts"].astype("datetime64[ns]").to_numpy().astype(np.int64) // (10**9 * self.step))
+            values.append(part[self.cols].to_numpy(dtype=float))
+        slots, values = np.concatenate(slots), np.concatenate(values)
         width = len(self.cols)
+        # The ring holds up to size - 1 rows before the next tick; a new series starts from zeros, which are no tick.
+        kept, last, ring = [[], 0, 0.0, False], None, np.empty((0, width))
         if self.state.exists():
-            *kept, last, seen, cells = self.state.get()
-            buffer = list(np.array(cells, dtype=float).reshape(-1, width))
-        else:
-            kept, last, seen, buffer = [[], 0, 0.0, False], None, 0, []
-        alarm, out = Alarm(self.threshold, *kept), []
-        columns = [self.name, "ts", "tick", "score", "smoothed", "offset", "corrected", "anomaly", "err"]
-        for ts, values in zip(new["ts"], new[self.cols].to_numpy(dtype=float)):
-            slot = int(ts.timestamp()) // self.step
-            if last is not None and slot <= last:
-                continue
-            before = buffer[-1] if buffer else np.zeros(width)
-            for at in range(slot if last is None else last + 1, slot + 1):
-                row = np.where(np.isnan(values), before, values) if at == slot else before
-                buffer = [*buffer, row][-self.size:]
-                seen += 1
-                if seen < self.size:
-                    continue
-                err = self.score_errors(np.stack(buffer))
-                nodes = [err[idx].mean() for idx in self.slices]
-                score = 0.7 * max(nodes) + 0.3 * (sum(nodes) / len(nodes))
-                hit = alarm.tick(float(score))
+            *kept, last, cells = self.state.get()
+            ring = np.array(cells, dtype=float).reshape(-1, width)
+            values, slots = values[slots > last], slots[slots > last]
+        alarm = Alarm(self.threshold, *kept)
+        if len(slots):
+            order = np.argsort(slots, kind="stable")
+            slots, values = slots[order], values[order]
+            first, end = (slots[0] if last is None else last + 1), slots[-1] + 1
+            for at in range(first, end, BLOCK_STEPS):
+                to = min(at + BLOCK_STEPS, end)
+                low, high = np.searchsorted(slots, (at, to))
+                ring, out = self._block(key, alarm, ring, slots[low:high] - at, values[low:high], at, to - at)
+                yield out
+            last = int(slots[-1])
+        if last is not None:
+            self.state.update((alarm.scores, alarm.ticks, alarm.offset, alarm.active, last, ring.ravel().tolist()))
+
+    def _block(self, key, alarm: Alarm, ring: np.ndarray, places: np.ndarray, values: np.ndarray, at: int, count: int):
+        """Ticks of ``count`` dense slots from ``at`` on, and the rows that the next block starts from."""
+        width = len(self.cols)
+        dense = np.full((count, width), np.nan)
+        dense[places] = values
+        before = ring[-1:] if len(ring) else np.zeros((1, width))
+        filled = np.concatenate((before, dense))
+        source = np.maximum.accumulate(np.where(np.isnan(filled), 0, np.arange(len(filled))[:, None]), axis=0)
+        rows = np.concatenate((ring, np.take_along_axis(filled, source, 0)[1:]))
+        out, names = [], [self.name, "ts", "tick", "score", "smoothed", "offset", "corrected", "anomaly", "err"]
+        if len(rows) >= self.size:
+            windows = np.lib.stride_tricks.sliding_window_view(rows, self.size, axis=0).transpose(0, 2, 1)
+            err = self.score_errors(windows)
+            nodes = np.stack([err[:, idx].mean(1) for idx in self.slices], 1)
+            scores = 0.7 * nodes.max(1) + 0.3 * nodes.mean(1)
+            start = at + count - len(scores)
+            for nth, score in enumerate(scores.tolist()):
+                hit = alarm.tick(score)
                 if hit:
-                    when = pd.Timestamp(at * self.step, unit="s")
-                    out.append((key[0], when, alarm.ticks - 1, float(score), hit[0], alarm.offset, hit[1], hit[2], err.tolist()))
-                if len(out) >= 1_000:
-                    yield pd.DataFrame(out, columns=columns)
-                    out = []
-            last = slot
-        self.state.update((alarm.scores, alarm.ticks, alarm.offset, alarm.active, last, min(seen, self.size),
-                           np.concatenate(buffer).tolist()))
-        yield pd.DataFrame(out, columns=columns)
+                    out.append((key[0], pd.Timestamp((start + nth) * self.step, unit="s"), alarm.ticks - 1, score, hit[0], alarm.offset,
+                                hit[1], hit[2], err[nth].tolist()))
+        return rows[-(self.size - 1):] if self.size > 1 else rows[:0], pd.DataFrame(out, columns=names)
 
     def close(self) -> None:
         pass
@@ -164,7 +201,10 @@ class WindowSentinel(StatefulProcessor):
 def stream_windows(grid: DataFrame, cols: list[str], score_errors: Callable[[np.ndarray], np.ndarray],
                    node_slices: list[list[int]], threshold: float, step: int = STEP_SECONDS,
                    size: int = WINDOW_ROWS, key: str = "series_id") -> DataFrame:
-    """Ticks with the error per feature; nothing until a series has ``size`` slots and has warmed up."""
+    """Ticks with the error per feature; nothing until a series has ``size`` slots and has warmed up.
+
+    ``score_errors`` takes many windows at once, (windows, size, columns), and gives (windows, inputs).
+    """
     kind = grid.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, ts timestamp, {_OUT_FIELDS}, err array<double>"
     processor = WindowSentinel(cols, score_errors, node_slices, threshold, step, size, key)
@@ -173,7 +213,7 @@ def stream_windows(grid: DataFrame, cols: list[str], score_errors: Callable[[np.
 
 def window_errors(level: list[tuple[float, float]], combined: list[tuple[float, float]],
                   reconstruct: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
-    """Error per input of one raw window: two-pass scaling inside the window, then the model.
+    """Error per input of raw windows (…, size, columns): two-pass scaling inside each window, then the model.
 
     ``level`` and ``combined`` are (mean, scale) per column of the fitted scalers.
     """
@@ -182,9 +222,9 @@ def window_errors(level: list[tuple[float, float]], combined: list[tuple[float,
 
     def errors(raw: np.ndarray) -> np.ndarray:
         z = np.nan_to_num(np.clip((raw - m1) / s1, -CLIP, CLIP), nan=0.0)
-        both = np.hstack([z, np.diff(z, axis=0, prepend=z[:1])])
+        both = np.concatenate((z, np.diff(z, axis=-2, prepend=z[..., :1, :])), axis=-1)
         x = np.nan_to_num(np.clip((both - m2) / s2, -CLIP, CLIP), nan=0.0)
-        return ((x - reconstruct(x)) ** 2).mean(axis=0)
+        return ((x - reconstruct(x)) ** 2).mean(axis=-2)
 
     return errors
 

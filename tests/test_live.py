@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from faultlens.operators import sequence as seq
 from faultlens.operators.clean import feature_names
 from faultlens.operators.ordered import time_chunk
+from faultlens.plans import bundle
 from faultlens.schemas import SAMPLE
 from faultlens.streaming import live
 from tests.helpers import at, frame, rows
@@ -137,3 +138,101 @@ def test_late_samples_inside_the_lateness_count(spark, tmp_path):
     grid = live.stream_grid(live.stream_samples(spark, str(tmp_path / "in"), max_files=1), ["m"])
     got = rows(live.run_to_table(grid, str(tmp_path / "out"), str(tmp_path / "ckpt")), "ts")
     assert at("10:03:20") in list(got.ts)
+
+
+def test_late_rows_beyond_the_lateness_are_dropped_and_a_mark_closes(spark, tmp_path):
+    """Three runs of one query: what arrives, then a row inside and one beyond 160 seconds, then the closing mark."""
+    def run():
+        grid = live.stream_grid(live.stream_samples(spark, str(tmp_path / "in")), ["m"])
+        return rows(live.run_to_table(grid, str(tmp_path / "out"), str(tmp_path / "ckpt")), "ts")
+    path = str(tmp_path / "in")
+    samples(spark, path, {t: {"m": 1.0} for t in range(40)})
+    first = run()
+    assert len(first) < 40 and first.m.eq(1.0).all()
+    samples(spark, path, {38: {"m": 7.0}, 5: {"m": 9.0}, 3: {"m": 9.0}})
+    run()
+    live.write_closing_mark(spark, path, SAMPLE, (at("10:00:00") + pd.Timedelta(seconds=399)).to_pydatetime())
+    got = run()
+    assert len(got) == 40 and list(got.m) == [7.0 if t == 38 else 1.0 for t in range(40)]
+
+
+def labelled_rows(spark, n=120, series=2):
+    rng = np.random.default_rng(4)
+    data = [(s, at("10:00:00") + pd.Timedelta(seconds=10 * i), *map(float, np.round(rng.gamma(2, 10, 3), 2)), int(i % 40 > 36), "F1" if i % 40 > 36 else "HEALTHY")
+            for s in range(series) for i in range(n)]
+    return frame(spark, data, "series_id long, ts timestamp, app_cpu double, db_cpu double, redis_cpu double, ground_truth int, fault_type string")
+
+
+COLS, NODES = ["app_cpu", "db_cpu", "redis_cpu"], [[0, 3], [1, 4], [2, 5]]
+
+
+@pytest.mark.parametrize("kind", ["mean", "pca"])
+def test_bundle_scores_batch_windows_as_the_live_job_does(spark, tmp_path, kind):
+    data = labelled_rows(spark)
+    made = bundle.fit_bundle(data, COLS, NODES, kind=kind, k=4)
+    folder = str(tmp_path / "b")
+    assert bundle.current_version(spark, folder) is None
+    bundle.publish(spark, made, folder)
+    kept = bundle.load_bundle(spark, folder)
+    assert kept == made and kept.threshold > 0
+    scored = rows(bundle.score_raw_windows(seq.sliding_windows(data, COLS), kept), "series_id", "win_id")
+    raw = np.array([[list(r) for r in w] for w in scored.win])
+    err = kept.errors(raw)
+    assert np.allclose(err, np.array([list(e) for e in scored.err]))
+    nodes = np.stack([err[:, i].mean(1) for i in NODES], 1)
+    assert np.allclose(scored.score, .7 * nodes.max(1) + .3 * nodes.mean(1))
+    assert np.isclose(kept.threshold, np.percentile(scored.score[scored.y == 0], 85))
+
+
+def test_bundle_fit_sees_training_rows_only_and_is_reused_for_equal_settings(spark, tmp_path):
+    data, folder = labelled_rows(spark), str(tmp_path / "b")
+    train = F.col("ts") < F.lit(at("10:10:00").to_pydatetime())
+    spoiled = data.withColumn("app_cpu", F.when(train, F.col("app_cpu")).otherwise(1e6))
+    one, two = (bundle.fit_bundle(d, COLS, NODES, train=train) for d in (data, spoiled))
+    assert one == two
+    first = bundle.load_or_fit_bundle(data, folder, COLS, NODES)
+    version = bundle.current_version(spark, folder)
+    assert bundle.load_or_fit_bundle(spoiled, folder, COLS, NODES) == first and bundle.current_version(spark, folder) == version
+    other = bundle.load_or_fit_bundle(data, folder, COLS, NODES, kind="pca", k=2)
+    assert other.kind == "pca" and bundle.current_version(spark, folder) != version
+    assert bundle.load_bundle(spark, folder, version) == first
+
+
+def test_a_live_query_takes_a_new_version_over_and_keeps_its_state(spark, tmp_path):
+    data, folder = labelled_rows(spark, 60, 1), str(tmp_path / "b")
+    made = bundle.fit_bundle(data, COLS, NODES)
+    bundle.publish(spark, made, folder)
+    values = {t: {c: 20.0 + t for c in COLS} for t in range(90)}
+    samples(spark, str(tmp_path / "in"), {t: v for t, v in values.items() if t < 60})
+    seen = []
+
+    def start(now):
+        seen.append(now.threshold)
+        grid = live.stream_grid(live.stream_samples(spark, str(tmp_path / "in")), COLS)
+        ticks = live.stream_windows(grid, COLS, now.errors, now.nodes, now.threshold)
+        return (ticks.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ckpt"))
+                .outputMode("append").trigger(availableNow=True).start())
+    bundle.follow(spark, folder, start, 60)
+    bundle.publish(spark, bundle.Bundle(**{**made.__dict__, "threshold": 1e9}), folder)
+    samples(spark, str(tmp_path / "in"), {t: v for t, v in values.items() if t >= 60})
+    live.write_closing_mark(spark, str(tmp_path / "in"), SAMPLE, (at("10:00:00") + pd.Timedelta(seconds=899)).to_pydatetime())
+    bundle.follow(spark, folder, start, 60)
+    got = rows(spark.read.parquet(str(tmp_path / "out")), "ts")
+    assert seen == [made.threshold, 1e9]
+    assert list(got.tick) == list(range(5, 81)) and not got.anomaly.iloc[-20:].any()
+
+
+def test_window_scope_starts_every_window_without_change(spark):
+    data = labelled_rows(spark, 30, 1)
+    got = rows(seq.delta(data, COLS, scope="window"), "win_id")
+    values = data.orderBy("ts").toPandas()[COLS].to_numpy()
+    for i, d in enumerate(got.delta):
+        win = values[i:i + 10]
+        assert np.allclose(np.array([list(r) for r in d]), np.diff(win, axis=0, prepend=win[:1]))
+    assert len(got) == 21
+
+
+def test_change_on_a_grid_equals_change_of_any_rows(spark):
+    data = labelled_rows(spark, 100, 2)
+    one, two = (rows(seq.delta(data, COLS, **kw), "series_id", "ts") for kw in ({}, {"step": 10}))
+    assert np.allclose(one[[c + "_delta" for c in COLS]], two[[c + "_delta" for c in COLS]]) and len(one) == 200
