@@ -175,24 +175,27 @@ def _weights(rows: int, cols: int) -> list[list[float]]:
 
 
 def attention_nodes(spark, sf):
-    """Node vectors per embedding: three of its label's 16-value steps act as the nodes."""
+    """Four nodes per embedding: its four steps of sixteen values."""
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    nodes = F.array(*[F.struct(F.lit(n).alias("node"), F.slice("v", 4 * i + 1, 4).alias("x")) for i, n in enumerate(NODES)])
+    nodes = F.array(*[F.struct(F.lit(i).alias("node"), F.slice("v", 16 * i + 1, 16).alias("x")) for i in range(4)])
     return e.select("vec_id", F.explode(nodes).alias("n")).select("vec_id", "n.*")
 
 
-_GA_W, _GA_A = _weights(4, 3), [row[0] for row in _weights(6, 1)]
-_GA = ("nd AS (SELECT vec_id, n, [" + ", ".join("(" + " + ".join(f"CAST(embedding[4 * n + {k + 1}] AS DOUBLE) * ({_GA_W[k][u]})" for k in range(4)) + ")" for u in range(3)) +
-       "] AS h FROM embeddings, (SELECT unnest(range(3)) AS n))")
+#: A sparse graph: each node, the next one, and node 0 from everywhere.
+_EDGES = [(0, 0), (0, 1), (1, 1), (1, 2), (1, 0), (2, 2), (2, 3), (2, 0), (3, 3), (3, 0)]
+_GA_W, _GA_A = _weights(16, 3), [row[0] for row in _weights(6, 1)]
+_GA = ("nd AS (SELECT vec_id, n, [" + ", ".join("(" + " + ".join(f"CAST(embedding[16 * n + {k + 1}] AS DOUBLE) * ({_GA_W[k][u]})" for k in range(16)) + ")" for u in range(3)) +
+       "] AS h FROM embeddings, (SELECT unnest(range(4)) AS n))")
 _GE = ("ge AS (SELECT i.vec_id, i.n AS i, j.h AS hj, " + " + ".join(f"i.h[{u + 1}] * ({_GA_A[u]}) + j.h[{u + 1}] * ({_GA_A[3 + u]})" for u in range(3)) +
-       " AS l FROM nd i JOIN nd j ON i.vec_id = j.vec_id)")
+       " AS l FROM nd i JOIN (VALUES " + ", ".join(map(str, _EDGES)) + ") ed(src, dst) ON ed.src = i.n JOIN nd j ON i.vec_id = j.vec_id AND j.n = ed.dst)")
 _GP = "gp AS (SELECT vec_id, i, hj, exp(CASE WHEN l > 0 THEN l ELSE 0.2 * l END) AS p FROM ge)"
 
 
-@query("h6_graph_attention", with_(_GA, _GE, _GP) + "SELECT vec_id, ['app', 'db', 'redis'][i + 1] AS node, " + ", ".join(
+@query("h6_graph_attention", with_(_GA, _GE, _GP) + "SELECT vec_id, CAST(i AS INTEGER) AS node, " + ", ".join(
     f"round(CASE WHEN sum(p * hj[{u}]) / sum(p) > 0 THEN sum(p * hj[{u}]) / sum(p) ELSE exp(sum(p * hj[{u}]) / sum(p)) - 1 END, 6) AS h{u}" for u in (1, 2, 3)) + " FROM gp GROUP BY vec_id, i")
 def _(spark, sf):
-    out = s.graph_attention(attention_nodes(spark, sf), _GA_W, _GA_A, keys=["vec_id"])
+    edges = spark.createDataFrame(_EDGES, "src int, dst int")
+    out = s.graph_attention(attention_nodes(spark, sf), _GA_W, _GA_A, keys=["vec_id"], edges=edges)
     return out.select("vec_id", "node", *[F.col("h")[u].alias(f"h{u + 1}") for u in range(3)])
 
 
@@ -262,11 +265,22 @@ def _(spark, sf):
     return models.score_windows(model.reconstruct(win), width=16, layout="contiguous", n_nodes=2).select("vec_id", "score")
 
 
-@query("j2_neighbour")
+_NB_W, _NB_A = _weights(14, 4), [row[0] for row in _weights(8, 1)]
+_NB = ("nx AS MATERIALIZED (SELECT series_id, ts, unnest(range(3)) AS n, unnest([" + ", ".join(
+    "[" + ", ".join(INPUTS[i] for i in idx) + "]" for idx in s.node_slices(WIDTH)) + "]) AS v FROM x)",
+    "nh AS MATERIALIZED (SELECT series_id, ts, n, v, [" + ", ".join("(" + " + ".join(f"v[{k + 1}] * ({_NB_W[k][u]})" for k in range(14)) + ")" for u in range(4)) + "] AS h FROM nx)",
+    "np AS (SELECT i.series_id, i.ts, i.n, i.v AS vi, j.v AS vj, " + " + ".join(f"i.h[{u + 1}] * ({_NB_A[u]}) + j.h[{u + 1}] * ({_NB_A[4 + u]})" for u in range(4)) +
+    " AS l FROM nh i JOIN nh j ON i.series_id = j.series_id AND i.ts = j.ts AND i.n <> j.n)",
+    "nq AS (SELECT *, CASE WHEN l > 0 THEN l ELSE 0.2 * l END AS e FROM np)",
+    "nr AS (SELECT *, exp(e - max(e) OVER (PARTITION BY series_id, ts, n)) AS p FROM nq)",
+    "ns AS (SELECT series_id, ts, n, [" + ", ".join(f"power(any_value(vi[{k}]) - sum(p * vj[{k}]) / sum(p), 2)" for k in range(1, 15)) + "] AS errs FROM nr GROUP BY series_id, ts, n)")
+
+
+@query("j2_neighbour", with_(*SCALED, *_NB) + "SELECT series_id, ts, ['app', 'db', 'redis'][n + 1] AS node, round(list_sum(errs) / 14, 6) AS node_err FROM ns")
 def _(spark, sf):
     """Each node from the attention-weighted values of the others, on the scaled inputs."""
     node_cols = {n: [INPUTS[i] for i in idx] for n, idx in zip(NODES, s.node_slices(WIDTH))}
-    err = models.neighbour_errors(features(spark, sf), node_cols, _weights(14, 4), [row[0] for row in _weights(8, 1)])
+    err = models.neighbour_errors(features(spark, sf), node_cols, _NB_W, _NB_A)
     return err.select("series_id", "ts", "node", s.mean_of(F.col("err")).alias("node_err"))
 
 

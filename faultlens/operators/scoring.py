@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultlens.functions.numeric import let
 from faultlens.operators.ordered import halo_by_position
 from faultlens.operators.sequence import _placed
 from faultlens.schemas import FEATURES, NODES, WINDOW_ROWS
@@ -144,27 +145,35 @@ def graph_attention(nodes: DataFrame, weight: list[list[float]], attn: list[floa
     """
     units = len(weight[0])
     hidden = F.array(*[dot(F.col(value), [row[u] for row in weight]) for u in range(units)])
-    h = nodes.withColumn("_h", hidden)
-    h = h.withColumn("_a", dot(F.col("_h"), attn[:units])).withColumn("_b", dot(F.col("_h"), attn[units:]))
-    listed = h.groupBy(*keys).agg(F.collect_list(F.struct(F.col(node).alias("n"), F.col("_h").alias("h"),
-                                                          F.col("_a").alias("a"), F.col("_b").alias("b"))).alias("_l"))
-    if edges is None:
-        out = listed.select(*keys, F.explode("_l").alias("_i"), F.col("_l").alias("_n"))
+    h = nodes.select(*keys, F.col(node).alias("_n"), let(hidden, lambda v: F.struct(
+        v.alias("h"), dot(v, attn[:units]).alias("a"), dot(v, attn[units:]).alias("b"))).alias("_h"))
+    if edges is not None:
+        linked = linked_nodes(h, edges, keys)
     else:
-        targets = edges.groupBy("src").agg(F.collect_set("dst").alias("_t"))
-        per_node = listed.select(*keys, F.explode("_l").alias("_i"), "_l").withColumn("src", F.col("_i.n"))
-        from faultlens.session import attach
-        linked = attach(per_node, targets, ["src"], "inner")
-        out = linked.select(*keys, "_i", F.filter("_l", lambda j: F.array_contains(F.col("_t"), j["n"])).alias("_n"))
-    e = F.transform("_n", lambda j: leaky_relu(F.col("_i")["a"] + j["b"]))
-    out = out.withColumn("_e", e).withColumn("_top", F.array_max("_e"))
-    out = out.withColumn("_p", F.transform("_e", lambda v: F.exp(v - F.col("_top"))))
-    out = out.withColumn("_z", F.aggregate("_p", F.lit(0.0), lambda acc, v: acc + v))
-
-    def pooled(u: int) -> Column:
-        parts = F.zip_with("_n", "_p", lambda j, p: j["h"][u] * p)
-        return F.aggregate(parts, F.lit(0.0), lambda acc, v: acc + v) / F.col("_z")
-
-    mixed = F.array(*[pooled(u) for u in range(units)])
-    final = F.transform(mixed, lambda v: elu(v)) if activate else mixed
-    return out.select(*keys, F.col("_i.n").alias(node), final.alias("h"))
+        listed = h.groupBy(*keys).agg(F.collect_list(F.struct("_n", "_h")).alias("_l"))
+        linked = listed.select(*keys, F.explode("_l").alias("_i"), "_l").select(*keys, F.col("_i._n").alias("_src"), F.col("_i._h.a").alias("_a"), F.explode("_l._h").alias("_t"))
+    out = softmax_mean(linked, keys, leaky_relu(F.col("_a") + F.col("_t.b")), [F.col("_t.h")[u] for u in range(units)])
+    return out.select(*keys, F.col("_src").alias(node), (F.transform("_mean", elu) if activate else F.col("_mean")).alias("h"))
+
+
+def linked_nodes(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, _src, _a, _t)`` for every edge (src, dst) of which both ends exist at a time step.
+
+    ``nodes`` has the node's name ``_n`` and a struct ``_h`` with its parts. Nodes meet their edges by name, and edges their
+    targets by step and name; a missing edge costs nothing.
+    """
+    src, dst = edges.select(F.col("src").alias("_n"), F.col("dst").alias("_dst")).distinct(), nodes.select(*keys, F.col("_n").alias("_dst"), F.col("_h").alias("_t"))
+    out = nodes.select(*keys, "_n", F.col("_h.a").alias("_a")).join(src, "_n")
+    return out.join(dst, [*keys, "_dst"]).select(*keys, F.col("_n").alias("_src"), "_a", "_t")
+
+
+def softmax_mean(linked: DataFrame, keys: list[str], logit: Column, values: list[Column]) -> DataFrame:
+    """``(keys, _src, _mean)``: per source the mean of the values over its edges, weighted by the softmax of the logits.
+
+    The largest logit of a source is taken off before exponents are, so no weight overflows.
+    """
+    segment = Window.partitionBy(*keys, "_src")
+    edge = linked.select(*keys, "_src", logit.alias("_e"), F.array(*values).alias("_v"))
+    weighed = edge.withColumn("_p", F.exp(F.col("_e") - F.max("_e").over(segment)))
+    sums = weighed.groupBy(*keys, "_src").agg(F.sum("_p").alias("_z"), *[F.sum(F.col("_p") * F.col("_v")[u]).alias(f"_s{u}") for u in range(len(values))])
+    return sums.select(*keys, "_src", F.array(*[F.col(f"_s{u}") / F.col("_z") for u in range(len(values))]).alias("_mean"))

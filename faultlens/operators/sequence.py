@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultlens.functions.numeric import let
-from faultlens.operators.ordered import (CHUNK_ROWS, carry_in, halo_by_position, halo_by_time, inside, running_last,
-                                         running_sum, time_chunk, with_position, with_previous)
+from faultlens.operators.ordered import (CHUNK_ROWS, carry_in, halo_by_position, halo_by_time, inside, running_last, time_chunk,
+                                         with_position, with_previous)
 from faultlens.schemas import CLIP, HEALTHY, WINDOW_ROWS
 
 SERIES = ["series_id"]
@@ -105,13 +107,36 @@ def moving_average(scores: DataFrame, n: int = 3, col: str = "score", name: str
     return trailing_mean(scores, col, n, name, **kw)
 
 
+def pair_counts(df: DataFrame, flag: str, counters: dict[str, Callable[[Column, Column], Column]], keys: list[str], order: list[str],
+                chunk: Column) -> DataFrame:
+    """Running counts over pairs of neighbouring rows, in one pass over the chunks.
+
+    Each counter is a condition on the flag of the row before, as a struct that is NULL on the first row of a key, and of the
+    row itself. Adds ``_prev`` (that struct) and the counters. A chunk's summary is its first and last flag and its counts inside;
+    the summaries of a key are scanned once, which gives every chunk the row before it and the counts so far.
+    """
+    within = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    here = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    now = F.struct(F.col(flag).alias("v"))
+    out = df.withColumn("_chunk", chunk)
+    out = out.withColumns({"_was": F.lag(now).over(within), "_end": F.lead(F.lit(1)).over(within).isNull(), "_head": F.first(now).over(here)})
+    inner = {n: F.sum(F.when(F.col("_was").isNotNull() & f(F.col("_was"), now), 1).otherwise(0)).over(here) for n, f in counters.items()}
+    out = out.withColumns(inner)
+    scan = Window.partitionBy(*keys).orderBy("_chunk")
+    ends = out.where("_end").select(*keys, "_chunk", "_head", now.alias("_tail"), *counters).withColumn("_before", F.lag("_tail").over(scan))
+    ends = ends.withColumns({f"_{n}_seam": F.when(f(F.col("_before"), F.col("_head")), 1).otherwise(0) for n, f in counters.items()})
+    base = {f"_{n}_base": F.sum(F.col(n) + F.col(f"_{n}_seam")).over(scan.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(n) for n in counters}
+    handed = ends.withColumns(base).select(*keys, "_chunk", "_before", *base)
+    out = out.join(handed.hint("shuffle_hash"), [*keys, "_chunk"])
+    out = out.withColumns({**{n: (F.col(n) + F.col(f"_{n}_base")).cast("bigint") for n in counters}, "_prev": F.coalesce("_was", "_before")})
+    return out.drop("_chunk", "_was", "_end", "_head", "_before", *base)
+
+
 def islands(df: DataFrame, flag: str, keys: list[str] = SERIES, order: list[str] = ["ts"],
             chunk: Column | None = None, name: str = "block") -> DataFrame:
     """Number the runs of equal flag values, from 1."""
-    out = with_previous(df, keys, order, _chunk(chunk), [flag], "_prev")
-    changed = F.when(F.col(f"_prev.{flag}").eqNullSafe(F.col(flag)) & F.col("_prev").isNotNull(), 0).otherwise(1)
-    out = out.withColumn("_changed", changed)
-    return running_sum(out, keys, order, _chunk(chunk), F.col("_changed"), name).drop("_prev", "_changed")
+    changed = lambda was, now: was.isNull() | ~was["v"].eqNullSafe(now["v"])
+    return pair_counts(df, flag, {name: changed}, keys, order, _chunk(chunk)).drop("_prev")
 
 
 def transitions(df: DataFrame, flag: str = "ground_truth", keys: list[str] = SERIES, order: list[str] = ["ts"],
@@ -120,14 +145,14 @@ def transitions(df: DataFrame, flag: str = "ground_truth", keys: list[str] = SER
 
     A flag that is already 1 in the first row gives no rise, so a fall may come before its rise.
     """
-    out = with_previous(df, keys, order, _chunk(chunk), [flag], "_prev")
-    step = F.col(flag) - F.col(f"_prev.{flag}")
-    edges = out.withColumn("_kind", step).where(step.isin(1, -1)).select(*keys, *order, "_kind")
-    edges = with_position(edges, [*keys, "_kind"], order, _chunk(chunk), "k")
+    step = lambda size: lambda was, now: F.coalesce(now["v"] - was["v"] == size, F.lit(False))
+    out = pair_counts(df, flag, {"_rises": step(1), "_falls": step(-1)}, keys, order, _chunk(chunk))
+    edges = out.withColumn("_kind", F.col(flag) - F.col("_prev.v")).where(F.col("_kind").isin(1, -1))
+    edges = edges.withColumn("k", F.when(F.col("_kind") == 1, F.col("_rises")).otherwise(F.col("_falls")))
     ts = order[0]
     pairs = edges.groupBy(*keys, "k").agg(F.max(F.when(F.col("_kind") == 1, F.col(ts))).alias("start_ts"),
                                           F.max(F.when(F.col("_kind") == -1, F.col(ts))).alias("stop_ts"))
-    pairs = pairs.where("start_ts IS NOT NULL AND stop_ts IS NOT NULL").withColumn("k", F.col("k") + 1)
+    pairs = pairs.where("start_ts IS NOT NULL AND stop_ts IS NOT NULL")
     if first:
         pairs = pairs.where(F.col("k") <= first)
     return pairs.withColumn("seconds", F.unix_seconds("stop_ts") - F.unix_seconds("start_ts"))

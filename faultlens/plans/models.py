@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultlens.functions.numeric import finite
+from faultlens.functions.numeric import finite, let
 from faultlens.operators.ordered import with_position
 from faultlens.operators.scaling import fit_scaler, scaler_values
-from faultlens.operators.scoring import feature_error, hybrid_score, node_error, windowed_error
+from faultlens.operators.scoring import (dot, feature_error, hybrid_score, leaky_relu, node_error, softmax_mean,
+                                         windowed_error)
 from faultlens.operators.sequence import delta
 
 SERIES = ["series_id"]
@@ -176,30 +177,18 @@ def neighbour_errors(features: DataFrame, node_cols: dict[str, list[str]], weigh
 
     Gives one row per (keys, node) with the squared errors of its features.
     """
-    from faultlens.operators.scoring import dot, leaky_relu
     nodes = F.array(*[F.struct(F.lit(n).alias("n"), F.array(*[finite(F.col(c)) for c in cols]).alias("x"))
                       for n, cols in node_cols.items()])
-    units = len(weight[0])
-    rows = features.select(*keys, nodes.alias("_raw"))
-
-    def with_logits(s: Column) -> Column:
-        h = F.array(*[dot(s["x"], [r[u] for r in weight]) for u in range(units)])
-        return F.struct(s["n"].alias("n"), s["x"].alias("x"), dot(h, attn[:units]).alias("a"), dot(h, attn[units:]).alias("b"))
-
-    rows = rows.select(*keys, F.transform("_raw", with_logits).alias("_l"))
-    rows = rows.select(*keys, F.explode("_l").alias("_i"), "_l")
-    rows = rows.withColumn("_o", F.filter("_l", lambda j: j["n"] != F.col("_i.n")))
-    rows = rows.withColumn("_p", F.transform("_o", lambda j: F.exp(leaky_relu(F.col("_i.a") + j["b"]))))
-    z = F.aggregate("_p", F.lit(0.0), lambda acc, v: acc + v)
-    width = len(next(iter(node_cols.values())))
-
-    def pooled(u: int) -> Column:
-        parts = F.zip_with("_o", "_p", lambda j, p: j["x"][u] * p)
-        return F.aggregate(parts, F.lit(0.0), lambda acc, v: acc + v) / z
-
-    mix = F.array(*[pooled(u) for u in range(width)])
-    err = F.zip_with(F.col("_i.x"), mix, lambda a, b: (a - b) * (a - b))
-    return rows.select(*keys, F.col("_i.n").alias("node"), err.alias("err"))
+    units, width = len(weight[0]), len(next(iter(node_cols.values())))
+    rows = features.select(*keys, F.explode(nodes).alias("n")).select(*keys, F.col("n.n").alias("_n"), F.col("n.x").alias("x"))
+    hidden = F.array(*[dot(F.col("x"), [r[u] for r in weight]) for u in range(units)])
+    rows = rows.select(*keys, "_n", let(hidden, lambda v: F.struct(dot(v, attn[:units]).alias("a"), dot(v, attn[units:]).alias("b"), F.col("x").alias("x"))).alias("_h"))
+    listed = rows.groupBy(*keys).agg(F.collect_list(F.struct("_n", "_h")).alias("_l"))
+    pairs = listed.select(*keys, F.explode("_l").alias("_i"), "_l").select(*keys, "_i", F.explode("_l").alias("_j")).where("_i._n <> _j._n")
+    linked = pairs.select(*keys, F.struct(F.col("_i._n").alias("n"), F.col("_i._h.x").alias("x")).alias("_src"), F.col("_i._h.a").alias("_a"), F.col("_j._h").alias("_t"))
+    out = softmax_mean(linked, keys, leaky_relu(F.col("_a") + F.col("_t.b")), [F.col("_t.x")[u] for u in range(width)])
+    err = F.zip_with(F.col("_src.x"), F.col("_mean"), lambda a, b: (a - b) * (a - b))
+    return out.select(*keys, F.col("_src.n").alias("node"), err.alias("err"))
 
 
 # The what-if inputs, in raw units of the named feature.

@@ -9,7 +9,8 @@ from faultlens.operators import ordered as o
 from faultlens.operators import sequence as seq
 from faultlens.operators.grid import asof_fill
 from faultlens.operators.rollup import counter_rate, max_over_time
-from tests.helpers import frame, rows
+from faultlens.operators.ordered import time_chunk
+from tests.helpers import at, frame, plan, rows
 
 START = pd.Timestamp("2026-01-01")
 
@@ -129,3 +130,30 @@ def test_grid_is_spread_and_complete(spark):
     grid = o.make_grid(bounds, ["series_id"], 10, chunk_slots=100)
     assert grid.where("series_id = 1").count() == 10_000 and grid.where("series_id = 2").count() == 1
     assert grid.where("series_id = 1").select(F.spark_partition_id()).distinct().count() > 1
+
+
+@pytest.mark.parametrize("seconds", [10, 70, 10**6])
+def test_runs_and_transitions_in_chunks_of_any_size(spark, seconds):
+    rng = np.random.default_rng(seconds)
+    data = [(s, at("10:00:00") + pd.Timedelta(seconds=10 * i), int(v)) for s in (1, 2, 3) for i, v in enumerate(rng.random(40 * s) > .6)]
+    df = frame(spark, data, "series_id int, ts timestamp, ground_truth int")
+    got = rows(seq.islands(df, "ground_truth", chunk=time_chunk("ts", seconds)), "series_id", "ts")
+    table = pd.DataFrame(data, columns=["series_id", "ts", "v"])
+    before = table.groupby("series_id").v.shift()
+    want = (before.isna() | (before != table.v)).groupby(table.series_id).cumsum()
+    assert list(got.block) == list(want)
+    found = rows(seq.transitions(df, chunk=time_chunk("ts", seconds)), "series_id", "k")
+    expected = []
+    for s, part in table.groupby("series_id"):
+        step = part.v.diff()
+        ups, downs = list(part.ts[step == 1]), list(part.ts[step == -1])
+        expected += [(s, k + 1, a, b, int((b - a).total_seconds())) for k, (a, b) in enumerate(zip(ups, downs))]
+    assert [tuple(r) for r in found[["series_id", "k", "start_ts", "stop_ts", "seconds"]].itertuples(index=False)] == expected
+
+
+def test_runs_take_few_shuffles(spark, tmp_path):
+    spark.range(1000).selectExpr("id % 7 as series_id", "timestamp_seconds(id) as ts", "int(id % 3 = 0) as ground_truth").write.parquet(str(tmp_path / "in"))
+    df = spark.read.parquet(str(tmp_path / "in"))
+    for out in (seq.islands(df, "ground_truth"), seq.transitions(df)):
+        text = plan(out)
+        assert text.count("Exchange hashpartitioning") <= 6 and "SortAggregate" not in text

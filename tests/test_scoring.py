@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from faultlens.functions.naming import parse_feature_name
+from faultlens.functions.naming import display_name, parse_feature_name
 from faultlens.operators import rootcause as rc
 from faultlens.operators import scaling
 from faultlens.operators import scoring as s
@@ -12,7 +12,7 @@ from faultlens.operators.clean import align_schema, feature_names, node_of, orde
 from faultlens.operators.grid import fuse_logs, log_counts, master_grid
 from faultlens.plans import models
 from faultlens.schemas import FEATURES, HARVEST_FEATURES
-from tests.helpers import at, frame, rows
+from tests.helpers import at, frame, plan, rows
 
 INPUTS = feature_names(FEATURES)
 
@@ -164,6 +164,19 @@ def test_attention_against_numpy(spark):
     mask = np.array([[0, 1, 1], [0, 1, 0], [1, 0, 0]], bool)
     got = rows(s.graph_attention(df, w.tolist(), a.tolist(), keys=["t"], edges=edges), "node")
     assert np.allclose(np.stack(got.h), layer(mask))
+    # Logits beyond what an exponent holds.
+    large = df.withColumn("x", F.transform("x", lambda v: v * 1e4))
+    assert all(np.isfinite(v) for r in s.graph_attention(large, w.tolist(), a.tolist(), keys=["t"], edges=edges, activate=False).collect() for v in r.h)
+    # Edges are joined by equality; no list of all nodes of a step is made.
+    text = plan(s.graph_attention(df, w.tolist(), a.tolist(), keys=["t"], edges=edges))
+    assert "NestedLoop" not in text and "Cartesian" not in text and "collect_list" not in text
+
+
+def test_shown_names_agree_with_the_column_form(spark):
+    names = INPUTS + ["plain", "x_pad_1", "app_probe_success_ratio", "web_some_thing"]
+    found = spark.createDataFrame([(n,) for n in names], "n string").select("n", parse_feature_name(F.col("n")).alias("p")).collect()
+    assert [tuple(r.p) for r in found] == [display_name(n) for n in names]
+    assert display_name("app_cpu_delta", True)[1] == "CPUUtil (Velocity)"
 
 
 def test_feature_error_and_baselines(spark):
