@@ -82,9 +82,10 @@ PTS = """pts AS (SELECT *, tp / n_pos AS rec, fp / n_neg AS fpr, tp / (tp + fp)
   lag(tp / (tp + fp), 1, 1.0) OVER w AS prec0 FROM cv WINDOW w AS (PARTITION BY model ORDER BY threshold DESC))"""
 
 
-@query("d17_curve_points", with_(SC, CV) + "SELECT model, threshold, tp, fp, d_tp, d_fp, n_pos, n_neg, round(tp / n_pos, 6) AS tpr, round(fp / n_neg, 6) AS fpr, round(tp / (tp + fp), 6) AS prec, round(tp / n_pos, 6) AS rec FROM cv")
+@query("d17_curve_points", with_(SC, CV) + "SELECT model, threshold, tp, fp, d_tp, d_fp, n_pos, n_neg, round(tp / n_pos, 6) AS tpr, round(fp / n_neg, 6) AS fpr, round(tp / (tp + fp), 6) AS prec, round(tp / n_pos, 6) AS rec FROM cv "
+       "UNION ALL SELECT model, NULL, 0, 0, 0, 0, count(*) FILTER (y = 1), count(*) FILTER (y = 0), 0.0, 0.0, 1.0, 0.0 FROM sc GROUP BY model")
 def _(spark, sf):
-    return curves.curve_points(scores(spark, sf))
+    return curves.curve_points(scores(spark, sf), ends=True)
 
 
 @query("d18_roc_auc", with_(SC, CV, PTS) + "SELECT model, round(sum((fpr - fpr0) * (rec + rec0) / 2), 6) AS roc_auc FROM pts GROUP BY model")

@@ -286,7 +286,16 @@ def _(spark, sf):
 
 @query("train_and_score")
 def _(spark, sf):
-    """The whole chain: fused table, features, windows, split, PCA, calibration, comparison."""
+    """The whole chain: fused table, features, windows, split, three models, calibration, comparison."""
     from faultlens.bindings.base import fused
     from faultlens.plans.pipeline import train_and_score
-    return train_and_score(fused(spark, sf), k=8)["comparison"]
+    return train_and_score(fused(spark, sf), k=8, step=HOUR)["comparison"]
+
+
+@query("train_and_score_honest")
+def _(spark, sf):
+    """The same with the first 20 days as training rows: nothing fitted or chosen sees a test row."""
+    from faultlens.bindings.base import fused
+    from faultlens.plans.pipeline import train_and_score
+    train = F.col("ts") < F.lit("2024-01-21").cast("timestamp")
+    return train_and_score(fused(spark, sf), k=8, train=train, step=HOUR)["comparison"]

@@ -79,9 +79,12 @@ def healthy_percentiles(scores: DataFrame, percents: list[float], keys: list[str
 
 
 def curve_points(scores: DataFrame, keys: list[str] = MODEL, cuts: list[float] | None = None,
-                 y: str = "y", col: str = "score") -> DataFrame:
+                 y: str = "y", col: str = "score", ends: bool = False) -> DataFrame:
     """One point per distinct score: everything at or above it is called anomalous.
 
+    ``ends`` adds the point at which nothing is: threshold NULL, the start (0, 0) of the ROC curve and the end of the PR curve with
+    recall 0 and precision 1. A summary of a curve counts areas from point to point and needs it only for drawing.
+
     Columns: threshold, tp, fp, d_tp/d_fp (the step this point adds), n_pos, n_neg, tpr, fpr, prec, rec.
     NULL scores count as 0.
     """
@@ -103,9 +106,15 @@ def curve_points(scores: DataFrame, keys: list[str] = MODEL, cuts: list[float] |
     def share(a: str, b: str) -> Column:
         return F.when(F.col(b) == 0, F.lit(0.0)).otherwise(F.col(a) / F.col(b))
 
+    if ends:
+        # The totals are the same in all rows of a key; one row of each gives its end point.
+        last = counts.groupBy(*keys).agg(F.sum("d_tp").alias("n_pos"), F.sum("d_fp").alias("n_neg")).select(
+            *keys, F.lit(None).cast(out.schema[col].dataType).alias(col), *[zero.alias(c) for c in ("tp", "fp", "d_tp", "d_fp")], "n_pos", "n_neg")
+        out = out.select(*last.columns).unionByName(last)
     return out.select(*keys, F.col(col).alias("threshold"), "tp", "fp", "d_tp", "d_fp", "n_pos", "n_neg",
                       share("tp", "n_pos").alias("tpr"), share("fp", "n_neg").alias("fpr"),
-                      (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("prec"), share("tp", "n_pos").alias("rec"))
+                      F.when(F.col("tp") + F.col("fp") == 0, F.lit(1.0)).otherwise(F.col("tp") / (F.col("tp") + F.col("fp"))).alias("prec"),
+                      share("tp", "n_pos").alias("rec"))
 
 
 def roc_area() -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from faultlens.functions.numeric import let
@@ -65,8 +65,9 @@ def _placed(df: DataFrame, keys: list[str], order: list[str], chunk: Column | No
 
 def sliding_windows(df: DataFrame, cols: list[str], size: int = WINDOW_ROWS, keys: list[str] = SERIES,
                     order: list[str] = ["ts"], chunk: Column | None = None, pos: str | None = None,
-                    y: str | None = "ground_truth", fault: str | None = "fault_type", name: str = "win") -> DataFrame:
-    """Full windows of ``size`` consecutive rows, stride 1.
+                    y: str | None = "ground_truth", fault: str | None = "fault_type", name: str = "win",
+                    also: dict[str, Callable[[WindowSpec], Column]] | None = None) -> DataFrame:
+    """Full windows of ``size`` consecutive rows, stride 1. ``also`` names further columns, as functions of the window's frame.
 
     Gives (keys, win_id = position of the first row, ts of the last row, window ARRAY<ARRAY<DOUBLE>>) and,
     where the label columns are named, the window label (largest) and its earliest fault that is not HEALTHY.
@@ -79,13 +80,14 @@ def sliding_windows(df: DataFrame, cols: list[str], size: int = WINDOW_ROWS, key
         new["y"] = F.max(y).over(w)
     if fault:
         new["_ft"] = F.first(F.when(F.col(fault) != HEALTHY, F.col(fault)), ignorenulls=True).over(w)
+    new |= {n: f(w) for n, f in (also or {}).items()}
     out = out.withColumns(new).where(~F.col("_halo") & (F.col("_pos") >= size - 1))
     keep = [*keys, (F.col("_pos") - (size - 1)).alias("win_id"), *[F.col(o) for o in order], name]
     if y:
         keep.append("y")
     if fault:
         keep.append(F.coalesce("_ft", F.lit(HEALTHY)).alias("fault_type"))
-    return out.select(*keep)
+    return out.select(*keep, *(also or {}))
 
 
 def window_label(df: DataFrame, size: int = WINDOW_ROWS, keys: list[str] = SERIES, order: list[str] = ["ts"],

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from faultlens.operators.evaluate import calibrate, model_comparison, score_stat
 from faultlens.operators.grid import fuse_logs, log_counts
 from faultlens.operators.intervals import label, pair_intervals
 from faultlens.operators.scaling import double_scale
-from faultlens.operators.sequence import sliding_windows
+from faultlens.operators.sequence import sliding_windows, window_label
 from faultlens.plans.models import PcaReconstructor, healthy_only, score_windows, stratified_split
 from faultlens.schemas import FEATURES, STEP_SECONDS
 from faultlens.session import stage
@@ -34,21 +36,53 @@ def fuse(metrics: DataFrame, logs: DataFrame, events: DataFrame, step: int = STE
 
 
 def train_and_score(fused: DataFrame, k: int = 16, share: float = 0.3, keys: list[str] = ["series_id"],
-                    chunk: Column | None = None, layout: str = "contiguous", path: str | None = None) -> dict:
-    """Features, windows, split, fit on healthy training windows, scores, thresholds, comparison.
+                    chunk: Column | None = None, layout: str = "contiguous", path: str | None = None, train: Column | None = None,
+                    kinds: tuple[str, ...] = ("pca", "mean", "persistence"), step: int | None = None) -> dict:
+    """Features, windows, split, fit on healthy training windows, scores of several models, thresholds, comparison.
 
-    Features and scores are written to the shared folder once, because the fit, the calibration and the
-    reports each read them again.
+    By default windows are split at random by class, scalers see all healthy rows and thresholds are chosen on the test part, as
+    in the procedure that this follows. ``train``, a condition on the rows, splits honestly: scalers see its rows alone, a window is
+    training if all its rows are, test if none is, and takes no part otherwise; thresholds are chosen on training windows.
+
+    The split is made on keys and labels. Its mark goes to the rows before windows are built, so that no window of all inputs
+    is shuffled. Features and scores are written once, as the fit, the calibration and the reports each read them again.
     """
-    features, level, combined = double_scale(stage(fused), FEATURES, keys, chunk=chunk)
+    fused = stage(fused if train is None else fused.withColumn("_train", train.cast("int")))
+    healthy = F.col("ground_truth") == 0
+    features, level, combined = double_scale(fused, FEATURES, keys, chunk=chunk, step=step,
+                                             healthy=healthy if train is None else healthy & (F.col("_train") == 1))
     inputs = feature_names(FEATURES)
-    windows = sliding_windows(features, inputs, keys=keys, chunk=chunk)
-    windows = stage(stratified_split(windows, share, [*keys, "win_id"]))
-    model = PcaReconstructor.fit(healthy_only(windows.where("part = 'train'")), k, path=path)
-    scored = score_windows(model.reconstruct(windows), width=len(inputs), layout=layout)
-    scores = stage(scored.select(*keys, "win_id", "ts", "y", "fault_type", "part", F.lit("pca").alias("model"), "score"))
-    train = scores.where("part = 'train' AND y = 0")
-    test = scores.where("part = 'test'")
-    thresholds = stage(calibrate(train, test))
-    return {"scores": scores, "thresholds": thresholds, "stats": score_stats(train, thresholds),
+    if train is None:
+        labels = stratified_split(window_label(fused, keys=keys, chunk=chunk), share, [*keys, "win_id"]).select(*keys, "ts", "part")
+        marked = features.join(stage(labels), [*keys, "ts"], "left")
+        part = lambda w: F.last("part").over(w)
+    else:
+        marked = features
+        part = lambda w: F.when(F.min("_train").over(w) == 1, "train").when(F.max("_train").over(w) == 0, "test")
+    windows = stage(sliding_windows(marked, inputs, keys=keys, chunk=chunk, also={"part": part}).where("part IS NOT NULL"))
+    fit_on = healthy_only(windows.where("part = 'train'"))
+    scores = None
+    for kind in kinds:
+        scored = score_windows(reconstructed(windows, fit_on, kind, k, path), width=len(inputs), layout=layout)
+        scored = scored.select(*keys, "win_id", "ts", "y", "fault_type", "part", F.lit(kind).alias("model"), "score")
+        scores = scored if scores is None else scores.unionByName(scored)
+    scores = stage(scores)
+    healthy_train, test = scores.where("part = 'train' AND y = 0"), scores.where("part = 'test'")
+    thresholds = stage(calibrate(healthy_train, test if train is None else scores.where("part = 'train'")))
+    return {"scores": scores, "thresholds": thresholds, "stats": score_stats(healthy_train, thresholds),
             "comparison": model_comparison(test, thresholds), "level_scaler": level, "combined_scaler": combined}
+
+
+def reconstructed(windows: DataFrame, fit_on: DataFrame, kind: str, k: int, path: str | None = None) -> DataFrame:
+    """The windows with ``recon`` by a model: PCA, the mean row of the windows fitted on, or each row's predecessor in its window."""
+    if kind == "pca":
+        return PcaReconstructor.fit(fit_on, k, path=path).reconstruct(windows)
+    if kind == "mean":
+        row = fit_on.select(F.explode("win").alias("r")).agg(Summarizer.mean(array_to_vector("r")).alias("m")).first()["m"]
+        if row is None:
+            raise ValueError("no healthy training window to take a mean of")
+        mean = F.array(*[F.lit(float(v)) for v in row])
+        return windows.withColumn("recon", F.array_repeat(mean, F.size("win")))
+    if kind == "persistence":
+        return windows.withColumn("recon", F.transform("win", lambda _, i: F.get(F.col("win"), F.greatest(i - 1, F.lit(0)))))
+    raise ValueError(f"unknown kind {kind!r}: pca, mean, persistence")

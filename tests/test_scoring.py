@@ -10,8 +10,9 @@ from faultlens.operators import scaling
 from faultlens.operators import scoring as s
 from faultlens.operators.clean import align_schema, feature_names, node_of, order_features
 from faultlens.operators.grid import fuse_logs, log_counts, master_grid
-from faultlens.plans import models
+from faultlens.plans import models, pipeline
 from faultlens.schemas import FEATURES, HARVEST_FEATURES
+from faultlens.session import stage
 from tests.helpers import at, frame, plan, rows
 
 INPUTS = feature_names(FEATURES)
@@ -203,3 +204,32 @@ def test_split_keeps_class_shares_and_repeats(spark):
     assert {(r.y, r.part): r["count"] for r in a.groupBy("y", "part").count().collect()} == {
         (0, "test"): 270, (0, "train"): 630, (1, "test"): 30, (1, "train"): 70}
     assert a.exceptAll(b).count() == 0
+
+
+def chain_rows(spark, spoiled=0.0):
+    rng = np.random.default_rng(2)
+    data = [(sid, at("10:00:00") + pd.Timedelta(seconds=10 * i), *map(float, rng.gamma(2, 1, len(FEATURES)) + (spoiled if i >= 60 else 0.0)),
+             int(i % 30 > 26), "F1" if i % 30 > 26 else "HEALTHY") for sid in (1, 2) for i in range(90)]
+    return frame(spark, data, "series_id int, ts timestamp, " + ", ".join(f"{c} double" for c in FEATURES) + ", ground_truth int, fault_type string")
+
+
+def test_chain_shuffles_no_windows_and_compares_models(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(pipeline, "stage", lambda df, *a: plans.append(plan(df)) or stage(df, *a))
+    out = pipeline.train_and_score(chain_rows(spark), k=3)
+    assert {r.model for r in out["comparison"].collect()} == {"pca", "mean", "persistence"}
+    counts = {(r.model, r.part): r["count"] for r in out["scores"].groupBy("model", "part").count().collect()}
+    assert all(counts[m, "test"] + counts[m, "train"] == 162 for m in ("pca", "mean", "persistence"))
+    built = [p for p in plans if "collect_list" in p]
+    assert built and all("Exchange" not in p[:p.index("collect_list")] for p in built)
+
+
+def test_honest_chain_sees_training_rows_only(spark):
+    train = F.col("ts") < F.lit(at("10:10:00").to_pydatetime())
+    one, two = (pipeline.train_and_score(chain_rows(spark, spoiled), k=3, train=train) for spoiled in (0.0, 50.0))
+    for scaler in ("level_scaler", "combined_scaler"):
+        assert all(np.allclose(one[scaler][c], two[scaler][c]) for c in one[scaler])
+    assert np.allclose(rows(one["thresholds"], "model").threshold, rows(two["thresholds"], "model").threshold)
+    parts = rows(one["scores"].where("model = 'mean'"), "series_id", "win_id")
+    # Windows that mix training and test rows take no part.
+    assert list(parts.win_id[(parts.series_id == 1)]) == [*range(51), *range(60, 81)]
