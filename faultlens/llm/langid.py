@@ -10,14 +10,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultlens.llm.common import map_pandas
+from faultlens.session import attach, stage
 
 ORDER = 3
-#: Bound of the training sample: documents per language (smallest hash first) and bytes of each (longer ones are not taken).
-SAMPLE_DOCS, SAMPLE_BYTES = 400, 20_000
+#: Bound of the training sample: documents per language and bytes of each, taken from a longer text as pieces by their hash.
+SAMPLE_DOCS, SAMPLE_BYTES, PIECE = 400, 20_000, 500
 _BLOCK = 1 << 20
 _START = b"\n" * ORDER
 
@@ -26,26 +28,41 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def learned_parts(data: bytes, limit: int = SAMPLE_BYTES, piece: int = PIECE) -> list[bytes]:
+    """Parts of a text that training reads, each behind the ``ORDER`` bytes that precede it.
+
+    A text of up to ``limit`` bytes is one part. A longer one is cut into pieces, and those of the smallest hash of
+    their bytes and place are taken, ``limit`` bytes in all: a choice by content, spread over the whole text.
+    """
+    padded = _START + data
+    if len(data) <= limit:
+        return [padded]
+    starts = sorted(range(0, len(data), piece), key=lambda at: (xxhash.xxh64_intdigest(data[at:at + piece], at), at))
+    return [padded[at:at + piece + ORDER] for at in sorted(starts[:limit // piece])]
+
+
 def count_contexts(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS) -> DataFrame:
     """``(lang, context, n)``: counts of byte strings of one to four bytes, in a bounded sample of labelled rows.
 
     Distinct texts of a language are taken by a hash of the text below the share that gives ``docs_per_lang``, so the
-    choice does not depend on the layout and a group of copies counts once. Texts over SAMPLE_BYTES bytes and empty ones
-    are not taken.
+    choice does not depend on the layout and a group of copies counts once. Texts of every length can be chosen;
+    ``learned_parts`` bounds what one of them gives. Empty texts are not taken. Only the cut of each language and the
+    chosen texts move: the cuts are one row per language and meet the texts in the task that reads them.
     """
-    fit = docs.where("lang is not null and text is not null").where(F.octet_length("text").between(1, SAMPLE_BYTES))
+    fit = docs.where("lang is not null and text is not null and text <> ''")
     ranked = fit.select("lang", "text", F.xxhash64("text", F.lit(11)).alias("draw"))
     cuts = ranked.select("lang", "draw").distinct().groupBy("lang").agg(F.count("*").alias("n"))
     span = (F.lit(docs_per_lang).cast("double") / F.col("n")) * 2.0 ** 64
-    near = ranked.join(cuts, "lang").where(F.col("draw").cast("double") <= -(2.0 ** 63) + span).dropDuplicates(["lang", "draw"])
+    near = attach(ranked, cuts, ["lang"], "inner").where(F.col("draw").cast("double") <= -(2.0 ** 63) + span)
+    chosen = stage(near.select("lang", "draw", "text").dropDuplicates(["lang", "draw"]), "learned")
 
     def make():
         def step(batch: pd.DataFrame) -> pd.DataFrame:
             out = []
             for lang, group in batch.groupby("lang", sort=False):
                 seen: dict[int, int] = {}
-                for text in group["text"]:
-                    data = np.frombuffer(_START + text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
+                for part in (p for text in group["text"] for p in learned_parts(text.encode("utf-8", "surrogatepass"))):
+                    data = np.frombuffer(part, np.uint8).astype(np.int64)
                     code = np.zeros(len(data) - ORDER, np.int64)
                     for size in range(1, ORDER + 2):
                         code = code + (data[ORDER + 1 - size:len(data) + 1 - size] << 8 * (size - 1))
@@ -54,7 +71,7 @@ def count_contexts(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS) -> DataFra
                 out.append(pd.DataFrame({"lang": lang, "context": list(seen), "n": list(seen.values())}))
             return pd.concat(out)
         return step
-    parts = map_pandas(near.select("lang", "text"), make, "lang string, context long, n long")
+    parts = map_pandas(chosen.select("lang", "text"), make, "lang string, context long, n long")
     return parts.groupBy("lang", "context").agg(F.sum("n").alias("n"))
 
 
@@ -145,7 +162,7 @@ def identify(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS) -> DataFrame:
     """Learns from the labelled documents that are not held out and predicts every whole text.
 
     The counts come to the driver: their number is bounded by the sample, SAMPLE_DOCS texts of SAMPLE_BYTES per
-    language. Repeated rows are predicted alike; extra columns are ignored; an empty table gives an empty result.
+    language; the tables of the model grow with the number of labels. Repeated rows are predicted alike; extra columns are ignored; an empty table gives an empty result.
     """
     counts = count_contexts(docs.where(~held_out(F.col("doc_id"))), docs_per_lang).toPandas()
     return predict(docs, counts)
