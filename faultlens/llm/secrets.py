@@ -2,7 +2,8 @@
 
 Candidates of three kinds are found with their places: the text between the matches of a pattern and the matches
 themselves, added up. Hashes of the candidate values are then counted by distinct sources (owners) and documents
-(repositories). A value of few owners gets a further span of kind ``live``, one that many share a span of kind ``shared``.
+(repositories). A value that many owners or many repositories share gets a further span of kind ``shared``, any other
+one of kind ``live``, or ``placeholder`` if it looks made up.
 """
 
 from __future__ import annotations
@@ -18,8 +19,12 @@ KINDS = {
     "access": (r"(AKIA[A-Z0-9]+)", 1, 16),
     "hex": (r"([0-9a-f]{32,})", 1, 32),
 }
-#: Values of at least this many owners count as copied examples.
-SHARED_OWNERS = 3
+#: Values of at least this many owners, or repositories of any owners, count as copied examples.
+SHARED_OWNERS, SHARED_REPOSITORIES = 3, 50
+#: A value of less entropy than this per character, over its own characters, counts as made up.
+LEAST_ENTROPY = 2.5
+# Words that made-up values hold.
+PLACEHOLDER_WORDS = ["changeme", "default", "dummy", "example", "password", "placeholder", "redacted", "sample", "secret", "test", "your", "xxxx", "123456"]
 
 
 def _spans(text: Column, kind: str) -> Column:
@@ -39,6 +44,20 @@ def _spans(text: Column, kind: str) -> Column:
         F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>"))
 
 
+def looks_live(value: Column) -> Column:
+    """Whether a value could be a credential: letters and digits, no word of examples, and entropy enough.
+
+    Letters alone are words or names, digits alone numbers; keys are drawn from both. The entropy is that of the
+    characters of the value itself.
+    """
+    lower = F.lower(value)
+    size = F.length(value).cast("double")
+    share = lambda c: (size - F.length(F.replace(value, c, F.lit("")))) / size
+    entropy = F.aggregate(F.array_distinct(F.split(value, "")), F.lit(0.0),
+                          lambda s, c: s - F.when(F.length(c) > 0, share(c) * F.log2(share(c))).otherwise(0.0))
+    return value.rlike("[A-Za-z]") & value.rlike("[0-9]") & ~lower.rlike("|".join(PLACEHOLDER_WORDS)) & (entropy >= LEAST_ENTROPY)
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """``(row, doc_id, owner, found)``: base spans of each whole text by start, then kind as listed; null texts have none.
 
@@ -50,6 +69,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ranked = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("nth"),
                                                                  s["end"].alias("end"), s["kind"].alias("kind"),
                                                                  F.sha2(s["value"], 256).alias("value"),
+                                                                 looks_live(s["value"]).alias("credible"),
                                                                  F.length(s["value"]).alias("size"))))
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
                        F.col(owner_col).alias("owner"), ranked.alias("found"))
@@ -67,9 +87,13 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.join(repositories, "value")
 
 
-def scan(docs: DataFrame, shared_owners: int = SHARED_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, shared_owners: int = SHARED_OWNERS, shared_repositories: int = SHARED_REPOSITORIES) -> DataFrame:
     """``(doc_id, found, judged)`` per row of ``docs``; judged adds ``owners``, ``repositories`` and the verdict to each span.
 
+    A ``shared`` value has ``shared_owners`` owners or ``shared_repositories`` repositories: what one owner pasted into
+    very many documents is an example as well. Of the others, those that look like a credential are ``live``, the rest
+    is ``placeholder``.
+
     Empty texts, null texts and texts without candidates give empty arrays; repeated rows stay apart; extra columns are
     ignored; an empty table gives an empty result.
     """
@@ -78,7 +102,8 @@ def scan(docs: DataFrame, shared_owners: int = SHARED_OWNERS) -> DataFrame:
     counts = stage(ownership(some), "ownership")
     each = some.select("row", F.explode("found").alias("s")).withColumn("value", F.col("s.value"))
     judged = each.join(counts, "value").withColumn(
-        "verdict", F.when(F.col("owners") >= shared_owners, "shared").otherwise("live")).groupBy("row").agg(
+        "verdict", F.when((F.col("owners") >= shared_owners) | (F.col("repositories") >= shared_repositories), "shared")
+        .when(F.col("s.credible"), "live").otherwise("placeholder")).groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("s.start", "s.nth", "s.end", "s.kind", "s.size", "owners", "repositories", "verdict"))).alias("judged"))
     kind = judged.schema["judged"].dataType.simpleString()
     return found.join(judged, "row", "left").select("doc_id", "found", F.coalesce("judged", F.array().cast(kind)).alias("judged"))
