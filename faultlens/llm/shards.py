@@ -50,20 +50,51 @@ def place(cells: pd.DataFrame, shards: int, virtual_nodes: int, slack: float) ->
     return pd.DataFrame(out, columns=["cell", "shard", "first_slot"])
 
 
+def movement(cells: pd.DataFrame, shards: int = SHARDS, virtual_nodes: int = VIRTUAL_NODES, slack: float = SLACK) -> dict[str, float]:
+    """Shares of all bytes that one more shard moves: into it (``joined``) and between shards that were there (``between``)."""
+    before = place(cells, shards, virtual_nodes, slack).merge(cells, on="cell")
+    both = before.merge(place(cells, shards + 1, virtual_nodes, slack), on="cell", suffixes=("", "_grown"))
+    total, moved = both["size"].sum(), both[both["shard"] != both["shard_grown"]]
+    joined = moved["shard_grown"] == shards
+    return {"joined": moved["size"][joined].sum() / total, "between": moved["size"][~joined].sum() / total}
+
+
+def copy_numbers(rows: DataFrame) -> DataFrame:
+    """Adds ``copy``: equal rows, which share ``key``, are numbered from 0 within it; other rows get 0.
+
+    Only rows of repeated keys are numbered. Each part of the table numbers its own, and the counts of the parts before,
+    one row per key and part, are added, so that no task holds all copies of a key.
+    """
+    again = stage(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
+    some = rows.join(again, "key")
+    mine = Window.partitionBy("key", "part").orderBy("doc_id")
+    counts = some.groupBy("key", "part").agg(F.count("*").alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    first = counts.select("key", "part", F.coalesce(ahead, F.lit(0)).alias("first"))
+    numbered = (some.withColumn("nth", F.row_number().over(mine) - 1).join(first, ["key", "part"])
+                .withColumn("copy", F.col("first") + F.col("nth")).drop("nth", "first"))
+    return rows.join(again, "key", "left_anti").withColumn("copy", F.lit(0).cast("long")).unionByName(numbered)
+
+
+def cell_table(docs: DataFrame) -> tuple[DataFrame, pd.DataFrame]:
+    """Rows ``(doc_id, size, text_crc32, key, copy, cell)`` and the table ``(cell, size, rows)`` of the ring."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = stage(docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+                             F.xxhash64("doc_id", text).alias("key"), F.spark_partition_id().alias("part")), "sized")
+    out = stage(copy_numbers(rows).drop("part").withColumn("cell", F.pmod(F.xxhash64("key", "copy"), F.lit(CELLS)).cast("int")), "cells")
+    return out, out.groupBy("cell").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).toPandas()
+
+
 def assign(docs: DataFrame, shards: int = SHARDS, virtual_nodes: int = VIRTUAL_NODES, slack: float = SLACK) -> DataFrame:
     """``(doc_id, size, text_crc32, shard, slot)``: every row in one shard, sizes near equal, slots gapless from 0.
 
     Size is the UTF-8 bytes of the text (null: none) plus 8, the checksum of a null text that of an empty one. The key is
-    id and text: rows that repeat an id with other texts spread, equal rows share a cell and get slots of their own.
-    Loads are even as far as single cells allow. Extra columns are ignored; an empty table gives an empty result.
+    id, text and number of the copy: rows that repeat an id with other texts spread over the ring, and so do equal rows.
+    Loads are even as far as single cells allow, which a text longer than a shard's mean ends. Reruns agree up to the
+    order of equal rows. Extra columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = stage(docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"),
-                             F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64("doc_id", text).alias("key"))
-                 .withColumn("cell", F.pmod("key", F.lit(CELLS)).cast("int")), "sized")
-    cells = rows.groupBy("cell").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).toPandas()
-    placed = spark.createDataFrame(place(cells, shards, virtual_nodes, slack), "cell int, shard int, first_slot long")
-    inside = F.row_number().over(Window.partitionBy("cell").orderBy("key", "doc_id", "text_crc32")) - 1
+    rows, cells = cell_table(docs)
+    placed = docs.sparkSession.createDataFrame(place(cells, shards, virtual_nodes, slack), "cell int, shard int, first_slot long")
+    inside = F.row_number().over(Window.partitionBy("cell").orderBy("key", "copy")) - 1
     return rows.withColumn("inside", inside).join(F.broadcast(placed), "cell").select(
         "doc_id", "size", "text_crc32", "shard", (F.col("first_slot") + F.col("inside")).alias("slot"))
