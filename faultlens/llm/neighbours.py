@@ -25,6 +25,8 @@ LEVEL = 0.99
 BLOCK = 8_192
 QUERY_BLOCK = 2_048
 LEAF = 128
+#: Scaled products below this are not told apart by the search; their exact scores decide.
+TINY = 1e-300
 
 
 def chi_square_bound(level: float, dims: int) -> float:
@@ -53,45 +55,84 @@ def kd_leaves(points: np.ndarray, size: int) -> list[np.ndarray]:
     return leaves
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores), axis=1)[:, :k]
-    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+def least_ids(rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct vectors, and for each the ids that can be among k results: k + 1 smallest ids, each at most k times.
 
+    Equal vectors have equal scores, so of a group of them only the smallest ids can enter; one more replaces a query's own.
+    """
+    distinct, group = np.unique(rows, axis=0, return_inverse=True)
+    order = np.lexsort((ids, group.ravel()))
+    out = []
+    for part in np.split(ids[order], np.cumsum(np.bincount(group.ravel(), minlength=len(distinct)))[:-1]):
+        names, n = np.unique(part, return_counts=True)
+        out.append(np.repeat(names[:k + 1], np.minimum(n[:k + 1], k)))
+    return distinct, out
+
+
+def exact_score(row: np.ndarray, query: np.ndarray) -> float:
+    """The inner product in doubles, added component by component: one value for equal vectors wherever they are met.
+
+    A sum that is undefined because infinite products of both signs meet counts as minus infinity.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        total = float(np.add.accumulate(row * query)[-1])
+    return -math.inf if math.isnan(total) else total
 
-def search_block(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, longest: float, k: int,
-                 level: float = LEVEL, dims: int = DIMS, leaf: int = LEAF, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and ids of the k best rows found for each query; places without a row have score -inf."""
+
+def search_block(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, longest: float, k: int, level: float = LEVEL,
+                 dims: int = DIMS, leaf: int = LEAF, seed: int = 7, scale: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query number, id, score)`` of the k best rows found for each query, ties to the smaller id.
+
+    ``longest`` is the largest squared length of all rows over ``scale``. The search itself multiplies matrices of
+    scaled distinct vectors; it keeps what comes within the error of such a product of the k-th place, and the scores
+    of these decide.
+    """
+    distinct, members = least_ids(rows, ids, k)
+    near, probes = distinct / scale, queries / scale
     axes = np.random.default_rng(seed).standard_normal((rows.shape[1] + 1, dims))
-    rest = np.sqrt(np.maximum(0.0, longest - (rows ** 2).sum(1)))
-    points, probes = rows @ axes[:-1] + rest[:, None] * axes[-1], queries @ axes[:-1]
-    own, bound = (queries ** 2).sum(1) + longest, chi_square_bound(level, dims)
+    rest = np.sqrt(np.maximum(0.0, longest - (near ** 2).sum(1)))
+    points, targets = near @ axes[:-1] + rest[:, None] * axes[-1], probes @ axes[:-1]
+    own, bound = (probes ** 2).sum(1) + longest, chi_square_bound(level, dims)
+    error = 4 * (rows.shape[1] + 2) * np.finfo(float).eps * np.sqrt((probes ** 2).sum(1) * longest) + TINY
     leaves = kd_leaves(points, leaf)
-    gap = np.stack([((np.maximum(0, points[r].min(0) - probes) + np.maximum(0, probes - points[r].max(0))) ** 2).sum(1)
+    gap = np.stack([((np.maximum(0, points[r].min(0) - targets) + np.maximum(0, targets - points[r].max(0))) ** 2).sum(1)
                     for r in leaves], 1)
     turn = np.argsort(gap, 1, kind="stable")
-    scores, found = np.full((len(queries), k), -np.inf), np.full((len(queries), k), np.iinfo(np.int64).max)
+    # One more place than results: a group whose only id is the query's own takes none of them.
+    top = np.full((len(queries), k + 1), -np.inf)
+    met: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in queries]
     active = np.arange(len(queries))
     for at in range(len(leaves)):
-        far = np.maximum(0.0, own[active] - 2 * scores[active, -1])
+        far = np.maximum(0.0, own[active] - 2 * top[active, -1])
         active = active[gap[active, turn[active, at]] <= far * bound]
         if not len(active):
             break
         for number in np.unique(turn[active, at]):
             some, inside = active[turn[active, at] == number], leaves[number]
-            value = queries[some] @ rows[inside].T
-            value[query_ids[some][:, None] == ids[inside]] = -np.inf
-            both = np.concatenate((scores[some], value), 1)
-            names = np.concatenate((found[some], np.broadcast_to(ids[inside], value.shape)), 1)
-            scores[some], found[some] = _best(both, names, k)
-    return scores, found
+            value = probes[some] @ near[inside].T
+            top[some] = -np.sort(-np.concatenate((top[some], value), 1), 1)[:, :k + 1]
+            for one, scores in zip(some, value):
+                take = scores >= top[one, -1] - error[one]
+                met[one].append((inside[take], scores[take]))
+    out = []
+    for one, parts in enumerate(met):
+        found = [(-exact_score(distinct[row], queries[one]), name)
+                 for rows_met, scores in parts for row in rows_met[scores >= top[one, -1] - error[one]]
+                 for name in members[row].tolist() if name != query_ids[one]]
+        out += [(one, name, -score) for score, name in sorted(found)[:k]]
+    number, name, score = zip(*out) if out else ((), (), ())
+    return np.array(number, np.int64), np.array(name, np.int64), np.array(score, np.float64)
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``(id, vec array<double>, length2)`` of the vectors without null or non-finite components that are not zero."""
+    """``(id, vec array<double>, largest)`` of the vectors without null or non-finite components that are not zero.
+
+    ``largest`` is the largest absolute component.
+    """
     cast = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    length2 = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
-    return cast.where("id is not null and vec is not null").where(finite).withColumn("length2", length2).where("length2 > 0")
+    largest = F.array_max(F.transform("vec", F.abs))
+    return cast.where("id is not null and vec is not null").where(finite).withColumn("largest", largest).where("largest > 0")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -101,9 +142,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     Rows and queries are dealt into blocks by hash and every block of queries meets every block of rows. A row never
     finds its own id. Null, zero and non-finite vectors take no part; vectors of another length than the query's are
     skipped. Fewer candidates than k give fewer rows, an empty table none. Rows that repeat an id are all candidates.
+    Components may have any finite size: lengths are compared over the largest component of the table, and products
+    beyond the range of doubles count as infinite.
     """
     data, asked = stage(usable(vectors, id_col, vec_col), "vectors"), stage(usable(queries, id_col, vec_col), "queries")
-    longest, n, m = *data.agg(F.max("length2"), F.count("*")).first(), asked.count()
+    scale, n = data.agg(F.max("largest"), F.count("*")).first()
+    asked_scale, m = asked.agg(F.max("largest"), F.count("*")).first()
+    scale = max(scale or 1.0, asked_scale or 1.0)
+    longest = data.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda s, x: s + (x / scale) * (x / scale)))).first()[0]
     row_blocks, query_blocks = max(1, -(-n // block)), max(1, -(-m // query_block))
     deal = F.struct("id", "vec")
 
@@ -119,9 +165,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
             for r, q in zip(batch["r_rows"], batch["q_rows"]):
                 ids, query_ids = (np.array([x["id"] for x in side], np.int64) for side in (r, q))
                 data, asked = (np.array([x["vec"] for x in side], np.float64) for side in (r, q))
-                scores, found = search_block(data, ids, asked, query_ids, longest, k, level)
-                real = np.isfinite(scores)
-                out.append(pd.DataFrame({"query_id": np.repeat(query_ids, real.sum(1)), "vec_id": found[real], "score": scores[real]}))
+                number, found, score = search_block(data, ids, asked, query_ids, longest, k, level, scale=scale)
+                out.append(pd.DataFrame({"query_id": query_ids[number], "vec_id": found, "score": score}))
             return pd.concat(out)
         return step
     found = map_pandas(grid, make, "query_id long, vec_id long, score double")
