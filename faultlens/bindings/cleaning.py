@@ -107,7 +107,7 @@ def _(spark, sf):
 
 
 _NAMES = """names AS (SELECT series_id, node AS own, event_id AS seq, CASE event_id % 4 WHEN 0 THEN node || '-Exporter-' || user_id
-  WHEN 1 THEN 'Svc_' || upper(node) || '_' || user_id WHEN 2 THEN 'loki-' || node ELSE 'x' || event_type END AS name FROM ev WHERE event_type = 'error')"""
+  WHEN 1 THEN 'Svc_' || upper(node) || '_' || user_id WHEN 2 THEN 'loki-' || node ELSE 'x' || event_type END AS name FROM ev)"""
 
 
 @query("b13_match_source", with_(EV, _NAMES, """hit AS (SELECT names.series_id, n.node, arg_min(name, seq) AS source FROM names, (SELECT unnest(['app', 'db', 'redis']) AS node) n
@@ -119,7 +119,7 @@ def _(spark, sf):
     name = (F.when(k == 0, F.concat("node", F.lit("-Exporter-"), "user_id"))
             .when(k == 1, F.concat(F.lit("Svc_"), F.upper("node"), F.lit("_"), "user_id"))
             .when(k == 2, F.concat(F.lit("loki-"), "node")).otherwise(F.concat(F.lit("x"), "event_type")))
-    names = e.where("event_type = 'error'").select("series_id", F.col("event_id").alias("seq"), name.alias("name"))
+    names = e.select("series_id", F.col("event_id").alias("seq"), name.alias("name"))
     return clean.match_source(names, e.select("series_id", "node").distinct(), keys=["series_id"])
 
 

@@ -69,6 +69,14 @@ def _(spark, sf):
     return ev.calibrate(s.where("y = 0 AND train"), s.where("NOT train"))
 
 
+@query("d15_calibrate_sketched")
+def _(spark, sf):
+    s = scores(spark, sf)
+    parts = s.where("y = 0 AND train").withColumn("run", F.pmod(F.col("l_orderkey"), F.lit(30)))
+    daily = curves.score_sketches(parts, ["model", "run"])
+    return ev.calibrate_sketched(daily, s.where("NOT train"))
+
+
 @query("d16_score_stats", with_(SC, TH) + """SELECT model, round(threshold, 6) AS threshold, round(avg(score), 6) AS mean_val, round(quantile_cont(score, 0.95::DOUBLE), 6) AS p95, round(quantile_cont(score, 0.99::DOUBLE), 6) AS p99
 FROM sc JOIN th USING (model) WHERE y = 0 AND train GROUP BY model, threshold""")
 def _(spark, sf):

@@ -116,20 +116,29 @@ def match_source(names: DataFrame, nodes: DataFrame, name: str = "name", order:
                  keys: list[str] | None = None, exclude: list[str] = HELPER_SOURCES) -> DataFrame:
     """For each node row, the first name (by order) that contains the node; the node itself if none does.
 
-    Nodes come from a short list: the node rows are looked up against an aggregate with one row per node.
+    Names are cut into parts once and meet the nodes by an equi-join on the part, so that no name is paired with a
+    node it does not hold. Null names match nothing.
     """
     keys = keys or []
-    lower = F.lower(F.col(name))
-    usable = names.where(~lower.rlike("|".join(exclude)))
-    found = (attach_nodes(usable, nodes).where(F.contains(lower, F.col("node")))
-             .groupBy(*keys, "node").agg(F.min_by(name, order).alias("source")))
+    parts = name_parts(names.where(~F.lower(F.col(name)).rlike("|".join(exclude))), nodes, name)
+    listed = nodes.select("node").distinct()
+    found = parts.join(listed, "node").groupBy(*keys, "node").agg(F.min_by(name, order).alias("source"))
     return nodes.join(found, [*keys, "node"], "left").withColumn("source", F.coalesce("source", "node"))
 
 
-def attach_nodes(df: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row per (row, distinct node name). The node names are a short fixed list."""
-    listed = nodes.select("node").distinct().agg(F.sort_array(F.collect_set("node")))
-    return df.withColumn("node", F.explode(listed.scalar()))
+def name_parts(names: DataFrame, nodes: DataFrame, name: str = "name") -> DataFrame:
+    """One row per name and distinct part ``node`` of its lower-case text, of the lengths that node names have.
+
+    The lengths are one short list however many nodes there are, and a name has fewer parts than characters per length.
+    """
+    sizes = nodes.select(F.length("node").alias("size")).distinct().agg(F.sort_array(F.collect_set("size"))).scalar()
+    text = F.lower(F.col(name))
+
+    def of_size(size):
+        return F.when(size > F.length(text), F.array().cast("array<string>")).otherwise(
+            F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda at: F.substring(text, at, size)))
+    out = names.withColumn("_sizes", sizes)
+    return out.withColumn("node", F.explode(F.array_distinct(F.flatten(F.transform("_sizes", of_size))))).drop("_sizes")
 
 
 def relabel(df: DataFrame, name: str = "name", target: str | None = None) -> DataFrame:

@@ -38,6 +38,10 @@ def value_counts(df: DataFrame, keys: list[str], col: str, **sums: Column) -> Da
             .agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()]))
 
 
+#: Size of the quantile sketches; at 800 the rank of a percentile is wrong by less than half a percent.
+SKETCH_K = 800
+
+
 def exact_percentiles(df: DataFrame, keys: list[str], col: str, percents: list[float],
                       name: str = "values", cuts: list[float] | None = None) -> DataFrame:
     """ARRAY of linearly interpolated percentiles per key."""
@@ -78,6 +82,22 @@ def healthy_percentiles(scores: DataFrame, percents: list[float], keys: list[str
             .withColumn("percentile", F.element_at(F.array(*[F.lit(float(p)) for p in percents]), F.col("rank") + 1)))
 
 
+def score_sketches(scores: DataFrame, keys: list[str] = MODEL, k: int = SKETCH_K) -> DataFrame:
+    """``(keys, sketch)``: one KLL sketch of the scores per key, made by partial aggregation; NaN counts as 0, NULL not at all.
+
+    Sketches of days or runs (named among ``keys``) can be stored and merged later; their rows are not read again.
+    """
+    rows = scores.where("score IS NOT NULL").withColumn("score", F.nanvl("score", F.lit(0.0)))
+    return rows.groupBy(*keys).agg(F.kll_sketch_agg_double("score", F.lit(k)).alias("sketch"))
+
+
+def sketched_percentiles(sketches: DataFrame, percents: list[float], keys: list[str] = MODEL, k: int = SKETCH_K) -> DataFrame:
+    """``(keys, values)`` like ``exact_percentiles``, of all sketches of a key merged. Values are scores that occurred."""
+    merged = sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+    values = F.array(*[F.kll_sketch_get_quantile_double("sketch", F.lit(float(p) / 100)) for p in percents])
+    return merged.select(*keys, values.alias("values"))
+
+
 def curve_points(scores: DataFrame, keys: list[str] = MODEL, cuts: list[float] | None = None,
                  y: str = "y", col: str = "score", ends: bool = False) -> DataFrame:
     """One point per distinct score: everything at or above it is called anomalous.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultlens.functions.numeric import ratio
 from faultlens.operators.clean import known_anomalies
-from faultlens.operators.curves import curve_areas, exact_percentiles
+from faultlens.operators.curves import curve_areas, exact_percentiles, sketched_percentiles
 from faultlens.operators.ordered import carry_in, inside, time_chunk
 from faultlens.session import attach, stage
 
@@ -83,7 +83,17 @@ def calibrate(train_healthy: DataFrame, test: DataFrame, percents: list[float] =
 
     If no threshold finds anything, threshold and percentile are 0.
     """
-    values = exact_percentiles(train_healthy, keys, "score", percents)
+    return calibrate_at(exact_percentiles(train_healthy, keys, "score", percents), test, percents, keys)
+
+
+def calibrate_sketched(sketches: DataFrame, test: DataFrame, percents: list[float] = CALIBRATION,
+                       keys: list[str] = MODEL) -> DataFrame:
+    """``calibrate`` from stored sketches of healthy-training scores (``curves.score_sketches``), which are not read again."""
+    return calibrate_at(sketched_percentiles(sketches, percents, keys), test, percents, keys)
+
+
+def calibrate_at(values: DataFrame, test: DataFrame, percents: list[float], keys: list[str] = MODEL) -> DataFrame:
+    """The best of given thresholds: ``values`` holds an array per key in the order of ``percents``."""
     best = best_of_sweep(sweep_at(test, values, percents, keys), keys)
     none = F.col("f1") <= 0
     return best.select(*keys, F.when(none, 0.0).otherwise(F.col("percentile")).alias("percentile"),

@@ -126,3 +126,27 @@ def test_histogram_matches_numpy(messy):
         mine = got[got.model == model]
         assert mine.n.sum() == len(part) and len(mine) == 15
         assert np.allclose(mine.left_edge, np.histogram_bin_edges(part.score, 15)[:-1])
+
+
+def test_merged_sketches_are_near_the_exact_percentiles(spark):
+    rng, ps = np.random.default_rng(8), [5, 50, 85, 95, 99]
+    sizes, score = rng.integers(0, 9, 40_000), np.round(rng.gamma(2, 1, 40_000), 2)
+    data = spark.createDataFrame(pd.DataFrame({"model": np.where(sizes < 8, "big", "small"), "day": sizes, "score": score})).repartition(7)
+    daily = curves.score_sketches(data, ["model", "day"])
+    assert daily.count() == 9
+    for r in curves.sketched_percentiles(daily, ps).collect():
+        mine = np.sort(score[(sizes < 8) == (r.model == "big")])
+        for p, value in zip(ps, r["values"]):
+            low, high = np.searchsorted(mine, value, "left") / len(mine), np.searchsorted(mine, value, "right") / len(mine)
+            assert low - 0.01 <= p / 100 <= high + 0.01 and value in mine
+    bad = frame(spark, [("m", 1.0), ("m", float("nan")), ("m", None), ("n", None)], "model string, score double")
+    assert [(r.model, r["values"]) for r in curves.sketched_percentiles(curves.score_sketches(bad), [0, 100]).collect()] == [("m", [0.0, 1.0])]
+    assert curves.sketched_percentiles(curves.score_sketches(bad.limit(0)), [50]).count() == 0
+
+
+def test_calibration_from_sketches_reads_no_training_score(spark, messy):
+    df, _ = messy
+    healthy = df.where("y = 0")
+    sketches = curves.score_sketches(healthy)
+    exact, near = (rows(x, "model") for x in (ev.calibrate(healthy, df), ev.calibrate_sketched(sketches, df)))
+    assert list(near.model) == list(exact.model) and np.allclose(near.f1, exact.f1, atol=0.05)

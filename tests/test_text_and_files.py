@@ -1,3 +1,5 @@
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -144,3 +146,17 @@ def test_source_matching(spark):
     nodes = frame(spark, [("app",), ("db",), ("redis",)], "node string")
     got = rows(clean.match_source(names, nodes), "node")
     assert list(got.source) == ["proj-app-1", "db", "My-Redis"]
+
+
+def test_source_matching_equals_every_pair_without_making_them(spark):
+    draw = random.Random(6)
+    names = [(draw.choice("kl"), "".join(draw.choice("aAbBc-") for _ in range(draw.randint(0, 9))), i) for i in range(120)] + [("k", None, 120), ("l", "exporter-ab", -1)]
+    nodes = [(k, n) for k in "kl" for n in ("a", "ab", "abc", "B", "c-a", "aaaaaaaaaaaaaaaa")]
+    got = clean.match_source(frame(spark, names, "key string, name string, seq int"), frame(spark, nodes, "key string, node string"), keys=["key"])
+    assert "posexplode" not in plan(got) and "CartesianProduct" not in plan(got) and "NestedLoop" not in plan(got)
+    best = {}
+    for key, name, seq in names:
+        for k, node in nodes:
+            if k == key and name and "exporter" not in name.lower() and node in name.lower():
+                best[key, node] = min(best.get((key, node), (seq, name)), (seq, name))
+    assert {(r.key, r.node): r.source for r in got.collect()} == {(k, n): best.get((k, n), (0, n))[1] for k, n in nodes}
