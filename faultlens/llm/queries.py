@@ -32,7 +32,8 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(prepare(spark), table(spark, sf_dir, "pages"))
+    return warc.round_trip(prepare(spark), table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,4 +100,10 @@ ORACLES = {
         select doc_id, count(*) as n_lines, sum(gone::int)::bigint as n_dropped,
                md5(coalesce(string_agg(raw, chr(10) order by nth) filter (where not gone), '')) as text_md5
         from marked group by doc_id""",
+    "op5_warc": f"""
+        with heads as (select page_id, coalesce(html, '') as payload, max(page_id) over (partition by coalesce(html, '')) as head from pages),
+        judged as (select *, coalesce(strlen(payload) >= {warc.DEDUP_BYTES} and page_id is distinct from head, false) as again from heads)
+        select page_id, strlen(payload)::bigint as payload_bytes, sha1(payload) as payload_digest,
+               case when again then 'revisit' else 'response' end as record_type, case when again then head end as refers_to
+        from judged""",
 }
