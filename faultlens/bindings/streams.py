@@ -3,12 +3,13 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultlens.bindings.base import (EV, GRID, HOUR, LABELLED, LOGGED, SC, TH, events, grid, labelled, log_lines, query, scores, table,
-                                     thresholds, with_)
+from faultlens.bindings.base import (EV, FE, GRID, HOUR, IV, LAB, LABELLED, LOGGED, METRICS, SC, TH, WM, events, grid, labelled, log_lines,
+                                     metrics, query, scores, table, thresholds, with_)
 from faultlens.bindings.features import HS, SENTINEL, hourly_scores
 from faultlens.bindings.grids import SAMPLES, samples
 from faultlens.operators import evaluate as ev
 from faultlens.operators.grid import asof_fill, pivot_metrics
+from faultlens.operators.ordered import number_chunk
 from faultlens.operators.sequence import sliding_windows
 from faultlens.plans.bundle import load_or_fit_bundle, score_raw_windows
 from faultlens.sources import files
@@ -70,6 +71,26 @@ def _(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+@query("a7_write_harvest", with_(EV, GRID, FE, IV, LAB, WM) + "SELECT lab.series_id, lab.ts, " +
+       ", ".join(f"round(COALESCE({c}, 0), 6) AS {c}" for c in METRICS) +
+       ", ground_truth FROM lab JOIN wm ON wm.series_id = lab.series_id AND wm.ts = lab.ts WHERE " + " OR ".join(f"{c} IS NOT NULL" for c in METRICS))
+def _(spark, sf):
+    """Harvest table of metrics and labels written as CSV in order of time, then read back."""
+    path = new_folder(spark, "harvest")
+    rows = metrics(spark, sf).join(labelled(spark, sf).select("series_id", "ts", "ground_truth"), ["series_id", "ts"])
+    files.write_harvest_table(rows, path, METRICS)
+    back = files.read_metrics(spark, path, [*METRICS, "ground_truth"], HOUR, extra="series_id bigint")
+    return back.withColumn("ground_truth", F.col("ground_truth").cast("int")).select("series_id", "ts", *METRICS, "ground_truth")
+
+
+@query("a7_write_log_archive", with_(*LOGGED) + """SELECT node, ts, message, CAST(is_error AS INTEGER) AS is_error, CAST(msg_len AS INTEGER) AS msg_len FROM logs""")
+def _(spark, sf):
+    """All log lines written as an archive in sections, then read back by the archive reader."""
+    path = new_folder(spark, "archive")
+    files.write_log_archive(log_lines(spark, sf), path, ["event_id"], number_chunk("event_id", 4096), node="hint", section_rows=5_000)
+    return files.read_log_archive(spark, path).select("node", "ts", "message", "is_error", "msg_len")
+
+
 @query("a8_thresholds_roundtrip", with_(SC, TH) + """SELECT model, round(threshold, 6) AS threshold, round(avg(score), 6) AS mean_val, round(quantile_cont(score, 0.95::DOUBLE), 6) AS p95, round(quantile_cont(score, 0.99::DOUBLE), 6) AS p99
 FROM sc JOIN th USING (model) WHERE y = 0 GROUP BY model, threshold""")
 def _(spark, sf):

@@ -75,6 +75,35 @@ def test_node_logs_do_not_depend_on_encoding_and_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+@pytest.mark.parametrize("encoding", ["utf-16-le", "utf-16-be"])
+def test_characters_that_hold_the_bytes_of_a_line_end(spark, tmp_path, encoding):
+    draw = random.Random(3)
+    chars = ["\u0a15", "\u0100", "\u010a", "\u0a00", "\u000d\u000a", "a", "\u0a0a", "\u1200", "\n", "\u0d0a"]
+    bodies = ["".join(draw.choices(chars, k=draw.randint(0, 700))) for _ in range(12)] + ["", "\n", "\n\n", "\u0a15\u0100\n", "x\n\u0a15", "\u010a"]
+    for nth, body in enumerate(bodies):
+        (tmp_path / f"n{nth:02d}_raw.log").write_bytes("\ufeff".encode(encoding) + body.encode(encoding))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("101", "4096"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = rows(files.read_log_lines(spark, str(tmp_path)), "file", "line_no")
+            for nth, body in enumerate(bodies):
+                expected = body.replace("\r\n", "\n").split("\n")
+                expected = expected[:-1] if expected[-1] == "" and len(expected) > 1 else expected
+                part = got[got.file.str.endswith(f"n{nth:02d}_raw.log")]
+                assert list(part.line) == expected and list(part.line_no) == list(range(len(expected)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_many_log_files_of_mixed_encodings(spark, tmp_path):
+    for nth in range(300):
+        (tmp_path / f"{nth}app_raw.log").write_bytes(f"2026-04-06T10:00:01Z stdout F {nth}\n".encode("utf-16" if nth % 3 == 0 else "utf-8"))
+    got = files.read_node_logs(spark, str(tmp_path))
+    assert "binaryFile" not in plan(got)
+    assert sorted(int(r.message) for r in got.select("message").collect()) == list(range(300))
+
+
 def test_a_utf16_log_is_read_in_splits(spark, tmp_path):
     (tmp_path / "db_raw.log").write_bytes(b"\xff\xfe" + ("2026-04-06T10:00:01Z stdout F ü\n" * 3000).encode("utf-16-le"))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
@@ -100,6 +129,36 @@ def test_archive_sections(spark, tmp_path):
     assert got.message[0] == "MySQL ready"
 
 
+def test_log_archive_round_trip(spark, tmp_path):
+    draw = random.Random(5)
+    given = [(draw.choice(["app", "db", "redis"]), i, f"2026-04-06T{i // 3600:02d}:{i // 60 % 60:02d}:{i % 60:02d}Z " +
+              draw.choice(["ok", "a\nb", "== DB ==", "x \r\n y"]) + f" {i}") for i in range(2000)]
+    given += [("app", 5000, "=== redis 2026-04-06T10:00:00Z none"), ("db", 5001, None), (None, 5002, "2026-04-06T10:00:00Z gone")]
+    lines = frame(spark, given, "node string, n int, line string")
+    files.write_log_archive(lines, str(tmp_path / "a"), ["n"], F.floor(F.col("n") / 100), section_rows=37)
+    parts = sorted(p for p in (tmp_path / "a").iterdir() if p.name.startswith("part") and p.stat().st_size)
+    texts = [p.read_text().splitlines() for p in parts]
+    assert len(parts) > 1 and all(t[0].startswith("=" * 20) for t in texts)
+    seen = [line.split()[1] for t in texts for line in t if line.startswith("=")]
+    assert [n for i, n in enumerate(seen) if i == 0 or seen[i - 1] != n] == ["APP", "DB", "REDIS"]
+    got = rows(files.read_log_archive(spark, str(tmp_path / "a")))
+    clean_text = [(n, " ".join(t.replace("\r", "\n").split("\n")).split(" ", 1)[1]) for n, _, t in given[:2000]]
+    flat = lambda pairs: sorted((n, " ".join(m.split())) for n, m in pairs)
+    assert flat(zip(got.node, got.message)) == flat(clean_text + [("app", "none")])
+
+
+def test_harvest_table_is_written_in_order(spark, tmp_path):
+    rows_in = [(s, at(f"10:{m:02d}:00"), None if m % 3 == 0 else float(m), 1.5 if m % 2 else None, m % 2) for s in (1, 2) for m in range(40)]
+    df = frame(spark, rows_in, "series_id int, ts timestamp, app_cpu double, app_mem double, ground_truth int")
+    files.write_harvest_table(df, str(tmp_path / "h"), ["app_cpu", "app_mem"])
+    parts = sorted(p for p in (tmp_path / "h").iterdir() if p.name.startswith("part"))
+    body = [line for p in parts for line in p.read_text().splitlines()[1:]]
+    assert len(parts) > 1 and body == sorted(body)
+    got = rows(files.read_metrics(spark, str(tmp_path / "h"), ["app_cpu", "app_mem", "ground_truth"], extra="series_id int"), "ts", "series_id")
+    kept = sorted((t, s, c or 0.0, m or 0.0, g) for s, t, c, m, g in rows_in if c is not None or m is not None)
+    assert [(r.ts, r.series_id, r.app_cpu, r.app_mem, int(r.ground_truth)) for r in got.itertuples()] == kept
+
+
 def test_two_vocabularies(spark):
     df = frame(spark, [("a Deadlock",), ("stress test",), ("all fine",)], "t string")
     got = [tuple(r) for r in df.select(text.error_flag(F.col("t")), text.error_flag(F.col("t"), text.HARVEST_WORDS)).collect()]
