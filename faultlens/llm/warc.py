@@ -26,6 +26,8 @@ DATE = "2026-01-01T00:00:00Z"
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 8 << 20
 #: Payloads of at least this many bytes are stored once.
 DEDUP_BYTES = 1000
+#: A bundle with the places of its records: frame, and start and length in the plain frame.
+_BUNDLE = "bundle string, content binary, records array<struct<page_id: long, frame: int, start: int, length: int>>"
 _PARSED = ("page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target string, "
            "payload binary, intact boolean, bundle string, frame int, start int, length int")
 
@@ -97,7 +99,7 @@ def classify(pages: DataFrame) -> DataFrame:
 
 
 def write_bundles(pages: DataFrame, path: str | None = None) -> DataFrame:
-    """Writes ``(bundle, content)`` rows to ``path`` and returns that table.
+    """Writes ``(bundle, content, records)`` rows to ``path`` and returns that table; ``records`` is the index of the bundle.
 
     Null html is an empty payload; a null page_id is written as ``None`` and read back as null. Repeated rows each get a
     record. A payload over the frame size makes a frame of its own. An empty table gives no bundle.
@@ -107,28 +109,34 @@ def write_bundles(pages: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
         part, number = TaskContext.get().partitionId(), 0
-        packer, frames, pending, held, packed = zstandard.ZstdCompressor(level=3), [], [], 0, 0
+        packer, frames, places, pending, held, packed = zstandard.ZstdCompressor(level=3), [], [], [], 0, 0
+
+        def closed() -> pd.DataFrame:
+            return pd.DataFrame({"bundle": [f"{part:06d}-{number:06d}"], "content": [seal(frames)], "records": [places]})
+
         for batch in batches:
             for row in batch.astype(object).where(batch.notna(), None).to_dict("records"):
                 data = record(row)
+                name = None if row["page_id"] is None else int(row["page_id"])
+                places.append({"page_id": name, "frame": len(frames), "start": held, "length": len(data)})
                 pending.append(data)
                 held += len(data)
                 if held >= FRAME_BYTES:
                     frames.append((packer.compress(b"".join(pending)), held))
                     packed, pending, held = packed + len(frames[-1][0]), [], 0
                 if packed >= BUNDLE_BYTES:
-                    yield pd.DataFrame({"bundle": [f"{part:06d}-{number:06d}"], "content": [seal(frames)]})
-                    frames, packed, number = [], 0, number + 1
+                    yield closed()
+                    frames, places, packed, number = [], [], 0, number + 1
         if pending:
             frames.append((packer.compress(b"".join(pending)), held))
         if frames:
-            yield pd.DataFrame({"bundle": [f"{part:06d}-{number:06d}"], "content": [seal(frames)]})
+            yield closed()
 
     path = path or new_folder(spark, "warc")
     rows = classify(pages).select(*[F.col(c).cast("string").alias(c) if c in ("page_id", "refers_to") else c for c in (
         "page_id", "target", "payload", "digest", "size", "record_type", "refers_to")])
-    rows.mapInPandas(run, "bundle string, content binary").write.parquet(path)
-    return spark.read.schema("bundle string, content binary").parquet(path)
+    rows.mapInPandas(run, _BUNDLE).write.parquet(path)
+    return spark.read.schema(_BUNDLE).parquet(path)
 
 
 def _page(urn: str | None) -> int | None:
@@ -163,6 +171,31 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
     return bundles.select("bundle", "content").mapInPandas(run, _PARSED)
 
 
+def stored_index(bundles: DataFrame) -> DataFrame:
+    """``(page_id, bundle, frame, start, length)`` of all records as written with the bundles; no content is read."""
+    return bundles.select("bundle", F.explode("records").alias("r")).select("r.page_id", "bundle", "r.frame", "r.start", "r.length")
+
+
+def resolve(bundles: DataFrame, records: DataFrame) -> DataFrame:
+    """``records`` of ``read_bundles`` whose revisits have size and ``intact`` from the response that they refer to.
+
+    Each response is found by its id in the stored index and taken from its place. A revisit is intact if the payload there is
+    itself intact and has the digest and size that the revisit states. Without such a response it keeps its own size and is not
+    intact. The responses wanted are made distinct first, so a payload that many pages share is looked up once.
+    """
+    own = records.where("record_type <> 'revisit'")
+    again = records.where("record_type = 'revisit'")
+    wanted = again.select("refers_to", "payload_digest").distinct()
+    places = stored_index(bundles).withColumnRenamed("page_id", "refers_to").join(wanted, "refers_to")
+    at = own.select("bundle", "frame", "start", "payload_digest", F.col("payload_bytes").alias("_bytes"), F.col("intact").alias("_whole"))
+    found = places.join(at, ["bundle", "frame", "start", "payload_digest"]).groupBy("refers_to", "payload_digest").agg(
+        F.max("_bytes").alias("_bytes"), F.bool_and("_whole").alias("_whole"))
+    same = F.coalesce(F.col("_whole") & (F.col("_bytes") == F.col("payload_bytes")), F.lit(False))
+    again = again.join(found, ["refers_to", "payload_digest"], "left").withColumn("intact", same).withColumn(
+        "payload_bytes", F.coalesce("_bytes", "payload_bytes"))
+    return own.unionByName(again.select(*own.columns))
+
+
 def index(records: DataFrame) -> DataFrame:
     """Record id to place: ``(page_id, bundle, frame, start, length)``; start is relative to the plain frame."""
     return records.select("page_id", "bundle", "frame", "start", "length")
@@ -199,6 +232,8 @@ def write_files(bundles: DataFrame, folder: str) -> DataFrame:
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Writes all pages and reads the archives back, without the payloads."""
-    return read_bundles(write_bundles(pages)).select(
+    """Writes all pages and reads the archives back, without the payloads; revisits are resolved through the index."""
+    bundles = write_bundles(pages)
+    records = stage(read_bundles(bundles).drop("payload", "target"), "records")
+    return resolve(bundles, records).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact", "bundle", "frame", "start", "length")

@@ -1,6 +1,7 @@
 """Language models, shards, secrets and neighbours on the inputs that broke them, against brute force."""
 
 import bisect
+import hashlib
 import math
 import random
 import zlib
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from faultlens.llm import langid, neighbours, secrets, shards
+from faultlens.llm import langid, neighbours, secrets, shards, warc
 
 DOCS = "doc_id long, text string, lang string, source string"
 SF = "/root/testdata/sf0.01"
@@ -171,3 +172,24 @@ def test_very_large_and_very_small_components(spark):
     first = {r.query_id: r.vec_id for r in got if r["rank"] == 1}
     for q in (0, 20, 40, 60):
         assert first[q] == min((-slow_score(v, plain[q]), i) for i, v in rows if i != q)[1]
+
+
+def test_revisits_are_resolved_through_the_index(spark):
+    draw = random.Random(4)
+    big = ["x" * 1000, "y" * 1500, "z" * 2_500_000, "small"]
+    rows = [(i, None, draw.choice(big)) for i in range(80)] + [(79, None, "y" * 1500), (None, "u", big[0])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    bundles = warc.write_bundles(pages)
+    records = warc.read_bundles(bundles)
+    names = ("page_id", "bundle", "frame", "start", "length")
+    flat = lambda df: sorted(str(tuple(r)) for r in df.select(*names).collect())
+    assert flat(warc.stored_index(bundles)) == flat(warc.index(records))
+    got = warc.resolve(bundles, records.drop("payload", "target"))
+    assert got.count() == len(rows) and got.where("not intact").count() == 0
+    # The archive of one payload is lost: its revisits, and nothing else, are no longer intact and keep the size they state.
+    gone = hashlib.sha1(big[1].encode()).hexdigest()
+    lost = records.drop("payload", "target").where(f"not (record_type = 'response' and payload_digest = '{gone}')")
+    broken = warc.resolve(bundles, lost).where("not intact").collect()
+    assert broken and all(r.payload_digest == gone and r.record_type == "revisit" and r.payload_bytes == 1500 for r in broken)
+    assert len(broken) == sum(h == big[1] for _, _, h in rows) - sum(h == big[1] and i == max(j for j, _, k in rows if j is not None and k == h) for i, _, h in rows)
+    assert warc.round_trip(spark, pages.limit(0)).count() == 0
