@@ -255,6 +255,22 @@ def _(spark, sf):
             .select("scenario", F.floor(F.col("i") / F.lit(42)).alias("step"), (F.col("i") % 42).cast("bigint").alias("idx"), F.round("z", 1).alias("z")))
 
 
+_PROBE_Z = """pz AS (SELECT 'zeros' AS scenario, 0.0 AS z UNION ALL SELECT 'cpu_95', (95.0 - m_app_cpu) / (s_app_cpu + 1e-9) FROM fit1
+  UNION ALL SELECT 'mem_2gib', (2147483648.0 - m_app_mem) / (s_app_mem + 1e-9) FROM fit1)"""
+
+
+@query("j8_score_probes", with_(*SCALED, _PROBE_Z) + """SELECT scenario, round(ln(1 + 0.7 * z * z / 14 + 0.3 * z * z / 42), 6) AS log_score, round(ln(1 + z * z), 6) AS log_total FROM pz
+UNION ALL SELECT 'ones', round(ln(2.0), 6), round(ln(43.0), 6)""")
+def _(spark, sf):
+    """Probe windows scored by the model that expects the healthy mean, which is zero in scaled units."""
+    from faultlens.bindings.base import fused
+    probes = models.probe_windows(fit_scaler(finite_guard(fused(spark, sf), FEATURES), FEATURES, healthy()), INPUTS)
+    expected = F.transform("win", lambda row: F.transform(row, lambda v: F.lit(0.0)))
+    scored = models.score_probes(probes, lambda p: p.withColumn("recon", expected), len(INPUTS))
+    total = F.aggregate("err", F.lit(0.0), lambda a, v: a + v)
+    return scored.select("scenario", F.log1p("score").alias("log_score"), F.log1p(total).alias("log_total"))
+
+
 @query("j1_load_or_fit_pca")
 def _(spark, sf):
     """Fit and store, then load and score: the second call reads the stored model."""

@@ -210,3 +210,12 @@ def probe_windows(scaler: DataFrame, cols: list[str], size: int = 10, probes=PRO
                                          F.max(F.when(F.col("target").isNull(), F.col("raw"))).alias("rest"))
     row = F.array(*[F.coalesce(F.try_element_at("m", F.lit(c)), "rest", F.lit(0.0)) for c in cols])
     return wide.select("scenario", F.array_repeat(row, size).alias("win"))
+
+
+def score_probes(probes: DataFrame, reconstruct: Callable[[DataFrame], DataFrame], width: int, layout: str = "by_node",
+                 n_nodes: int = 3) -> DataFrame:
+    """(scenario, err, node_err, score) of probe windows under a fitted model: what it says to inputs whose cause is known.
+
+    ``reconstruct`` adds ``recon`` to rows with ``win``, as a model's own ``reconstruct`` does; ``width`` is the number of inputs.
+    """
+    return score_windows(reconstruct(probes), width=width, layout=layout, n_nodes=n_nodes).select("scenario", "err", "node_err", "score")

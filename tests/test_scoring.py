@@ -173,6 +173,21 @@ def test_attention_against_numpy(spark):
     assert "NestedLoop" not in text and "Cartesian" not in text and "collect_list" not in text
 
 
+def test_probe_windows_are_scored(spark):
+    cols = ["app_cpu", "app_mem", "db_b", "redis_c", "app_cpu_delta", "x"]
+    scaler = frame(spark, [("app_cpu", 5.0, 3.0), ("app_mem", 1e9, 5e8)], "feature string, mean double, scale double")
+    probes = models.probe_windows(scaler, cols, size=4)
+    model = models.PcaReconstructor(np.full(24, .25), np.zeros((24, 1)))
+    got = {r.scenario: r for r in models.score_probes(probes, model.reconstruct, width=6).collect()}
+    wins = {"zeros": np.zeros(6), "ones": np.ones(6), "cpu_95": np.array([(95 - 5) / (3 + 1e-9), 0, 0, 0, 0, 0]),
+            "mem_2gib": np.array([0, (2 * 1024**3 - 1e9) / (5e8 + 1e-9), 0, 0, 0, 0])}
+    assert set(got) == set(wins)
+    for name, row in wins.items():
+        err = (row - .25) ** 2
+        nodes = [err[[i, i + 3]].mean() for i in range(3)]
+        assert np.allclose(got[name].err, err) and np.allclose(got[name].score, .7 * max(nodes) + .3 * np.mean(nodes))
+
+
 def test_shown_names_agree_with_the_column_form(spark):
     names = INPUTS + ["plain", "x_pad_1", "app_probe_success_ratio", "web_some_thing"]
     found = spark.createDataFrame([(n,) for n in names], "n string").select("n", parse_feature_name(F.col("n")).alias("p")).collect()
