@@ -80,12 +80,12 @@ def exact_score(row: np.ndarray, query: np.ndarray) -> float:
 
 
 def search_block(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, longest: float, k: int, level: float = LEVEL,
-                 dims: int = DIMS, leaf: int = LEAF, seed: int = 7, scale: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                 dims: int = DIMS, leaf: int = LEAF, seed: int = 7, scale: float = 1.0, verified: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(query number, id, score)`` of the k best rows found for each query, ties to the smaller id.
 
     ``longest`` is the largest squared length of all rows over ``scale``. The search itself multiplies matrices of
     scaled distinct vectors; it keeps what comes within the error of such a product of the k-th place, and the scores
-    of these decide.
+    of these decide. ``verified`` collects how many distinct rows were compared with queries, leaf by leaf.
     """
     distinct, members = least_ids(rows, ids, k)
     near, probes = distinct / scale, queries / scale
@@ -109,6 +109,8 @@ def search_block(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_i
             break
         for number in np.unique(turn[active, at]):
             some, inside = active[turn[active, at] == number], leaves[number]
+            if verified is not None:
+                verified.append(len(some) * len(inside))
             value = probes[some] @ near[inside].T
             top[some] = -np.sort(-np.concatenate((top[some], value), 1), 1)[:, :k + 1]
             for one, scores in zip(some, value):

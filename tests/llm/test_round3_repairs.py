@@ -193,3 +193,21 @@ def test_revisits_are_resolved_through_the_index(spark):
     assert broken and all(r.payload_digest == gone and r.record_type == "revisit" and r.payload_bytes == 1500 for r in broken)
     assert len(broken) == sum(h == big[1] for _, _, h in rows) - sum(h == big[1] and i == max(j for j, _, k in rows if j is not None and k == h) for i, _, h in rows)
     assert warc.round_trip(spark, pages.limit(0)).count() == 0
+
+
+def test_search_verifies_a_small_part_of_clustered_vectors():
+    draw = np.random.default_rng(8)
+    found, seen = 0, []
+    centres = draw.standard_normal((60, 64))
+    rows = np.repeat(centres, 140, 0)[:8192] + 0.05 * draw.standard_normal((8192, 64))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    ids = np.arange(len(rows))
+    asked = ids[::200]
+    number, name, _ = neighbours.search_block(rows, ids, rows[asked], asked, float((rows ** 2).sum(1).max()), 20, verified=seen)
+    scores = rows[asked] @ rows.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-scores, 1)[:, :20]
+    for one in range(len(asked)):
+        found += len(set(name[number == one]) & set(best[one]))
+    share = sum(seen) / (len(asked) * len(rows))
+    assert found / best.size >= 0.9 and share <= 0.3, (found / best.size, share)
