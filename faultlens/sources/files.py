@@ -58,10 +58,16 @@ def read_fault_events(spark: SparkSession, path: str) -> DataFrame:
     return events_from_lines(read_lines(spark, path))
 
 
+#: Hexadecimal UTF-16 units one by one: a pair of surrogates or any other character is kept, a surrogate alone is not.
+_UNITS = {"UTF-16LE": r"\G(?:(..D[89AB]..D[C-F]|..[0-9A-CEF].|..D[0-7])|..D[89A-F])",
+          "UTF-16BE": r"\G(?:(D[89AB]..D[C-F]..|[0-9A-CEF]...|D[0-7]..)|D[89A-F]..)"}
+
+
 def decode_line(value: Column, encoding: Column) -> Column:
-    """Text of the bytes of a line; bytes that are not UTF-8, and half a character at the end of UTF-16, go."""
-    even = F.substring(value, F.lit(1), F.floor(F.length(value) / 2).cast("int") * 2)
-    return (F.when(encoding == "UTF-16LE", F.decode(even, "UTF-16LE")).when(encoding == "UTF-16BE", F.decode(even, "UTF-16BE"))
+    """Text of the bytes of a line; bytes that are not UTF-8, and half a character or half a pair in UTF-16, go."""
+    even = F.hex(F.substring(value, F.lit(1), F.floor(F.length(value) / 2).cast("int") * 2))
+    le, be = (F.decode(F.unhex(F.regexp_replace(even, units, "$1")), name) for name, units in _UNITS.items())
+    return (F.when(encoding == "UTF-16LE", le).when(encoding == "UTF-16BE", be)
             .otherwise(F.regexp_replace(F.make_valid_utf8(value.cast("string")), "\uFFFD", "")))
 
 

@@ -96,6 +96,13 @@ def test_characters_that_hold_the_bytes_of_a_line_end(spark, tmp_path, encoding)
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_half_a_pair_does_not_stop_the_reader(spark, tmp_path):
+    for name, code in (("a", "utf-16-le"), ("b", "utf-16-be")):
+        (tmp_path / f"{name}_raw.log").write_bytes("\ufeffa\ud800b\n\udc00\U0001F600c\ud800".encode(code, "surrogatepass"))
+    got = rows(files.read_log_lines(spark, str(tmp_path)), "file", "line_no")
+    assert list(got.line) == ["ab", "\U0001F600c"] * 2
+
+
 def test_many_log_files_of_mixed_encodings(spark, tmp_path):
     for nth in range(300):
         (tmp_path / f"{nth}app_raw.log").write_bytes(f"2026-04-06T10:00:01Z stdout F {nth}\n".encode("utf-16" if nth % 3 == 0 else "utf-8"))
