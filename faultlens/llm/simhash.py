@@ -7,6 +7,7 @@ counts within the radius, so other tile pairs are skipped. In a pair of tiles th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,6 +33,9 @@ _PRINT = [f"f{i}" for i in range(WORDS)]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Fingerprints of such a tile at most, and shingles of a block of a loose group on average.
 NEAR_TILE, BLOCK_SHINGLES = 131_072, 1 << 21
+#: Chance that two sets just similar enough share none of the shingles by which they meet; sets that meet in one task at most;
+#: sets of a shingle that are compared together with other shingles' sets.
+LOW_MISS, LOW_TILE, LOW_FEW = 1e-7, 16_384, 64
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -162,12 +166,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; a text shorter than ``width`` words is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    width = min(width, len(words))
-    digest = xxhash.xxh64_intdigest
-    found = {digest(b" ".join(words[at:at + width]), SEED) for at in range(len(words) - width + 1)} if words else ()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined, digest, width = b" ".join(words), xxhash.xxh64_intdigest, min(width, len(words))
+    ends = (np.cumsum([len(w) + 1 for w in words]) - 1).tolist()
+    starts = [0, *[e + 1 for e in ends[:-1]]]
+    found = {digest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1:])}
     return np.sort(np.fromiter(found, np.uint64, len(found)))
 
 
+def low_count(n: int, percent: int) -> int:
+    """How many of its ``n`` shingles, smallest hash first, a set meets others by.
+
+    Sets that are ``percent`` similar share one of the first ``n * (100 - percent) / 100 + 1`` in any order. In the order of a hash, each of
+    the smallest of both sets together is shared with a chance of ``percent``, so fewer do for large sets: none is shared with LOW_MISS.
+    """
+    exact = n * (100 - percent) // 100 + 1
+    return min(exact, math.ceil(math.log(LOW_MISS) / math.log(1 - percent / 100))) if 0 < percent < 100 else exact
+
+
 def set_fingerprint(hashes: np.ndarray) -> np.ndarray:
     """The WORDS words of a fingerprint that counts each distinct shingle once, so that distances follow the Jaccard similarity.
 
@@ -183,8 +200,8 @@ def set_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")
 
 
-def shingle_rows(texts: DataFrame, width: int, sets: bool = False) -> DataFrame:
-    """``(id, key, node, n, f0 …)`` per row ``(id, key, text)``: hash, size and fingerprint of its set of shingles, or the set itself."""
+def shingle_rows(texts: DataFrame, width: int, sets: bool = False, percent: int = NEAR_PERCENT) -> DataFrame:
+    """``(id, key, node, n, low, f0 …)`` per row ``(id, key, text)``: hash, size, smallest shingles and fingerprint of its set, or the set itself."""
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [shingle_set(t, width) for t in batch["text"].to_pylist()]
@@ -192,11 +209,12 @@ def shingle_rows(texts: DataFrame, width: int, sets: bool = False) -> DataFrame:
             if sets:
                 return pa.RecordBatch.from_pydict({"node": node, "shingles": pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))})
             prints = np.array([set_fingerprint(h) for h in found]).view(np.int64).reshape(-1, WORDS)
-            return pa.RecordBatch.from_pydict({"id": batch["id"], "key": batch["key"], "node": node, "n": pa.array([len(h) for h in found], pa.int64())}
+            return pa.RecordBatch.from_pydict({"id": batch["id"], "key": batch["key"], "node": node, "n": pa.array([len(h) for h in found], pa.int64()),
+                                               "low": pa.array([h[:low_count(len(h), percent)].view(np.int64) for h in found], pa.list_(pa.int64()))}
                                               | {c: prints[:, i].copy() for i, c in enumerate(_PRINT)})
         return step
     schema = "node bigint, shingles array<bigint>" if sets else (
-        schema_of(texts, "id", "key") + ", node bigint, n bigint, " + ", ".join(f"{c} bigint" for c in _PRINT))
+        schema_of(texts, "id", "key") + ", node bigint, n bigint, low array<bigint>, " + ", ".join(f"{c} bigint" for c in _PRINT))
     return map_arrow(texts, make, schema)
 
 
@@ -304,6 +322,57 @@ def near_prints(nodes: DataFrame, radius: int = NEAR_RADIUS, tile: int = NEAR_TI
     return map_arrow(_met(tiles, [], ["node", *_PRINT]), make, "a bigint, b bigint")
 
 
+def _close(batch: pa.RecordBatch, radius: int) -> pa.RecordBatch:
+    """A forest of the fingerprints within ``radius`` bits of each other in the pairs of sides of a batch.
+
+    All short sides are worked off at once, by their distance in the list; the others one by one.
+    """
+    sides = batch["sides"]
+    items = sides.flatten().field("items")
+    nodes, prints = _columns(items.flatten())
+    forest = Forest(nodes)
+    at, sizes, many = np.searchsorted(forest.nodes, nodes), items.value_lengths().to_numpy(), sides.value_lengths().to_numpy()
+    ends = np.cumsum(sizes)
+    starts, first = ends - sizes, np.cumsum(many) - many
+    short = np.zeros(len(sizes), bool)
+    short[first[many == 1]] = True
+    short &= sizes <= LOW_FEW
+    end = np.repeat(np.where(short, ends, 0), sizes)
+    i, apart = np.arange(len(nodes)), 1
+    while len(i := i[i + apart < end[i]]):
+        bits = np.bitwise_count(prints[i] ^ prints[i + apart])
+        near_by = (bits[:, 0] <= FIRST_RADIUS) & (bits.sum(1, dtype=np.int16) <= radius)
+        forest.join(at[i[near_by]], at[i[near_by] + apart])
+        apart += 1
+    for one, n in zip(first.tolist(), many.tolist()):
+        if not short[one]:
+            a, b = (slice(starts[k], ends[k]) for k in (one, one + n - 1))
+            for x, y, _ in near(prints[a], prints[b], radius):
+                forest.join(at[a][x], at[b][y])
+    a, b = forest.links()
+    return pa.RecordBatch.from_pydict({"a": a, "b": b})
+
+
+def shared_low(nodes: DataFrame) -> DataFrame:
+    """``(shingle, rows)`` of the shingles that more than one of the nodes ``(node, low)`` has among those it meets others by."""
+    return nodes.select(F.explode("low").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("rows")).where("rows > 1")
+
+
+def near_low(nodes: DataFrame, shared: DataFrame, radius: int = NEAR_RADIUS, tile: int = LOW_TILE) -> DataFrame:
+    """Links ``(a, b)`` that connect the nodes ``(node, low, f0 …)`` as all pairs within ``radius`` bits that share a shingle of ``low`` would.
+
+    ``shared`` has the shingles of more than one node with their counts. The nodes of a common one are cut into tiles by hash, and
+    each pair of its tiles is compared by itself.
+    """
+    rows = nodes.select(F.explode("low").alias("shingle"), "node").join(shared.withColumnRenamed("rows", "all"), "shingle")
+    blocks = F.ceil(F.col("all") / tile).cast("int")
+    tiles = rows.select("shingle", "node", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("tile"), F.lit(0).alias("low"), (blocks - 1).alias("high"))
+    # Few shingles are shared: only their nodes get fingerprints.
+    tiles = tiles.join(nodes.select("node", *_PRINT), "node")
+    met = _met(tiles.repartition("shingle", "tile"), ["shingle"], ["node", *_PRINT])
+    return map_arrow(met, lambda: lambda batch: _close(batch, radius), "a bigint, b bigint", 64)
+
+
 def _verified(left: pa.StructArray, right: pa.StructArray, percent: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the pairs of two blocks whose sets are ``percent`` similar: nearest first, pairs already connected untested."""
     (a, a_print), (b, b_print) = _columns(left), _columns(right)
@@ -329,14 +398,17 @@ def near_links(texts: DataFrame, nodes: DataFrame, width: int, radius: int = NEA
                tile: int = NEAR_TILE, block: int = BLOCK_SHINGLES) -> DataFrame:
     """``(node, root)`` of the sets ``nodes`` that pairs of at least ``percent`` similarity connect.
 
-    Fingerprints connect nodes to loose groups first. Only nodes in one of these have their sets made, each once. A group is
+    Fingerprints connect nodes that share one of their smallest shingles to loose groups first; where so many share them that this would
+    be more comparisons than all pairs of nodes, those are compared. Only nodes in one of these have their sets made, each once. A group is
     cut into blocks of ``block`` shingles; every pair of its blocks is compared by itself, so no pair travels.
     """
     spark = texts.sparkSession
-    close = stage(near_prints(nodes, radius, tile), "near-prints")
+    shared = stage(shared_low(nodes), "shared-shingles")
+    total, pairs = nodes.count(), shared.agg(F.sum(F.col("rows").cast("double") ** 2)).first()[0] or 0.0
+    close = stage(near_low(nodes, shared, radius) if pairs <= total * total else near_prints(nodes, radius, tile), "near-prints")
     loose = stage(components(close), "loose-groups")
-    unstage(spark, close)
-    members = stage(nodes.join(loose, "node"), "members")
+    unstage(spark, close, shared)
+    members = stage(nodes.drop("low").join(loose, "node"), "members")
     totals = members.groupBy("root").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
     wanted = members.select(F.col("rep.id").alias("id__"), F.col("rep.key").alias("key__"))
     own = texts.join(wanted, F.col("id").eqNullSafe(F.col("id__")) & (F.col("key") == F.col("key__")), "left_semi")
@@ -357,7 +429,7 @@ def deduplicate(docs: DataFrame, width: int = 5, radius: int = NEAR_RADIUS, perc
     """One document of each group stays: the one of smallest id, of that id the one of smallest content hash; nulls last.
 
     A group is what pairs of documents connect whose sets of ``width``-word shingles have a Jaccard similarity of at least
-    ``percent``. Fingerprints of 64 * WORDS bits within ``radius`` propose the pairs, the sets decide. Of repeated rows of id
+    ``percent``. Fingerprints of 64 * WORDS bits within ``radius`` propose the pairs of those that share a shingle of the smallest hashes, the sets decide. Of repeated rows of id
     and text one stays; texts that differ and share an id are documents of their own. Texts without a word are not near
     copies of each other here: they all stay. Other columns pass through, whatever their names.
     """
@@ -365,9 +437,9 @@ def deduplicate(docs: DataFrame, width: int = 5, radius: int = NEAR_RADIUS, perc
     whole = packed(docs).select("doc", F.col("doc.doc_id").alias("id"), F.col("doc.text").alias("text"), F.xxhash64("doc.text").alias("key"))
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     texts = whole.where(worded).select("id", "key", "text")
-    rows = stage(shingle_rows(texts, width), "shingle-rows")
+    rows = stage(shingle_rows(texts, width, percent=percent), "shingle-rows")
     order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")
-    nodes = stage(rows.groupBy("node", "n", *_PRINT).agg(F.min(order).alias("rep"), F.count("*").alias("rows")), "nodes")
+    nodes = stage(rows.groupBy("node", "n", "low", *_PRINT).agg(F.min(order).alias("rep"), F.count("*").alias("rows")), "nodes")
     roots = near_links(texts, nodes, width, radius, percent, tile, block)
     grouped = nodes.select("node", "rep", "rows").join(roots, "node", "left")
     heads = grouped.groupBy(F.coalesce("root", "node").alias("root__")).agg(F.min("rep").alias("head"), F.sum("rows").alias("all"))
