@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,6 +82,24 @@ class Alarm:
         self.active = corrected >= self.threshold
         return smoothed, corrected, self.active
 
+    def run(self, scores: np.ndarray) -> dict[str, np.ndarray]:
+        """``tick`` for many scores in their order: the columns of those after the warm-up, all of one length."""
+        line, before = [*self.scores, *scores.tolist()], len(self.scores)
+        lasts = (line[max(0, end - self.smooth):end] for end in range(before + 1, len(line) + 1))
+        smoothed, early = np.array([sum(last) / len(last) for last in lasts], dtype=float), min(max(0, self.warmup - self.ticks), len(scores))
+        for value in smoothed[:early].tolist():
+            self.offset = max(self.offset, value)
+        first, self.ticks = self.ticks + early, self.ticks + len(scores)
+        self.scores = line[-self.smooth:]
+        above = lambda x: np.where(x - self.offset > 0, x - self.offset, 0.0)
+        calm, alarmed, was = above(smoothed[early:]), above(scores[early:]), []
+        for rise, hold in zip((calm >= self.threshold).tolist(), (alarmed >= self.threshold).tolist()):
+            was.append(self.active)
+            self.active = hold if self.active else rise
+        corrected = np.where(np.array(was, dtype=bool), alarmed, calm)
+        return {"tick": np.arange(first, self.ticks), "score": scores[early:], "smoothed": smoothed[early:], "offset": np.full(len(corrected), self.offset),
+                "corrected": corrected, "anomaly": corrected >= self.threshold}
+
 
 _ALARM_FIELDS = "scores array<double>, ticks int, offset double, active boolean"
 _OUT_FIELDS = "tick bigint, score double, smoothed double, offset double, corrected double, anomaly boolean"
@@ -152,9 +171,9 @@ class WindowSentinel(StatefulProcessor):
         slots, values = np.concatenate(slots), np.concatenate(values)
         width = len(self.cols)
         # The ring holds up to size - 1 rows before the next tick; a new series starts from zeros, which are no tick.
-        kept, last, ring = [[], 0, 0.0, False], None, np.empty((0, width))
-        if self.state.exists():
-            *kept, last, cells = self.state.get()
+        kept, last, ring, state = [[], 0, 0.0, False], None, np.empty((0, width)), self.state.get()
+        if state is not None:
+            *kept, last, cells = state
             ring = np.array(cells, dtype=float).reshape(-1, width)
             values, slots = values[slots > last], slots[slots > last]
         alarm = Alarm(self.threshold, *kept)
@@ -180,19 +199,20 @@ class WindowSentinel(StatefulProcessor):
         filled = np.concatenate((before, dense))
         source = np.maximum.accumulate(np.where(np.isnan(filled), 0, np.arange(len(filled))[:, None]), axis=0)
         rows = np.concatenate((ring, np.take_along_axis(filled, source, 0)[1:]))
-        out, names = [], [self.name, "ts", "tick", "score", "smoothed", "offset", "corrected", "anomaly", "err"]
+        out, err = Alarm(self.threshold).run(np.empty(0)), np.empty((0, 0))
         if len(rows) >= self.size:
             windows = np.lib.stride_tricks.sliding_window_view(rows, self.size, axis=0).transpose(0, 2, 1)
             err = self.score_errors(windows)
             nodes = np.stack([err[:, idx].mean(1) for idx in self.slices], 1)
             scores = 0.7 * nodes.max(1) + 0.3 * nodes.mean(1)
-            start = at + count - len(scores)
-            for nth, score in enumerate(scores.tolist()):
-                hit = alarm.tick(score)
-                if hit:
-                    out.append((key[0], pd.Timestamp((start + nth) * self.step, unit="s"), alarm.ticks - 1, score, hit[0], alarm.offset,
-                                hit[1], hit[2], err[nth].tolist()))
-        return rows[-(self.size - 1):] if self.size > 1 else rows[:0], pd.DataFrame(out, columns=names)
+            out = alarm.run(scores)
+            err = err[len(err) - len(out["tick"]):]
+        ts = ((at + count + np.arange(-len(err), 0)) * self.step).astype("datetime64[s]").astype("datetime64[ns]")
+        # Lists as Arrow holds them: no Python object is made for each tick.
+        cells = pa.ListArray.from_arrays(np.arange(len(err) + 1, dtype=np.int32) * err.shape[1], pa.array(err.ravel()))
+        ticks = pd.DataFrame({self.name: pd.Series([key[0]] * len(err), dtype=object if not len(err) else None), "ts": ts, **out,
+                              "err": pd.Series(pd.arrays.ArrowExtensionArray(cells))})
+        return rows[-(self.size - 1):] if self.size > 1 else rows[:0], ticks
 
     def close(self) -> None:
         pass
@@ -242,10 +262,10 @@ def stream_reports(ticks: DataFrame, names: list[str], threshold: float, key: st
 
 
 def write_reports(ticks: DataFrame, names: list[str], threshold: float, path: str, checkpoint: str,
-                  key: str = "series_id", available_now: bool = False) -> StreamingQuery:
+                  key: str = "series_id", available_now: bool = False, compression: str = "none") -> StreamingQuery:
     """Sink: one folder of report lines per micro-batch, overwritten if the batch is run again."""
     def emit(batch: DataFrame, batch_id: int) -> None:
-        stream_reports(batch, names, threshold, key).write.mode("overwrite").json(f"{path}/batch={batch_id}")
+        stream_reports(batch, names, threshold, key).write.mode("overwrite").json(f"{path}/batch={batch_id}", compression=compression)
 
     writer = ticks.writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint).outputMode("append")
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=POLL)
