@@ -3,13 +3,14 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultlens.bindings.base import (EV, FE, GRID, HOUR, IV, LAB, LABELLED, LOGGED, METRICS, SC, TH, WM, events, grid, labelled, log_lines,
-                                     metrics, query, scores, table, thresholds, with_)
+from faultlens.bindings.base import (EV, FE, GRID, HOUR, IV, KEYS, LAB, LABELLED, LOGGED, METRICS, SC, TH, WM, events, grid, intervals, labelled,
+                                     log_lines, metrics, query, scores, table, thresholds, with_)
 from faultlens.bindings.features import HS, SENTINEL, hourly_scores
 from faultlens.bindings.grids import SAMPLES, samples
 from faultlens.operators import evaluate as ev
 from faultlens.operators.grid import asof_fill, pivot_metrics
-from faultlens.operators.ordered import number_chunk
+from faultlens.operators.intervals import label
+from faultlens.operators.ordered import CHUNK_ROWS, number_chunk, time_chunk, with_position
 from faultlens.operators.sequence import sliding_windows
 from faultlens.plans.bundle import load_or_fit_bundle, score_raw_windows
 from faultlens.sources import files
@@ -175,15 +176,16 @@ LIVE_NODES = [[0, 5], [1, 2, 6, 7], [3, 4, 8, 9]]
 
 
 def live_rows(spark, sf):
-    """The dense grid of the live columns with forward fill, and the labels: what the live job sees, in batch."""
-    wanted = grid(spark, sf).withColumn("metric", F.explode(F.array(*[F.lit(k) for k in KINDS])))
-    filled = pivot_metrics(asof_fill(samples(spark, sf), wanted), KINDS)
-    return stage(labelled(spark, sf).select("series_id", "ts", "ground_truth", "fault_type").join(filled, ["series_id", "ts"]))
+    """The dense grid of the live columns with forward fill, the labels and positions: what the live job sees, in batch."""
+    chunk = time_chunk("ts", CHUNK_ROWS * HOUR)
+    filled = asof_fill(pivot_metrics(samples(spark, sf), KINDS), grid(spark, sf), KEYS, chunk=chunk, cols=KINDS)
+    rows = label(filled, intervals(spark, sf), step=HOUR).select("series_id", "ts", "ground_truth", "fault_type", *KINDS)
+    return stage(with_position(rows, KEYS, ["ts"], chunk))
 
 
 def stored_bundle(spark, rows):
     """Fit, publish, load."""
-    return load_or_fit_bundle(rows, new_folder(spark, "bundle"), KINDS, LIVE_NODES)
+    return load_or_fit_bundle(rows, new_folder(spark, "bundle"), KINDS, LIVE_NODES, step=HOUR, pos="pos")
 
 
 def live_ticks(spark, bundle):
@@ -216,8 +218,9 @@ def _(spark, sf):
     """Scores of the batch windows by a bundle that was fitted, published and loaded again; its threshold."""
     rows = live_rows(spark, sf)
     bundle = stored_bundle(spark, rows)
-    windows = sliding_windows(rows, KINDS, fault=None)
-    return score_raw_windows(windows, bundle).select("series_id", "win_id", "ts", "y", "score", F.lit(bundle.threshold).alias("threshold"))
+    windows = sliding_windows(rows, KINDS, pos="pos", fault=None)
+    scored = score_raw_windows(windows, bundle, keep=["series_id", "win_id", "ts", "y", "score"])
+    return scored.withColumn("threshold", F.lit(bundle.threshold))
 
 
 @query("i2_stream_windows", _TICKS + """SELECT series_id, ts, tick, round(score, 6) AS score, round(smoothed, 6) AS smoothed, round(off, 6) AS "offset", round(corrected, 6) AS corrected, active AS anomaly FROM tk""")
@@ -234,7 +237,7 @@ def reported(spark, sf):
     names = [*LIVE_NAMES, *[f"{n}_delta" for n in LIVE_NAMES]]
 
     def run_part(samples_):
-        live.write_reports(live_ticks(spark, bundle)(samples_), names, bundle.threshold, path, ckpt, available_now=True).awaitTermination()
+        live.write_reports(live_ticks(spark, bundle)(samples_), names, bundle.threshold, path, ckpt, available_now=True, compression="gzip").awaitTermination()
     in_sink(spark, sf, run_part)
     return spark.read.schema("series_id bigint, ts timestamp, anomaly boolean, line string").json(path)
 

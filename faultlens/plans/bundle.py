@@ -8,18 +8,19 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
-from faultlens.functions.numeric import let
 from faultlens.operators.curves import exact_percentiles
 from faultlens.operators.scaling import double_scale, fit_scaler, scaler_values
-from faultlens.operators.scoring import feature_error, hybrid_score
+from faultlens.operators.scoring import window_scores
 from faultlens.operators.sequence import sliding_windows, window_inputs
 from faultlens.plans.models import PcaReconstructor, healthy_only
 from faultlens.schemas import CLIP, WINDOW_ROWS
@@ -64,45 +65,75 @@ class Bundle:
         return ((x - self.reconstruct(x)) ** 2).mean(axis=-2)
 
 
-def score_raw_windows(windows: DataFrame, bundle: Bundle, col: str = "win") -> DataFrame:
-    """The same errors and scores as the live job, for batch windows of raw values; adds err, node_err and score."""
-    x = window_inputs(F.col(col), bundle.level, bundle.combined)
-    if bundle.kind == "mean":
-        recon = F.array_repeat(F.array(*[F.lit(float(v)) for v in bundle.mean]), bundle.size)
-        out = windows.withColumn("err", let(x, lambda inputs: feature_error(inputs, recon)))
-    else:
-        model = PcaReconstructor(np.array(bundle.mean), np.array(bundle.components))
-        out = model.reconstruct(windows.withColumn("_x", x), "_x", "_recon").withColumn("err", feature_error(F.col("_x"), F.col("_recon"))).drop("_x", "_recon")
-    nodes = lambda err: F.array(*[sum((err[i] for i in idx[1:]), err[idx[0]]) / len(idx) for idx in bundle.nodes])
-    return out.withColumn("node_err", let(F.col("err"), nodes)).withColumn("score", let(F.col("node_err"), hybrid_score))
+#: Windows that are scored at once: their cells stay in a core's cache.
+SCORE_ROWS = 1_024
+
+
+def _inputs(raw: np.ndarray, bundle: Bundle) -> np.ndarray:
+    """``window_inputs`` of windows (n, size, columns): a cell that is no number gets the upper bound, as ``least`` passes it over."""
+    def scaled(x: np.ndarray, pairs: Pairs) -> np.ndarray:
+        mean, scale = (np.array(v) for v in zip(*pairs))
+        return np.clip(np.nan_to_num((x - mean) / scale, nan=CLIP, posinf=CLIP, neginf=-CLIP), -CLIP, CLIP)
+    z = scaled(raw, bundle.level)
+    return scaled(np.concatenate((z, np.diff(z, axis=1, prepend=z[:, :1])), axis=2), bundle.combined)
+
+
+def score_raw_windows(windows: DataFrame, bundle: Bundle, col: str = "win", keep: list[str] | None = None) -> DataFrame:
+    """The same errors and scores as the live job, for batch windows of raw values; adds err, node_err and score.
+
+    ``keep`` names the columns that are wanted, all if it is absent; the others do not come back from the Python process.
+    """
+    added = {"err": T.ArrayType(T.DoubleType()), "node_err": T.ArrayType(T.DoubleType()), "score": T.DoubleType()}
+    kinds = {f.name: f.dataType for f in windows.schema.fields if f.name not in added} | added
+    shape = T.StructType([T.StructField(n, kinds[n]) for n in (kinds if keep is None else keep)])
+    read = windows.select(col, *[n for n in shape.names if n not in added and n != col])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch[col].flatten().flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(batch.num_rows, bundle.size, -1)
+            found = {n: [] for n in added}
+            for at in range(0, len(raw), SCORE_ROWS):
+                x = _inputs(raw[at:at + SCORE_ROWS], bundle)
+                err, nodes, score = window_scores(x, bundle.reconstruct(x), bundle.nodes, parts=True)
+                for n, values in zip(added, (err, nodes, score)):
+                    found[n].append(values)
+            arrays = {n: np.concatenate(v) for n, v in found.items()} if len(raw) else {"err": np.empty((0, 1)), "node_err": np.empty((0, 1)), "score": np.empty(0)}
+            out = {n: pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1], pa.array(v.ravel())) if v.ndim > 1 else pa.array(v)
+                   for n, v in arrays.items()}
+            yield pa.record_batch([out[n] if n in out else batch[n] for n in shape.names], shape.names)
+
+    return read.mapInArrow(scored, shape)
 
 
 def fit_bundle(rows: DataFrame, cols: list[str], nodes: list[list[int]], kind: str = "mean", k: int = 8, percentile: float = 85.0,
                size: int = WINDOW_ROWS, keys: list[str] = ["series_id"], train: Column | None = None,
-               step: int | None = None) -> Bundle:
+               step: int | None = None, pos: str | None = None) -> Bundle:
     """Fit scalers, model and threshold on the healthy rows of ``train`` (a condition on the rows; all by default).
 
     Nothing that ``train`` leaves out is seen by any fit: a window counts for the threshold only if all its rows belong to
-    it. The threshold is the percentile of the healthy windows' scores.
+    it. The threshold is the percentile of the healthy windows' scores. ``step`` as in ``delta``; ``pos`` names a column with each
+    row's position in its series. Rows that are a staged table already are not written again, and windows only where two passes read them.
     """
-    mine = F.lit(True) if train is None else train
-    rows = stage(rows.withColumn("_train", mine.cast("int")))
+    mine = rows.withColumn("_train", (F.lit(True) if train is None else train).cast("int"))
+    rows = mine if train is None and getattr(rows, "staged_at", None) else stage(mine)
     healthy = (F.col("ground_truth") == 0) & (F.col("_train") == 1)
     features, level, combined = double_scale(rows, cols, keys, healthy=healthy, step=step)
     inputs = [*cols, *[c + "_delta" for c in cols]]
     pairs = lambda found, names: [found[n] for n in names]
     known = dict(cols=cols, level=pairs(level, cols), combined=pairs(combined, inputs), nodes=nodes, size=size, threshold=0.0)
-    windows = stage(sliding_windows(rows.withColumn("_odd", F.greatest("ground_truth", 1 - F.col("_train"))), cols, size, keys, y="_odd", fault=None))
+    odd = rows.withColumn("_odd", F.greatest("ground_truth", 1 - F.col("_train")))
+    windows = healthy_only(sliding_windows(odd, cols, size, keys, pos=pos, y="_odd", fault=None))
     if kind == "mean":
         means = scaler_values(fit_scaler(features, inputs, healthy))
         bundle = Bundle(**known, kind=kind, mean=[means[n][0] for n in inputs], components=[])
     elif kind == "pca":
-        scaled = healthy_only(windows).select(window_inputs(F.col("win"), known["level"], known["combined"]).alias("win"))
+        windows = stage(windows)
+        scaled = windows.select(window_inputs(F.col("win"), known["level"], known["combined"]).alias("win"))
         model = PcaReconstructor.fit(scaled, k)
         bundle = Bundle(**known, kind=kind, mean=model.mean.tolist(), components=model.components.tolist())
     else:
         raise ValueError(f"unknown kind {kind!r}: mean, pca")
-    scored = stage(score_raw_windows(healthy_only(windows), bundle).select(F.lit("live").alias("model"), "score"))
+    scored = stage(score_raw_windows(windows, bundle, keep=["score"]).select(F.lit("live").alias("model"), "score"))
     found = exact_percentiles(scored, ["model"], "score", [percentile]).first()
     return Bundle(**{**bundle.__dict__, "threshold": float(found["values"][0]) if found else 0.0})
 
