@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from faultlens.operators.grid import asof_fill
 from faultlens.operators.sequence import sliding_windows, window_inputs
 from faultlens.plans import bundle as b
-from faultlens.plans.models import PcaReconstructor, score_windows, stratified_split
+from faultlens.plans.models import PcaReconstructor, row_mean, score_windows, stratified_split, window_moments
 from faultlens.streaming.live import Alarm
 from tests.helpers import at, frame, plan, rows
 
@@ -58,6 +58,16 @@ def test_alarm_over_many_scores_is_tick_by_tick():
             assert (one.scores, one.ticks, one.offset, one.active) == (many.scores, many.ticks, many.offset, many.active)
 
 
+def test_fits_of_two_models_share_a_shuffle(spark):
+    """The mean row from the query of the moments is that of its own pass, and both read one shuffle."""
+    x = np.random.default_rng(8).normal(size=(30, 4))
+    df = frame(spark, [(1, i, *r) for i, r in enumerate(x.tolist())], "series_id int, ts int, a double, b double, c double, d double").withColumn("pos", F.col("ts"))
+    windows = sliding_windows(df.withColumn("ground_truth", F.lit(0)), ["a", "b", "c", "d"], 5, pos="pos", fault=None)
+    n, mean, cov, row = window_moments(windows, rows=True)
+    assert n == 26 and np.array_equal(row, row_mean(windows).first()["m"].toArray())
+    assert all(np.allclose(p, q) for p, q in zip((mean, cov), window_moments(windows)[1:]))
+
+
 def test_hashes_do_not_travel(spark):
     out = stratified_split(spark.range(1000).select(F.col("id").alias("win_id"), (F.col("id") % 3 == 0).cast("int").alias("y")))
     assert rows(out.groupBy("y", "part").count(), "y", "part")["count"].tolist() == [200, 466, 100, 234]
